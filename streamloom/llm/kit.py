@@ -8,6 +8,7 @@ over whole blocks instead of by Python loops over characters.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -227,7 +228,7 @@ class TokenMemo:
             return ids, ends[np.searchsorted(s, offs)]
         if len(self.known) + len(keys) > max(self.limit, len(keys)):
             self.clear()
-        where = np.fromiter(map(self.known.get, keys.tolist(), iter(lambda: -1, 0)), np.int64, len(keys))
+        where = np.fromiter(map(self.known.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
         seen = where >= 0
         if (self.check[where[seen]] != second[at[seen]]).any():
             self.clear()

@@ -16,17 +16,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kit import TokenMemo, blocks, mix, tune
+from .kit import TokenMemo, blocks, expand, mix, tune
 from .shared import new_path
 
 BLOCK_DOCS = 65_536
 BLOCK_BYTES = 4 << 20
+JOINED = 256  # pre-tokens in one text for the tokenizers library
 SCHEMA = "shard int, block int, first_key long, last_key long, n_null int, n_docs int, base long, n_tokens long, width int, payload binary, keys binary, lengths binary, pilots binary, fingerprints binary, ordinals binary"
 C1, C2, C3 = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -150,14 +152,41 @@ def encoder(path: str) -> tuple[TokenMemo, int]:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
 
-        def encode(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            raw = data.tobytes()
+        def each(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             ids = [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.int32, int(count.sum())), count
+            return np.array(list(chain.from_iterable(ids)), np.int32), count
+
+        def joined(raw: bytes, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+            """Pre-tokens that each begin with a blank and a letter split again at just those blanks, so many make one text."""
+            at = cut[:-1:JOINED].tolist() + [int(cut[-1])]
+            coded = t.encode_batch([raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)], add_special_tokens=False)
+            words = [np.array(x.word_ids, np.int64) for x in coded]
+            n = np.diff(np.append(np.arange(0, len(cut) - 1, JOINED), len(cut) - 1)).tolist()
+            if [int(w[-1]) + 1 for w in words] != n:
+                return None
+            count = np.concatenate([np.bincount(w, minlength=m) for w, m in zip(words, n, strict=True)])
+            return np.array(list(chain.from_iterable(x.ids for x in coded)), np.int32), count
 
-        _memos[path] = TokenMemo(encode), t.get_vocab_size()
+        def encode(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            second = data[np.minimum(start + 1, len(data) - 1)] | 32
+            blank = (data[start] == 32) & (end - start > 1) & (second >= 97) & (second <= 122)
+            parts, count = [], np.zeros(len(start), np.int64)
+            for rows, many in ((np.flatnonzero(blank), True), (np.flatnonzero(~blank), False)):
+                if not rows.size:
+                    continue
+                s, e = start[rows], end[rows]
+                cut = np.append(0, np.cumsum(e - s))
+                raw = data[expand(s, e - s)].tobytes()
+                ids, count[rows] = many and joined(raw, cut) or each(raw, cut[:-1], cut[1:])
+                parts.append((rows, ids))
+            out, first = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+            for rows, ids in parts:
+                out[expand(first[rows], count[rows])] = ids
+            return out, count
+
+        _memos[path] = TokenMemo(encode, 600_000), t.get_vocab_size()
     return _memos[path]
 
 
