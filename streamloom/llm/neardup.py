@@ -7,10 +7,12 @@
    pairs: each member is paired with the bucket's centre, the pair verified on
    the full sets, and the links joined to components.
 3. What could still be missed are links between members of one bucket that lie
-   in different components. Such pairs are formed only if the sets' sizes allow a
-   link; in large buckets the shingles that no other member has count against the
-   size, which bounds the overlap from above, so that families of loose copies
-   are refuted a document at a time. These pairs are verified likewise.
+   in different components. In small buckets such pairs are formed and verified
+   if the sets' sizes allow a link. In buckets of ``LARGE`` members or more, a
+   pair's overlap is at most what the smaller of its members shares with the
+   centre plus the shingles outside the centre that the two share: so the pairs
+   come from a join on these outside shingles, which in families of loose copies
+   are rare, and from those few members whose overlaps with the centre suffice.
 
 No link that shares a band is lost. At the threshold itself a pair shares none
 with probability (1 - 0.85**5)**25 < 1e-6, and its group is found by its other
@@ -32,7 +34,7 @@ from .kit import blocks, mix, tune
 from .shared import stored
 
 BANDS, ROWS = 25, 5
-#: Members from which a bucket's centre and pairs are chosen by the members' own shingles.
+#: Members from which a bucket is large. Its centre is the member with the least part of shingles that no other has.
 LARGE = 48
 _rng = np.random.Generator(np.random.PCG64(31))
 A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,8 +99,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = 0, outside: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, both) of the pairs with 100 * both >= percent * union, by their full sets; with ``outside`` b's shingles that a lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, np.zeros(0, np.uint64)
@@ -107,20 +109,29 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
             for _, data, offs in blocks(batch, "text_b"):
                 sets.extend(shingle_sets(data, offs, width))
             ids = batch.column(0).to_pylist()
-            keep = np.zeros(len(ids), bool)
+            sizes, more, ends = np.zeros((len(ids), 3), np.int64), [np.zeros(0, np.uint64)], [0]
             for i, (a, y) in enumerate(zip(ids, sets, strict=True)):
                 if a != last:
                     text = pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1)], names=["text"])
                     own = next(shingle_sets(*next(blocks(text))[1:], width))
                     last = a
-                both = len(np.intersect1d(own, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(own) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+                both = np.intersect1d(own, y, assume_unique=True)
+                sizes[i] = len(own), len(y), len(both)
+                if outside:
+                    more.append(np.setdiff1d(y, both, assume_unique=True))
+                    ends.append(ends[-1] + len(more[-1]))
+            keep = 100 * sizes[:, 2] >= percent * (sizes[:, 0] + sizes[:, 1] - sizes[:, 2])
+            columns = [batch.column(0), batch.column(1), *(pa.array(sizes[:, j]) for j in range(3))]
+            names = ["a", "b", "n_a", "n_b", "both"]
+            if outside:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(more).view(np.int64))))
+                names.append("outside")
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", outside array<long>" * outside)
 
 
 def own_shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -137,6 +148,36 @@ def own_shingles(texts: DataFrame, width: int) -> DataFrame:
     return single.groupBy("id").agg(F.count("*").alias("own"))
 
 
+def loose_pairs(near: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of members around the centre of a large bucket that lie in different components and may be linked.
+
+    With i the overlap with the centre and e the shingles outside it, the overlap
+    of two members is at most min(i, i') plus what they share outside, and a link
+    needs (100 + percent) * overlap >= percent * (n + n').
+    """
+    large = near.where("large")
+    spread = stored(compare(large.union(large.select("a", F.col("a").alias("b"), "large").distinct()), texts, width, 0, True), "spread")
+    spread = spread.join(found.select(F.col("id").alias("b"), "component"), "b", "left").join(found.select(F.col("id").alias("a"), F.col("component").alias("home")), "a", "left")
+    spread = spread.select(F.col("a").alias("c"), F.col("b").alias("id"), F.col("n_b").alias("n"), "both", F.size("outside").alias("e"), F.coalesce("component", "b").alias("component"), F.coalesce("home", "a").alias("home"), "outside")
+    sums = percent * (F.col("p.n") + F.col("q.n"))
+    apart = (F.col("p.c") == F.col("q.c")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.id") != F.col("q.id"))
+
+    slim = spread.drop("outside")
+    # one of two components isn't the centre's; its member's overlap with the centre must suffice for a partner of the least size
+    p = slim.where((F.col("component") != F.col("home")) & ((100 + percent) * F.col("both") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))).alias("p")
+    direct = p.join(slim.alias("q"), apart & ((100 + percent) * F.least("p.both", "q.both") >= sums))
+    token = spread.withColumn("h", F.explode("outside")).drop("outside")
+    common = token.groupBy("c", "h").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("k > 1 AND x < y").select("c", "h")
+    token = stored(token.join(common, ["c", "h"], "left_semi"), "outside")
+    shared = token.where(F.col("component") != F.col("home")).alias("p").join(token.alias("q"), apart & (F.col("p.h") == F.col("q.h")) & ((100 + percent) * (F.least("p.both", "q.both") + F.least("p.e", "q.e")) >= sums))
+    # of the shared shingles there must be as many as the centre leaves open
+    shared = shared.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), F.col("p.c").alias("c")).agg(
+        F.countDistinct("p.h").alias("k"), F.first(F.least("p.both", "q.both")).alias("i"), F.first(F.col("p.n") + F.col("q.n")).alias("n")
+    )
+    shared = shared.where((100 + percent) * (F.col("i") + F.col("k")) >= percent * F.col("n"))
+    return direct.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).union(shared.select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -164,25 +205,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     large = members.where(F.col("size") >= LARGE).select("id").distinct()
     single = own_shingles(texts.join(large, "id", "left_semi"), width)
-    members = members.join(single, "id", "left").select("key", "id", "n", F.when(F.col("size") >= LARGE, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
-    members = stored(members, "bucket-members")
+    members = stored(members.join(single, "id", "left").select("key", "id", "n", "size", F.coalesce("own", F.lit(0)).alias("own")), "bucket-members")
 
     centre = members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "id", "n")).alias("c"))
-    near = members.join(centre, "key").where(F.col("id") != F.col("c.id")).select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"))
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-    links = stored(verify(near, texts, width, percent), "links")
+    near = members.join(centre, "key").where(F.col("id") != F.col("c.id"))
+    near = near.select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"), (F.col("size") >= LARGE).alias("large"))
+    near = near.where(F.col("large") | (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    near = stored(near.groupBy("a", "b").agg(F.max("large").alias("large")), "centre-pairs")
+    links = stored(compare(near, texts, width, percent).select("a", "b"), "links")
     found = components(links)
 
     # pairs of one bucket in different components, if the sizes allow a link at all
-    placed = members.join(found, "id", "left").select("key", "id", "n", (F.col("n") - F.col("own")).alias("most"), F.coalesce("component", "id").alias("component"))
-    placed = placed.where((100 + percent) * F.col("most") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    placed = members.where(F.col("size") < LARGE).join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     placed = stored(placed.join(several, "key", "left_semi"), "unlinked")
     p, q = placed.alias("p"), placed.alias("q")
-    bound = (100 + percent) * F.least("p.most", "q.most") >= percent * (F.col("p.n") + F.col("q.n"))
+    bound = 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & bound)
-    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = stored(verify(rest, texts, width, percent), "links")
+    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).union(loose_pairs(near, texts, found, width, percent)).distinct()
+    rest = rest.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    more = stored(compare(rest, texts, width, percent).select("a", "b"), "links")
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
     groups = classes.select("n", "d1", "d2", "id").join(found, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
