@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, knn, neardup, pii, ppm, token_store, toxicity
+from . import bpe, cdc, decontaminate, knn, neardup, pii, ppm, substrings, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +41,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -50,8 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_ppm": op4_ppm,
+    "op5_chunk_dedup": op5_chunk_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_pii": op7_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_knn_join": op9_knn_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
