@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -167,15 +167,16 @@ def loose_pairs(near: DataFrame, texts: DataFrame, found: DataFrame, width: int,
     p = slim.where((F.col("component") != F.col("home")) & ((100 + percent) * F.col("both") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))).alias("p")
     direct = p.join(slim.alias("q"), apart & ((100 + percent) * F.least("p.both", "q.both") >= sums))
     token = spread.withColumn("h", F.explode("outside")).drop("outside")
-    common = token.groupBy("c", "h").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("k > 1 AND x < y").select("c", "h")
-    token = stored(token.join(common, ["c", "h"], "left_semi"), "outside")
-    shared = token.where(F.col("component") != F.col("home")).alias("p").join(token.alias("q"), apart & (F.col("p.h") == F.col("q.h")) & ((100 + percent) * (F.least("p.both", "q.both") + F.least("p.e", "q.e")) >= sums))
-    # of the shared shingles there must be as many as the centre leaves open
-    shared = shared.groupBy(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), F.col("p.c").alias("c")).agg(
-        F.countDistinct("p.h").alias("k"), F.first(F.least("p.both", "q.both")).alias("i"), F.first(F.col("p.n") + F.col("q.n")).alias("n")
+    common = token.groupBy("c", "h").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("k > 1 AND x < y").select("c", "h", "k")
+    # in the order of their rarity: the first one that two members share leaves at most the rest of either's to be shared
+    rank = Window.partitionBy("c", "id").orderBy("k", "h")
+    token = token.join(common, ["c", "h"]).withColumn("rest", F.count("*").over(Window.partitionBy("c", "id")) - F.row_number().over(rank) + 1)
+    token = stored(token, "outside")
+    shared = token.where(F.col("component") != F.col("home")).alias("p").join(
+        token.alias("q"), apart & (F.col("p.h") == F.col("q.h")) & ((100 + percent) * (F.least("p.both", "q.both") + F.least("p.rest", "q.rest")) >= sums)
     )
-    shared = shared.where((100 + percent) * (F.col("i") + F.col("k")) >= percent * F.col("n"))
-    return direct.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).union(shared.select("a", "b"))
+    shared = shared.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+    return direct.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).union(shared)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
