@@ -15,7 +15,8 @@ at equal offsets. Consecutive windows with one minimizer form a stretch.
    compared byte by byte against hash collisions; all but a class's earliest go.
 
 A minimizer with more than ``MOST`` stretches isn't put into one task: its
-windows are exchanged as rows by a 128-bit hash and reduced to the earliest.
+windows are exchanged as rows by a 128-bit hash, the earliest of each chunk
+alone, and all but the first of them go as they pass in order.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kit import BYTE_B, MULT_B, Prefix, blocks, expand, mix, tune
+from .kit import BYTE_B, MULT_B, Prefix, blocks, expand, mix, tune, utf8
 
 LENGTH, GRAM = 100, 24
 MOST = 30_000
@@ -166,8 +167,7 @@ def repeats(text: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.nd
     step = window - np.repeat(ends[kept] - n, n)
     place = np.repeat(first[kept], n) + step
     at_doc, at_start = np.repeat(doc[kept], n), np.repeat(start[kept], n) + step
-    _, group = np.unique(np.stack([np.repeat(key[kept], n).view(np.int64), np.repeat(offset[kept], n) - step], axis=1), axis=0, return_inverse=True)
-    group = group.ravel()
+    group = np.repeat(back[number[back] > 1] * 128 + offset[kept], n) - step
     s = Suffixes(text)
     order = s.sort(place, group)
     a, b = order[:-1], order[1:]
@@ -195,7 +195,9 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
 
 
-STRETCH = "h long, doc_id long, start long, windows int, offset int, text binary"
+#: A row is a stretch (windows and text), one window of a frequent minimizer (h and two are its hash), or a run that is known to go.
+ROW = "h long, two long, doc_id long, start long, windows int, offset int, text binary, kind int"
+STRETCH, ONE, GONE = 0, 1, 2
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -233,27 +235,53 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         values, many = right.column("own").to_numpy(), right.column("many").to_numpy()
         order = np.argsort(values[keyed].view(np.uint64))
         keys, often = values[keyed].view(np.uint64)[order], many[keyed][order]
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        texts: list[pa.Array] = []
+        kinds: list[np.ndarray] = []
+        places: list[tuple[np.ndarray, ...]] = []
+
+        def add(kind: int, h: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, offset: np.ndarray, text: pa.Array | None = None) -> None:
+            for store, x in zip(out, (h.view(np.int64), two.view(np.int64), doc, start, windows.astype(np.int32), offset.astype(np.int32)), strict=True):
+                store.append(x)
+            texts.append(pa.nulls(len(h), pa.binary()) if text is None else text)
+            kinds.append(np.full(len(h), kind, np.int32))
+
         for ids, data, offs in originals(left, pa.table({"own": values[~keyed]})):
             row, s, c, p, h = stretches(data, offs)
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            on = np.flatnonzero(keys[at] == h) if len(keys) else np.zeros(0, np.int64)
+            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            frequent = hit & often[at] if len(keys) else hit
+            on, many_on = np.flatnonzero(hit & ~frequent), np.flatnonzero(frequent)
             size = c[on] + LENGTH - 1
             text = data[expand(s[on], size)]
             cut = np.append(0, np.cumsum(size)).astype(np.int32)
-            out[0].append(h[on].view(np.int64))
-            out[1].append(ids[row[on]])
-            out[2].append(s[on] - offs[row[on]])
-            out[3].append(c[on].astype(np.int32))
-            out[4].append((p[on] - s[on]).astype(np.int32))
-            out[5].append(pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(text.tobytes())]))
-            out[6].append(often[at[on]])
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, None, bool)
-        columns = [pa.chunked_array(x, pa.binary()) if k is None else pa.array(np.concatenate([*x, np.zeros(0, k)])) for x, k in zip(out, kinds, strict=True)]
-        return pa.table(columns, names=["h", "doc_id", "start", "windows", "offset", "text", "many"])
-
-    found = dealt.groupBy("chunk").cogroup(both.groupBy("to")).applyInArrow(lambda a, b: emit(a, b), STRETCH + ", many boolean")
-    return dealt, local_runs(found.where("NOT many").drop("many")).union(copies.select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long"))).union(many_runs(found.where("many").drop("many")))
+            text = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(text.tobytes())])
+            add(STRETCH, h[on], np.zeros(len(on), np.int64), ids[row[on]], s[on] - offs[row[on]], c[on], p[on] - s[on], text)
+            w = expand(s[many_on], c[many_on])
+            one, two = mix(Prefix(data)(w, w + LENGTH)), mix(Prefix(data, BYTE_B, MULT_B)(w, w + LENGTH))
+            own = np.repeat(row[many_on], c[many_on])
+            places.append((one, two, ids[own], w - offs[own]))
+        if places:
+            one, two, doc, start = (np.concatenate(x) for x in zip(*places, strict=True))
+            order = np.lexsort((start, doc, two, one))
+            again = np.zeros(len(order), bool)
+            again[1:] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]]) & ((doc[order[1:]] != doc[order[:-1]]) | (start[order[1:]] != start[order[:-1]]))
+            kept = order[~again]
+            zero = np.zeros(len(kept), np.int64)
+            add(ONE, one[kept], two[kept], doc[kept], start[kept], zero + 1, zero)
+            later = order[again]
+            later = later[np.lexsort((start[later], doc[later]))]
+            head = np.ones(len(later), bool)
+            head[1:] = (doc[later[1:]] != doc[later[:-1]]) | (start[later[1:]] != start[later[:-1]] + 1)
+            first = np.flatnonzero(head)
+            run = np.diff(np.append(first, len(later)))
+            zero = np.zeros(len(first), np.int64)
+            add(GONE, mix(doc[later[first]].view(np.uint64)), zero, doc[later[first]], start[later[first]], run, zero)
+        columns = [pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(k)) for x, k in zip(out, (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)]
+        return pa.table([*columns, pa.chunked_array(texts, pa.binary()), pa.array(np.concatenate([*kinds, np.zeros(0, np.int32)]))], names=["h", "two", "doc_id", "start", "windows", "offset", "text", "kind"])
+
+    found = dealt.groupBy("chunk").cogroup(both.groupBy("to")).applyInArrow(lambda a, b: emit(a, b), ROW)
+    return dealt, local_runs(found).union(copies.select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
 def chunked_like(ids: DataFrame, n: int) -> DataFrame:
@@ -261,25 +289,38 @@ def chunked_like(ids: DataFrame, n: int) -> DataFrame:
 
 
 def local_runs(found: DataFrame) -> DataFrame:
-    """Minimizers' stretches side by side in a partition, sorted a few groups at a time."""
+    """(doc_id, start, windows) of what goes. Minimizers' stretches lie side by side in a partition and are sorted a few groups at a time."""
+    names = ["doc_id", "start", "windows"]
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.concat_batches(held)
-        from .kit import utf8
-
-        text, offs = utf8(t.column(5))
-        h, doc, start, windows, offset = (t.column(i).to_numpy() for i in range(5))
+        text, offs = utf8(t.column(6))
+        h, doc, start, windows, offset = (t.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
         windows = windows.astype(np.int64)
         gone = repeats(text, offs[:-1], windows, h.view(np.uint64), doc, start, offset.astype(np.int64))
         a, b = runs_in(gone, windows)
         owner = np.searchsorted(np.cumsum(windows), a, "right")
         inside = a - (np.cumsum(windows) - windows)[owner]
-        return pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(start[owner] + inside), pa.array(b - a)], names=["doc_id", "start", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[owner]), pa.array(start[owner] + inside), pa.array(b - a)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
+        size, last = 0, (0, 0, 0, 0, False)
+        for whole in batches:
+            kind = whole.column(7).to_numpy()
+            gone = whole.filter(pa.array(kind == GONE))
+            yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(3), gone.column(4).cast(pa.int64())], names=names)
+            single = whole.filter(pa.array(kind == ONE))
+            if single.num_rows:  # in the order of hash, document and place: all but the first of a hash go
+                h, two, doc, start = (single.column(i).to_numpy() for i in range(4))
+                same = np.append(last[4] and (h[0], two[0]) == last[:2], (h[1:] == h[:-1]) & (two[1:] == two[:-1]))
+                level = np.append(last[4] and (doc[0], start[0]) == last[2:4], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
+                last = (h[-1], two[-1], doc[-1], start[-1], True)
+                later = same & ~level
+                yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(start[later]), pa.array(np.ones(int(later.sum()), np.int64))], names=names)
+            batch = whole.filter(pa.array(kind == STRETCH))
+            if not batch.num_rows:
+                continue
             h = batch.column(0).to_numpy()
             at = 0
             # a group is cut by no flush: flush at the last change of minimizer, once enough is held
@@ -300,7 +341,7 @@ def local_runs(found: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, start long, windows long")
+    return found.repartition("h").sortWithinPartitions("h", "two", "doc_id", "start").mapInArrow(run, "doc_id long, start long, windows long")
 
 
 def runs_in(mark: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,26 +355,6 @@ def runs_in(mark: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
-def many_runs(found: DataFrame) -> DataFrame:
-    """The same for minimizers with very many stretches: a row for each window, reduced by a hash of its bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kit import utf8
-
-        for batch in batches:
-            text, offs = utf8(batch.column(5))
-            doc, start, windows = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
-            at = expand(offs[:-1], windows)
-            one, two = mix(Prefix(text)(at, at + LENGTH)), mix(Prefix(text, BYTE_B, MULT_B)(at, at + LENGTH))
-            step = at - np.repeat(offs[:-1], windows)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.repeat(doc, windows)), pa.array(np.repeat(start, windows) + step)], names=["one", "two", "doc_id", "start"])
-
-    windows = found.mapInArrow(run, "one long, two long, doc_id long, start long")
-    first = windows.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, ["one", "two"]).where(F.struct("doc_id", "start") > F.col("first"))
-    return later.select("doc_id", "start", F.lit(1).cast("long"))
-
-
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``texts`` also the bytes that are left.
 
