@@ -16,7 +16,8 @@ def offset_token(c: Column) -> Column:
 
 def parse_token(c: Column) -> Column:
     """NULL and negatives are the beginning; anything else that isn't a number gives NULL, an error."""
-    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.greatest(F.expr(f"try_cast({c._jc.toString()} AS BIGINT)"), F.lit(0)))
+    n = c.try_cast("long")
+    return F.when(c.isNull(), F.lit(0).cast("long")).when(n.isNotNull(), F.greatest(n, F.lit(0)))
 
 
 @query("offset_token", sql("SELECT stream_id, off, lpad(CAST(off AS VARCHAR), 20, '0') AS token, off AS parsed FROM records", "records"))
