@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kit import BYTE_B, MULT_B, blocks, span_hash, tune
+from .shared import stored
 
 #: Least and greatest bytes of a chunk; between them about one place in 32 ends one.
 LEAST, MOST, RUN = 24, 128, 96
@@ -77,6 +78,8 @@ def repeated_spans(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     """(doc_id, spans): the byte ranges of each document that repeat earlier text, as an array of (start, end). A document's chunks alone meet in one row."""
     rows = chunk_rows(docs)
     shared = rows.where("NOT again").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # as a table, so that the join's both sides are plain exchanges and Spark can split a frequent chunk's partition
+    shared = stored(shared, "shared-chunks")
     later = rows.join(shared, ["d1", "d2"], "left").where(F.col("again") | (F.col("doc_id") > F.col("first")))
     lists = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("c"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
