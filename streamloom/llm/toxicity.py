@@ -77,9 +77,12 @@ class FTRL:
         self.n[i] = n + g * g
 
     def model(self) -> tuple[np.ndarray, np.ndarray]:
-        w = self.weights(np.arange(SLOTS + 1))
-        i = np.flatnonzero(w)
-        return i, w[i].astype(np.float32)
+        found = []
+        for a in range(0, SLOTS + 1, 1 << 18):  # piece by piece, for the worker's memory
+            i = np.arange(a, min(a + (1 << 18), SLOTS + 1))
+            w = self.weights(i)
+            found.append((i[w != 0], w[w != 0].astype(np.float32)))
+        return np.concatenate([i for i, _ in found]), np.concatenate([w for _, w in found])
 
 
 def remainder(key: Column) -> Column:
