@@ -6,10 +6,14 @@ distinct symbols against all), and the shorter context then no longer counts the
 symbols of the longer one, which are excluded. Contexts hold up to ``ORDER``
 bytes and reach back to the blank before the word, so that a word's code length
 depends on the word alone; the end of a text is a symbol of its own. Above the
-bytes stands one level whose symbols are whole training words: a word it knows
-is coded there, any other escapes to the bytes, where the spellings of all known
-words are excluded (their total probability is divided out). A text is scored as
-its words, A-Z in lower case, each with one blank behind it.
+bytes stand two levels whose symbols are whole training words and whole phrases
+(words up to one whose hash ends a phrase, about 16). A phrase that the training
+texts hold is coded as such, any other escapes to its words; a known word is
+coded as such, any other escapes to the bytes, where the spellings of all known
+words are excluded (their total probability is divided out). As a level is
+updated only by what escapes to it, the trie counts each training word once. A
+training text is coded with its own occurrence of a phrase left out. A text is
+scored as its words, A-Z in lower case, each with one blank behind it.
 
 Nothing that grows with the corpus is broadcast or gathered on the driver.
 Documents are dealt into chunks; each chunk asks once for each of its distinct
@@ -24,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .kit import LOWER, blocks, expand, span_hash, tune, utf8, words
+from .kit import LOWER, MULT_B, blocks, expand, mix, powers, span_hash, tune, utf8, words
 from .shared import stored
 
-ORDER = 5
+ORDER = 4
 END = 256  # the symbol after the last word
 SYMBOLS = 257
 #: Distinct words in a chunk of words, about.
@@ -38,8 +42,27 @@ WORDS = 250_000
 HELD = 1
 
 
+#: A phrase ends behind about one word in PHRASE, and has LEAST words to be a symbol.
+PHRASE, LEAST = 16, 4
+WORD_KIND, PHRASE_KIND = 0, 1
+
+
+def phrases(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and ends of the phrases, which cover all words, and their hashes."""
+    if not len(h):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64)
+    last = (h >> np.uint64(20)) % np.uint64(PHRASE) == 0
+    last[first[1:][first[1:] > first[:-1]] - 1] = True
+    end = np.flatnonzero(last) + 1
+    start = np.append(0, end[:-1])
+    p, inverse = powers(len(h), MULT_B)
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)]))
+    return start, end, mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def word_rows(docs: DataFrame) -> DataFrame:
-    """(h, word, chunk, n): the distinct words of each stretch of a chunk with their number in training texts. The end is the empty word."""
+    """(kind, h, word, chunk, n, m): the distinct words and phrases of each stretch of a chunk with their number in training texts and in all. The end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, 8 << 20):
@@ -47,17 +70,24 @@ def word_rows(docs: DataFrame) -> DataFrame:
                 data = LOWER[data]
                 s, e, first = words(data, offs)
                 train = ~np.asarray(part.column(1).to_pylist(), bool)
+                row = np.repeat(np.arange(len(train)), np.diff(first))
                 h = span_hash(data, s, e)
                 keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(back, np.repeat(train, np.diff(first)), len(keys)).astype(np.int64)
+                n = np.bincount(back, train[row], len(keys)).astype(np.int64)
                 a, size = s[at], e[at] - s[at]
                 text = data[expand(a, size)]
                 cut = np.append(np.append(0, np.cumsum(size)), int(size.sum())).astype(np.int32)
                 word = pa.Array.from_buffers(pa.binary(), len(keys) + 1, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(text.tobytes())])
                 chunk = part.column(2)[0].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, END_HASH).view(np.int64)), word, pa.array(np.full(len(keys) + 1, chunk, np.int32)), pa.array(np.append(n, int(train.sum())))], names=["h", "word", "chunk", "n"])
+                begin, end, p = phrases(h, first)
+                own = row[begin] if len(begin) else begin
+                long = end - begin >= LEAST
+                many, back = np.unique(p[long], return_inverse=True)
+                in_train = np.bincount(back, train[own[long]], len(many)).astype(np.int64)
+                for kind, key, name, x, y in ((WORD_KIND, np.append(keys, END_HASH), word, np.append(n, int(train.sum())), np.zeros(len(keys) + 1, np.int64)), (PHRASE_KIND, many, pa.nulls(len(many), pa.binary()), in_train, np.bincount(back, minlength=len(many)))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), name, pa.array(np.full(len(key), chunk, np.int32)), pa.array(x), pa.array(y)], names=["kind", "h", "word", "chunk", "n", "m"])
 
-    return docs.select("text", "held_out", "chunk").mapInArrow(run, "h long, word binary, chunk int, n long")
+    return docs.select("text", "held_out", "chunk").mapInArrow(run, "kind int, h long, word binary, chunk int, n long, m long")
 
 
 END_HASH = span_hash(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
@@ -106,7 +136,7 @@ def gram_rows(vocabulary: DataFrame) -> DataFrame:
         for batch in gathered(batches, 8 << 20):
             g, first = grams(batch.column(0))
             keys, back = np.unique(g, return_inverse=True)
-            weight = np.repeat(batch.column(1).to_numpy().astype(float), np.diff(first))
+            weight = np.repeat((batch.column(1).to_numpy() > 0).astype(float), np.diff(first))
             n = np.bincount(back, weight, len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), batch.column(2)[0].as_py(), np.int32)), pa.array(n)], names=["g", "chunk", "n"])
 
@@ -200,16 +230,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
     chunks = max(1, docs.rdd.getNumPartitions())
     rows = docs.select("doc_id", (remainder(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartitionById(chunks, F.col("chunk"))
-    vocabulary = word_rows(rows).groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("c"), F.collect_set("chunk").alias("chunks"))  # a set of chunk numbers at most
-    vocabulary = stored(vocabulary, "vocabulary")
+    symbols = word_rows(rows).groupBy("kind", "h").agg(F.first("word").alias("word"), F.sum("n").alias("c"), F.sum("m").alias("m"), F.collect_set("chunk").alias("chunks"))  # a set of chunk numbers at most
+    seen = Observation()
+    is_phrase = F.col("kind") == PHRASE_KIND
+    symbols = symbols.observe(seen, F.sum(F.when(is_phrase, F.col("c"))).alias("n"), F.sum(F.when(is_phrase & (F.col("c") > 0), 1)).alias("v"))
+    # of the phrases only those can be met as known that occur twice, once in a training text
+    symbols = stored(symbols.where(~is_phrase | ((F.col("c") > 0) & (F.col("m") > 1))).drop("m"), "symbols")
+    phrase_total, phrase_distinct = seen.get["n"] or 0, seen.get["v"] or 0
+    vocabulary = symbols.where(~is_phrase).drop("kind")
     sums = vocabulary.agg(F.count("*").alias("all"), F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     total, distinct = sums.n or 0, sums.v or 0
     scored = stored(words_coded(vocabulary, max(1, -(-sums["all"] // WORDS))), "words")
     spelt = scored.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "lp"))).first()[0] or 0.0
-    answers = scored.select(F.explode("chunks").alias("to"), "h", "c", "lp")
+    answers = scored.select(F.explode("chunks").alias("to"), F.lit(WORD_KIND).alias("kind"), "h", "c", "lp")
+    answers = answers.union(symbols.where(is_phrase).select(F.explode("chunks"), "kind", "h", "c", F.lit(0.0)))
+    phrase_escape = float(np.log10(phrase_distinct / (phrase_total + phrase_distinct))) if phrase_distinct else 0.0
     escape = np.log10(distinct / (total + distinct)) - np.log10(max(1 - spelt, 1e-9)) if distinct else 0.0
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = right.column("kind").to_numpy()
+        known = right.filter(pa.array(kind == PHRASE_KIND))
+        order = np.argsort(known.column("h").to_numpy().view(np.uint64))
+        phrase, times = known.column("h").to_numpy().view(np.uint64)[order], known.column("c").to_numpy()[order]
+        right = right.filter(pa.array(kind == WORD_KIND))
         keys = right.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
         keys, c, lp = keys[order], right.column("c").to_numpy()[order], right.column("lp").to_numpy()[order]
@@ -217,14 +260,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         last = int(np.searchsorted(keys, END_HASH))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        batch = left.select(["text"]).combine_chunks().to_batches()
-        for _, data, offs in (x for b in batch for x in blocks(b)):
+        batch = left.select(["text", "held_out"]).combine_chunks().to_batches()
+        for part, data, offs in (x for b in batch for x in blocks(b)):
             data = LOWER[data]
             s, e, first = words(data, offs)
-            at = np.searchsorted(keys, span_hash(data, s, e))
-            for store, values, end in ((out[1], (c[at] > 0).astype(np.int64), int(c[last] > 0)), (out[2], base[at], base[last]), (out[3], lp[at], lp[last])):
-                row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-                store.append(np.bincount(row, values, len(offs) - 1) + end)
+            h = span_hash(data, s, e)
+            at = np.searchsorted(keys, h)
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+            begin, end, p = phrases(h, first)
+            of = row[begin] if len(begin) else begin
+            sums = np.append(0.0, np.cumsum(lp[at]))
+            code = sums[end] - sums[begin] + phrase_escape
+            place = np.minimum(np.searchsorted(phrase, p), max(0, len(phrase) - 1))
+            if len(phrase):
+                held = np.asarray(part.column(1).to_pylist(), bool)
+                count = np.where((phrase[place] == p) & (end - begin >= LEAST), times[place] - ~held[of], 0)
+                code = np.where(count > 0, np.log10(np.maximum(count, 1) / (phrase_total + phrase_distinct)), code)
+            for store, owner, values, tail in ((out[1], row, (c[at] > 0).astype(np.int64), int(c[last] > 0)), (out[2], row, base[at], base[last]), (out[3], of, code, lp[last])):
+                store.append(np.bincount(owner, values, len(offs) - 1) + tail)
             out[0].append(np.diff(first) + 1)
         n, known, b, p = (np.concatenate([*x, np.zeros(0)]) for x in out)
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(b), pa.array(p)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

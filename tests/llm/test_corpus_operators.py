@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.llm import cdc, components, knn, neardup, ppm, substrings
+from streamloom.llm.kit import span_hash
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,6 +95,17 @@ def spelt(word):
     return [(s[max(0, i - ppm.ORDER) : i], s[i]) for i in range(1, len(s))] + [(s[-ppm.ORDER :], 32)] if word else [(b" ", ppm.END)]
 
 
+def cut_phrases(words):
+    out, phrase = [], []
+    for w in words:
+        b = np.frombuffer(w.encode(), np.uint8)
+        phrase.append(w)
+        if int(span_hash(b, np.array([0]), np.array([len(b)]))[0] >> np.uint64(20)) % ppm.PHRASE == 0:
+            out.append(tuple(phrase))
+            phrase = []
+    return [*out, tuple(phrase)] if phrase else out
+
+
 def test_ppm_is_brute_force(spark, docs):
     rows = {r.doc_id: r.text for r in docs.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in rows}
@@ -101,10 +113,10 @@ def test_ppm_is_brute_force(spark, docs):
     c = collections.Counter(w for i in rows if not held[i] for w in lists[i])
     n, v = sum(c.values()), len(c)
     trie = collections.defaultdict(collections.Counter)
-    for w, k in c.items():
+    for w in c:
         for context, symbol in spelt(w):
             for j in range(len(context) + 1):
-                trie[context[j:]][symbol] += k
+                trie[context[j:]][symbol] += 1
 
     def log(context, symbol):
         gone, out = set(), 0.0
@@ -123,11 +135,25 @@ def test_ppm_is_brute_force(spark, docs):
     letters = lambda w: memo.setdefault(w, sum(log(*g) for g in spelt(w)))
     known = sum(10 ** letters(w) for w in c)
     score = lambda w: math.log10(c[w] / (n + v)) if c[w] else math.log10(v / (n + v)) - math.log10(1 - known) + letters(w)
+    cuts = {i: cut_phrases(w[:-1]) for i, w in lists.items()}
+    long = collections.Counter(p for i in rows if not held[i] for p in cuts[i] if len(p) >= ppm.LEAST)
+    total, distinct = sum(long.values()), len(long)
+
+    def coded(p, own):
+        times = long[p] - own
+        return math.log10(times / (total + distinct)) if times > 0 else math.log10(distinct / (total + distinct)) + sum(map(score, p))
+
     for r in ppm.score_documents(docs).collect():
         w = lists[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
-        assert r.score == pytest.approx(sum(map(score, w)), rel=1e-6)
+        assert r.score == pytest.approx(sum(coded(p, not held[r.doc_id]) for p in cuts[r.doc_id]) + score(""), rel=1e-6)
+
+
+def test_ppm_beats_the_word_model_on_held_out_texts(spark):
+    got = ppm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    r = got.agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
+    assert r.a > r.b
 
 
 def test_ppm_odd(spark, odd):
