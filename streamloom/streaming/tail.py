@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.state import decide
+from ..operators.state import FSM, decide
 from ..registry import query
 from ..sources.tables import attempts, records, sql
 
@@ -61,6 +61,7 @@ class Producers(StatefulProcessor):
         pass
 
 
+@query("dedup_stream", sql(FSM + " SELECT stream_id, rn, decision FROM f", "records", "attempts", recursive=True))
 def dedup_stream(spark: SparkSession, d: str) -> DataFrame:
     """The producer rule as a stateful stream, with its state in RocksDB."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -112,3 +112,19 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_wire_codecs_refuse_what_is_broken():
+    from streamloom.functions import wire
+
+    assert [wire.end_offset(*x) for x in ((3, 2), (1000, -8), (7, 0))] == [5, 1008, 7]
+    data = wire.encode_frames([b"a", b"", b"ccc"])
+    assert wire.decode_frames(data) == [b"a", b"", b"ccc"]
+    for broken in (data[:-1], data + b"x", b"\x02" + data[1:], b""):
+        with pytest.raises(ValueError):
+            wire.decode_frames(broken)
+    head = wire.log_header(b"body", 77)
+    assert wire.check_header(head)[:2] == (4, 77)
+    for i in range(24):
+        with pytest.raises(ValueError):
+            wire.check_header(head[:i] + bytes([head[i] ^ 1]) + head[i + 1 :])
