@@ -65,8 +65,8 @@ def word_rows(docs: DataFrame) -> DataFrame:
     """(kind, h, word, chunk, n, m): the distinct words and phrases of each stretch of a chunk with their number in training texts and in all. The end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, 8 << 20):
-            for part, data, offs in blocks(batch, limit=8 << 20):
+        for batch in gathered(batches, 4 << 20):
+            for part, data, offs in blocks(batch, limit=4 << 20):
                 data = LOWER[data]
                 s, e, first = words(data, offs)
                 train = ~np.asarray(part.column(1).to_pylist(), bool)
@@ -133,7 +133,7 @@ def gram_rows(vocabulary: DataFrame) -> DataFrame:
     """(g, chunk, n): the distinct symbols in context of each stretch of a chunk of words, with their number in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, 8 << 20):
+        for batch in gathered(batches, 4 << 20):
             g, first = grams(batch.column(0))
             keys, back = np.unique(g, return_inverse=True)
             weight = np.repeat((batch.column(1).to_numpy() > 0).astype(float), np.diff(first))
