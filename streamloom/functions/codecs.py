@@ -103,7 +103,7 @@ def object_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", object_key(F.col("event_id") * 7919).alias("key"))
 
 
-@query("index_key")
+@query("index_key", "SELECT i AS node_id, lpad(lower(to_hex(list_reduce(list_transform(string_split('sparse-index' || i, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: (a * 31 + c) & 4294967295))), 8, '0') || '/DEFAULT/node-' || i AS key FROM range(500) t(i)")
 def index_key(spark: SparkSession, d: str) -> DataFrame:
     """A 31-polynomial string hash, wrapped to 32 bits, as hex."""
     codes = F.transform(F.split(F.concat(F.lit("sparse-index"), F.col("id").cast("string")), ""), lambda c: F.ascii(c).cast("long"))
@@ -164,3 +164,12 @@ def user_ct(spark: SparkSession, d: str) -> DataFrame:
     stored = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("application/x-log; ct="), "event_type")).otherwise("application/x-log")
     ct = F.regexp_extract(stored, "; ct=(.*)$", 1)
     return read(spark, d, "events").select("event_id", F.when(ct != "", ct).otherwise("application/octet-stream").alias("ct"))
+
+
+@query("resume_cursor", sql("SELECT stream_id, off, CASE WHEN client IS NULL OR ts_ms // 20000 > client THEN ts_ms // 20000 ELSE client + 1 + ts_ms % 1000 * 1000000 % 60 END AS cursor FROM (SELECT *, CASE WHEN off % 3 > 0 THEN ts_ms // 20000 + off % 5 - 2 END AS client FROM records)", "records"))
+def resume_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The interval of 20 seconds that now is in, or beyond the client's value, with a jitter from the clock, so that no cache answers twice."""
+    interval = F.expr("ts_ms div 20000")
+    r = records(spark, d).select("stream_id", "off", "ts_ms", interval.alias("interval"), F.when(F.col("off") % 3 > 0, interval + F.col("off") % 5 - 2).alias("client"))
+    later = F.col("client") + 1 + F.col("ts_ms") % 1000 * 1000000 % 60
+    return r.select("stream_id", "off", F.when(F.col("client").isNull() | (F.col("interval") > F.col("client")), F.col("interval")).otherwise(later).alias("cursor"))

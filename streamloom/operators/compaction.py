@@ -122,7 +122,6 @@ def evict_step(state: list[int], row: dict) -> tuple[list[int], dict | None]:
 
 
 @query("sparse_evict", sql("+ k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_off) AS rn FROM objects) SELECT a.stream_id, a.start_off, b.object_id AS evicted FROM k a JOIN k b ON a.stream_id = b.stream_id AND b.rn = a.rn - 7 WHERE a.rn > 8", "objects"))
-@query("cache_free")
 def sparse_evict(spark: SparkSession, d: str) -> DataFrame:
     return fold(objects(spark, d).select("stream_id", "start_off", "object_id"), "stream_id", ["start_off"], list, evict_step, "stream_id long, start_off long, evicted long")
 
@@ -156,3 +155,49 @@ def wal_trim_skip(spark: SparkSession, d: str, trim_to: int = 25) -> DataFrame:
 def zombie_overlap(spark: SparkSession, d: str) -> DataFrame:
     """An older epoch's first object goes if it overlaps a newer one, here [3, 8)."""
     return wal(spark, d).where(~((F.col("a") < 8) & (F.col("b") > 3) & (F.col("object_id") == 0))).select("object_id")
+
+
+OVER = """+ b AS (SELECT * FROM objects WHERE kind = 'stream_set'), c AS (SELECT *, CASE WHEN lag(end_off) OVER w = start_off THEN 0 ELSE 1 END AS cut FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY start_off)),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id ORDER BY start_off) AS island FROM c),
+r AS (SELECT stream_id, island, CASE WHEN lead(island) OVER (PARTITION BY stream_id ORDER BY island) IS NOT NULL OR sum(size) > 60 THEN 1 ELSE 0 END AS split FROM g GROUP BY stream_id, island),
+p AS (SELECT *, coalesce(sum(split) OVER (ORDER BY stream_id, island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS builder FROM r),
+m AS (SELECT object_id, stream_id, split, builder FROM g JOIN p USING (stream_id, island)), k AS (SELECT object_id, count(DISTINCT (split, builder)) AS refs FROM m GROUP BY 1),
+s AS (SELECT builder, count(*) AS blocks, sum(refs) AS refs FROM m JOIN k USING (object_id) WHERE split = 1 GROUP BY 1),
+n AS (SELECT object_id, count(*) AS streams FROM m WHERE split = 0 GROUP BY 1), t AS (SELECT stream_id, sum(streams) AS dispersion FROM m JOIN n USING (object_id) WHERE split = 0 GROUP BY 1)
+SELECT DISTINCT 'split' AS kind, object_id FROM m WHERE split = 1 AND builder = (SELECT builder FROM s ORDER BY blocks, refs, builder LIMIT 1) UNION ALL SELECT DISTINCT 'compact', object_id FROM m WHERE split = 0 AND stream_id = (SELECT stream_id FROM t ORDER BY dispersion, stream_id LIMIT 1)"""
+
+
+@query("add_objects_to_remove", sql(OVER, "objects"))
+def add_objects_to_remove(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
+    """What a plan beyond its limits leaves out: the objects of the split of fewest blocks, then fewest references, or those of the least dispersed stream.
+
+    Between two splits all compacted runs share an output, so outputs are
+    numbered by the splits before them: counted within ranges of 1,024 streams,
+    and over the ranges' sums, so that no task has all runs.
+    """
+    w = Window.partitionBy("stream_id").orderBy("start_off")
+    b = objects(spark, d).where("kind = 'stream_set'").withColumn("cut", F.when(F.lag("end_off").over(w) == F.col("start_off"), 0).otherwise(1)).withColumn("island", F.sum("cut").over(w))
+    more = F.lead("island").over(Window.partitionBy("stream_id").orderBy("island"))
+    r = b.groupBy("stream_id", "island").agg(F.sum("size").alias("size")).withColumn("split", (more.isNotNull() | (F.col("size") > split)).cast("int")).withColumn("range", F.expr("stream_id div 1024"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = r.groupBy("range").agg(F.sum("split").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("range").orderBy("stream_id", "island").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("inner", F.coalesce(F.sum("split").over(inner), F.lit(0))).join(ranges, "range")
+    m = b.join(r.select("stream_id", "island", "split", (F.col("base") + F.col("inner")).alias("builder")), ["stream_id", "island"]).select("object_id", "stream_id", "split", "builder")
+
+    refs = m.select("object_id", "split", "builder").distinct().groupBy("object_id").agg(F.count("*").alias("refs"))
+    s = m.where("split = 1").join(refs, "object_id").groupBy("builder").agg(F.count("*").alias("blocks"), F.sum("refs").alias("refs"))
+    least = s.agg(F.min(F.struct("blocks", "refs", "builder")).alias("x")).select(F.col("x.builder").alias("builder"), F.lit(1).alias("split"))
+    c = m.where("split = 0")
+    t = c.join(c.groupBy("object_id").agg(F.count("*").alias("streams")), "object_id").groupBy("stream_id").agg(F.sum("streams").alias("dispersion"))
+    close = t.agg(F.min(F.struct("dispersion", "stream_id")).alias("x")).select("x.stream_id")
+    one = m.join(F.broadcast(least), ["builder", "split"], "left_semi").select(F.lit("split").alias("kind"), "object_id")
+    return one.distinct().union(c.join(F.broadcast(close), "stream_id", "left_semi").select(F.lit("compact").alias("kind"), "object_id").distinct())
+
+
+@query("compaction_schedule", sql("SELECT t.tick, s.stream_id, CASE WHEN t.tick % 6 = 0 THEN 'major' ELSE 'minor' END AS level FROM streams s JOIN range(1, 13) t(tick) ON t.tick * 600 - s.stream_id * 7 >= 60 WHERE NOT closed", "streams"))
+def compaction_schedule(spark: SparkSession, d: str, ticks: int = 12) -> DataFrame:
+    """A sweep of the open streams every ten minutes, each sixth a major one; streams opened (here at 7 seconds times their id) under 60 seconds ago wait."""
+    tick = F.explode(F.expr(f"sequence(1L, {ticks}L)")).alias("tick")
+    s = streams(spark, d).where("NOT closed").select("stream_id", tick).where("tick * 600 - stream_id * 7 >= 60")
+    return s.select("tick", "stream_id", F.when(F.col("tick") % 6 == 0, "major").otherwise("minor").alias("level"))

@@ -167,3 +167,28 @@ def trim_filter(spark: SparkSession, d: str) -> DataFrame:
 def object_filter(spark: SparkSession, d: str) -> DataFrame:
     """Small stream objects, for compaction."""
     return objects(spark, d).where("kind = 'stream'").groupBy("object_id").agg(F.sum("size").alias("size")).where("size < 9000")
+
+
+WAIT = "+ w AS (SELECT p.stream_id, p.off, p.off + 2 AS wait_off, p.ts_ms, q.ts_ms AS came, closed, end_off FROM records p JOIN streams USING (stream_id) LEFT JOIN records q ON q.stream_id = p.stream_id AND q.off = p.off + 2 WHERE p.off % 5 = 0), o AS (SELECT *, CASE WHEN came IS NULL AND closed THEN 'closed' WHEN came - ts_ms BETWEEN 0 AND 36000000 THEN 'data' ELSE 'timeout' END AS outcome FROM w)"
+
+
+def waiting(spark: SparkSession, d: str, timeout_ms: int) -> DataFrame:
+    """Readers that wait behind each fifth record for the one that brings the next offset beyond theirs: an equi-join on that record."""
+    r = records(spark, d).select("stream_id", "off", "ts_ms")
+    p = r.where("off % 5 = 0").withColumn("wait_off", F.col("off") + 2).join(streams(spark, d).select("stream_id", "closed"), "stream_id")
+    w = p.join(r.select("stream_id", F.col("off").alias("wait_off"), F.col("ts_ms").alias("at")), ["stream_id", "wait_off"], "left")
+    data = (F.col("at") - F.col("ts_ms")).between(0, timeout_ms)
+    return w.withColumn("outcome", F.when(F.col("at").isNull() & F.col("closed"), "closed").when(data, "data").otherwise("timeout"))
+
+
+@query("waiters", sql(WAIT + " SELECT stream_id, wait_off, outcome FROM o", "records", "streams"))
+def waiters(spark: SparkSession, d: str, timeout_ms: int = 36_000_000) -> DataFrame:
+    """Woken by data beyond the awaited offset or by the end of the stream, else by the time-out."""
+    return waiting(spark, d, timeout_ms).select("stream_id", "wait_off", "outcome")
+
+
+@query("long_poll", sql(WAIT + " SELECT stream_id, wait_off, CASE WHEN outcome = 'data' THEN 200 ELSE 204 END AS status, CASE WHEN outcome = 'data' THEN wait_off + 1 ELSE wait_off END AS next, outcome = 'closed' AS closed FROM o", "records", "streams"))
+def long_poll(spark: SparkSession, d: str, timeout_ms: int = 36_000_000) -> DataFrame:
+    """The answer to a reader at the tail: what came, or nothing with the same place to go on from."""
+    data = F.col("outcome") == "data"
+    return waiting(spark, d, timeout_ms).select("stream_id", "wait_off", F.when(data, 200).otherwise(204).alias("status"), F.when(data, F.col("wait_off") + 1).otherwise(F.col("wait_off")).alias("next"), (F.col("outcome") == "closed").alias("closed"))

@@ -164,8 +164,11 @@ def paged(state: tuple[int, int, int], row: dict) -> tuple[tuple[int, int, int],
     return (number, size + row["len"], count + 1), {"stream_id": row["stream_id"], "off": row["off"], "page": number}
 
 
-@query("paginate", sql(f"+ p AS (SELECT stream_id, off, len AS size, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS page FROM records WHERE off = 0 UNION ALL SELECT r.stream_id, r.off, CASE WHEN n >= {MAX_RECORDS} OR size >= {MAX_BYTES} OR (size > 0 AND size + len > {MAX_BYTES}) THEN len ELSE size + len END, CASE WHEN n >= {MAX_RECORDS} OR size >= {MAX_BYTES} OR (size > 0 AND size + len > {MAX_BYTES}) THEN 1 ELSE n + 1 END, CASE WHEN n >= {MAX_RECORDS} OR size >= {MAX_BYTES} OR (size > 0 AND size + len > {MAX_BYTES}) THEN page + 1 ELSE page END FROM p JOIN records r ON r.stream_id = p.stream_id AND r.off = p.off + 1) SELECT stream_id, off, page FROM p", "records", recursive=True))
-@query("catch_up_read")
+PAGES = sql(f"+ p AS (SELECT stream_id, off, len AS size, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS page FROM records WHERE off = 0 UNION ALL SELECT r.stream_id, r.off, CASE WHEN n >= {MAX_RECORDS} OR size >= {MAX_BYTES} OR (size > 0 AND size + len > {MAX_BYTES}) THEN len ELSE size + len END, CASE WHEN n >= {MAX_RECORDS} OR size >= {MAX_BYTES} OR (size > 0 AND size + len > {MAX_BYTES}) THEN 1 ELSE n + 1 END, CASE WHEN n >= {MAX_RECORDS} OR size >= {MAX_BYTES} OR (size > 0 AND size + len > {MAX_BYTES}) THEN page + 1 ELSE page END FROM p JOIN records r ON r.stream_id = p.stream_id AND r.off = p.off + 1) SELECT stream_id, off, page FROM p", "records", recursive=True)
+
+
+@query("paginate", PAGES)
+@query("catch_up_read", PAGES)
 def paginate(spark: SparkSession, d: str) -> DataFrame:
     """Bounded reads one after another until the end of every stream."""
     return fold(records(spark, d).select("stream_id", "off", "len"), "stream_id", ["off"], lambda: (0, 0, 0), paged, "stream_id long, off long, page long")

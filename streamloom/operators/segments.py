@@ -112,16 +112,24 @@ def regroup(most_bytes: int, most_parts: int) -> Callable:
     return step
 
 
-@query("merge_groups")
-@query("index_regroup")
-@query("read_coalesce")
-@query("cache_merge")
+def objects_recursive(where: str, cut: str) -> str:
+    """The oracle of a greedy cut over each stream's objects."""
+    k = f"k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_off) AS rn FROM objects WHERE {where})"
+    step = f"SELECT k.*, f.grp, f.s, f.n, {cut} AS cut FROM f JOIN k ON k.stream_id = f.stream_id AND k.rn = f.rn + 1"
+    return f"+ {k}, f AS (SELECT stream_id, start_off, rn, end_off AS e, size AS s, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS grp FROM k WHERE rn = 1 UNION ALL SELECT stream_id, start_off, rn, end_off, CASE WHEN cut THEN size ELSE s + size END, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN grp + 1 ELSE grp END FROM ({step}))"
+
+
+MERGED = sql(objects_recursive("object_id % 3 <> 1", "k.start_off <> f.e OR f.s + k.size > 200 OR f.n >= 4") + " SELECT stream_id, start_off, grp FROM f", "objects", recursive=True)
+
+
+@query("merge_groups", MERGED)
+@query("index_regroup", MERGED)
 def merge_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = objects(spark, d).where("object_id % 3 <> 1").select("stream_id", "start_off", "end_off", "size")
     return fold(rows, "stream_id", ["start_off"], lambda: (0, 0, 0, None), regroup(200, 4), "stream_id long, start_off long, grp long")
 
 
-@query("cache_stage")
+@query("cache_stage", sql(objects_recursive("true", "f.s + k.size > 300") + " SELECT stream_id, start_off AS off, grp AS segment FROM f", "objects", recursive=True))
 def cache_stage(spark: SparkSession, d: str, cache: int = 300) -> DataFrame:
     """A stream's plan split into stages that fit the cache."""
     rows = objects(spark, d).select("stream_id", F.col("start_off").alias("off"), F.col("size").alias("len"))

@@ -151,3 +151,51 @@ def recovery_filter(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("stream_id").orderBy(F.col("off") + 3 * (F.col("off") % 2), "off")
     rows = records(spark, d).join(s, "stream_id").select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("place"), F.col("off").alias("base"), "first")
     return fold(rows, "stream_id", ["place"], lambda: None, recover_step, "stream_id long, place long, base long")
+
+
+ORDERED = """+ a AS MATERIALIZED (SELECT * FROM attempts), f AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS rn, '' AS result, CAST(NULL AS BIGINT) AS e, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS tail, false AS closed FROM a UNION ALL
+SELECT stream_id, rn, result, CASE WHEN result = 'appended' THEN ae ELSE e END, CASE WHEN result = 'appended' THEN aseq ELSE s END, CASE WHEN result = 'appended' AND rn % 17 <> 16 THEN tail + 1 ELSE tail END, closed OR (result = 'appended' AND rn % 34 = 16)
+FROM (SELECT *, CASE WHEN decision <> 'accepted' THEN decision WHEN closed THEN 'closed' WHEN rn % 9 = 4 AND tail <> rn - 2 THEN 'match_failed' WHEN rn % 17 = 16 AND rn % 34 <> 16 THEN 'empty' ELSE 'appended' END AS result FROM (SELECT a.stream_id, a.rn, a.epoch AS ae, a.seq AS aseq, f.e, f.s, f.tail, f.closed, """ + NEXT + """ AS decision FROM f JOIN a ON a.stream_id = f.stream_id AND a.rn = f.rn + 1)))
+SELECT stream_id, rn, result, tail, closed FROM f WHERE rn > 0"""
+
+
+def append_step(state: tuple, row: dict) -> tuple[tuple, dict]:
+    """The checks in their order: the producer, a closed stream, the expected tail, an empty payload. Only an append that passes all of them changes the state; one without a payload that closes applies no record."""
+    producer, tail, closed = state
+    after, result = decide(producer, row["epoch"], row["seq"])
+    if result == "accepted":
+        if closed:
+            result = "closed"
+        elif row["expected"] is not None and row["expected"] != tail:
+            result = "match_failed"
+        elif row["empty"] and not row["close"]:
+            result = "empty"
+        else:
+            result = "appended"
+            producer, tail, closed = after, tail + (not row["empty"]), row["close"]
+    return (producer, tail, closed), {"stream_id": row["stream_id"], "rn": row["rn"], "result": result, "tail": tail, "closed": closed}
+
+
+@query("append", sql(ORDERED, "records", "attempts", recursive=True))
+def append(spark: SparkSession, d: str) -> DataFrame:
+    """Whole appends: some expect a tail, some have no payload, some close the stream."""
+    n = F.col("rn")
+    rows = attempts(spark, d).select("*", F.when(n % 9 == 4, n - 2).alias("expected"), (n % 17 == 16).alias("empty"), (n % 34 == 16).alias("close"))
+    return fold(rows, "stream_id", ["rn"], lambda: (None, 0, False), append_step, "stream_id long, rn long, result string, tail long, closed boolean")
+
+
+def session_step(state: tuple[bool, tuple[int, int] | None], row: dict) -> tuple[tuple, dict]:
+    """A producer's session is poisoned by the first hard failure: all that follows fails without being sent. A duplicate is a success."""
+    poisoned, producer = state
+    if poisoned:
+        return state, {"stream_id": row["stream_id"], "rn": row["rn"], "result": "poisoned"}
+    producer, result = decide(producer, row["epoch"], row["seq"])
+    return (result not in ("accepted", "duplicate"), producer), {"stream_id": row["stream_id"], "rn": row["rn"], "result": result}
+
+
+SESSION = FSM + ", x AS (SELECT stream_id, min(rn) AS first FROM f WHERE decision NOT IN ('accepted', 'duplicate') GROUP BY 1) SELECT stream_id, rn, CASE WHEN rn > first THEN 'poisoned' ELSE decision END AS result FROM f LEFT JOIN x USING (stream_id)"
+
+
+@query("producer_session", sql(SESSION, "records", "attempts", recursive=True))
+def producer_session(spark: SparkSession, d: str) -> DataFrame:
+    return fold(attempts(spark, d), "stream_id", ["rn"], lambda: (False, None), session_step, "stream_id long, rn long, result string")

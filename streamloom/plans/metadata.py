@@ -144,8 +144,15 @@ def lease_step(state: tuple, row: dict) -> tuple[tuple, dict]:
     return state, {"stream_id": row["stream_id"], "off": row["off"], "won": won, "epoch": state[1]}
 
 
-@query("lease_cas")
-@query("lease_release")
+LEASE = """+ r AS MATERIALIZED (SELECT stream_id, off, ts_ms, header_type = 'error' AS release, 'n' || event_id % 3 AS holder FROM records),
+f AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS off, false AS won, CAST(NULL AS VARCHAR) AS owner, CAST(0 AS BIGINT) AS e, CAST(0 AS BIGINT) AS x FROM r UNION ALL
+SELECT stream_id, off, won, CASE WHEN NOT won THEN owner WHEN NOT release THEN holder END, CASE WHEN won AND NOT release AND NOT (own AND ts_ms < x) THEN e + 1 ELSE e END, CASE WHEN NOT won THEN x WHEN release THEN 0 ELSE ts_ms + 36000000 END
+FROM (SELECT *, CASE WHEN release THEN own ELSE own OR owner IS NULL OR ts_ms >= x END AS won FROM (SELECT r.*, f.owner, f.e, f.x, coalesce(f.owner = r.holder, false) AS own FROM f JOIN r ON r.stream_id = f.stream_id AND r.off = f.off + 1)))
+SELECT stream_id, off, won, e AS epoch FROM f WHERE off >= 0"""
+
+
+@query("lease_cas", sql(LEASE, "records", recursive=True))
+@query("lease_release", sql(LEASE, "records", recursive=True))
 def lease_cas(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d).select("stream_id", "off", "ts_ms", "header_type", F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")).alias("holder"))
     return fold(rows, "stream_id", ["off"], lambda: (None, 0, 0), lease_step, "stream_id long, off long, won boolean, epoch long")

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.functions.codecs import object_key, offset_token, parse_token
+from streamloom.operators.cache import MERGE_FROM, coalesce_step, merge_step
 from streamloom.operators.compaction import evict_step, plan_blocks
 from streamloom.operators.reads import page
-from streamloom.operators.state import decide, recover_step, ttl_step
+from streamloom.operators.state import append_step, decide, recover_step, session_step, ttl_step
 from streamloom.plans.metadata import EMPTY, OPS, apply, lease
 
 
@@ -128,3 +129,66 @@ def test_wire_codecs_refuse_what_is_broken():
     for i in range(24):
         with pytest.raises(ValueError):
             wire.check_header(head[:i] + bytes([head[i] ^ 1]) + head[i + 1 :])
+
+
+def merged(blocks, most):
+    """Cache blocks merged pair by pair in a list, as lists of block ids."""
+    held = [{"ids": [b["block_id"]], "size": b["size"], "free": b["free"], "at": {s["stream_id"]: (s["start_off"], s["end_off"]) for s in b["streams"]}} for b in blocks]
+    i = 0
+    while len(held) > MERGE_FROM and i + 1 < len(held):
+        a, b = held[i], held[i + 1]
+        if not a["free"] or not b["free"]:
+            break
+        if a["size"] + b["size"] >= most or any(k in b["at"] and b["at"][k][0] != v[1] for k, v in a["at"].items()):
+            i += 1
+            continue
+        at = dict(a["at"])
+        for k, v in b["at"].items():
+            at[k] = (at.get(k, v)[0], v[1])
+        held[i : i + 2] = [{"ids": a["ids"] + b["ids"], "size": a["size"] + b["size"], "free": True, "at": at}]
+    return [h["ids"] for h in held]
+
+
+def test_cache_merge_is_the_merging_of_a_list():
+    rng = random.Random(9)
+    for _ in range(300):
+        blocks, end, n = [], {}, rng.randrange(1, 40)
+        for i in range(n):
+            streams = []
+            for s in rng.sample(range(6), rng.randrange(1, 4)):
+                first = end.get(s, 0) + (rng.random() < 0.1)
+                end[s] = first + rng.randrange(1, 5)
+                streams.append({"stream_id": s, "start_off": first, "end_off": end[s]})
+            blocks.append({"node_id": 1, "block_id": i, "size": rng.randrange(1, 30), "free": rng.random() < 0.97, "blocks": n, "streams": streams})
+        state, groups = None, {}
+        for b in blocks:
+            state, out = merge_step(state, b, 60)
+            groups.setdefault(out["grp"], []).append(out["block_id"])
+        assert list(groups.values()) == merged(blocks, 60)
+
+
+def test_reads_coalesce_and_large_blocks_stay_alone():
+    state, runs, pos = (0, 0, None), [], 0
+    for size in (10, 20, 200, 5, 5):
+        state, out = coalesce_step(state, {"object_id": 1, "stream_id": 1, "pos": pos, "size": size}, 100)
+        runs.append(out["run"])
+        pos += size
+    assert runs == [0, 0, 1, 2, 2]
+    assert coalesce_step(state, {"object_id": 1, "stream_id": 1, "pos": pos + 1, "size": 1}, 100)[1]["run"] == 3
+
+
+def test_append_checks_in_order():
+    row = {"stream_id": 1, "rn": 1, "epoch": 1, "seq": 0, "expected": None, "empty": False, "close": False}
+    state, seen = (None, 0, False), []
+    for change in ({}, {"expected": 9}, {"seq": 1, "expected": 0}, {"seq": 1, "empty": True}, {"seq": 1, "empty": True, "close": True}, {"seq": 1}, {"seq": 2}):
+        state, out = append_step(state, {**row, **change})
+        seen.append((out["result"], out["tail"], out["closed"]))
+    assert seen == [("appended", 1, False), ("duplicate", 1, False), ("match_failed", 1, False), ("empty", 1, False), ("appended", 1, True), ("duplicate", 1, True), ("closed", 1, True)]
+
+
+def test_a_session_is_poisoned_once():
+    state, seen = (False, None), []
+    for seq in (0, 0, 1, 5, 2):
+        state, out = session_step(state, {"stream_id": 1, "rn": seq, "epoch": 1, "seq": seq})
+        seen.append(out["result"])
+    assert seen == ["accepted", "duplicate", "accepted", "sequence_gap", "poisoned"]
