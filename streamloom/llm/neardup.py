@@ -247,3 +247,18 @@ def of_class(rows: DataFrame, named: DataFrame, width: int) -> DataFrame:
 
     marked = rows.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, text string, d1 long, d2 long")
     return marked.join(named.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").select("id", "text").dropDuplicates(["id"])
+
+
+#: The same rows for shingles of three words and 85 percent: candidates by prefixes of each set's rarest shingles, counted on the full sets, and reached by recursion.
+ORACLE = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM t),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), chr(10))) AS h FROM g),
+c AS MATERIALIZED (SELECT h, min(doc_id) AS id, any_value(n) AS n FROM n WHERE n > 0 GROUP BY h),
+x AS MATERIALIZED (SELECT doc_id AS id, n, unnest(s) AS sh FROM g JOIN c ON c.id = g.doc_id),
+y AS MATERIALIZED (SELECT id, n, sh, row_number() OVER (PARTITION BY id ORDER BY k, sh) AS r FROM (SELECT *, count(*) OVER (PARTITION BY sh) AS k FROM x)),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM y a JOIN y b ON a.sh = b.sh AND a.id < b.id WHERE a.r <= a.n - (85 * a.n + 99) // 100 + 1 AND b.r <= b.n - (85 * b.n + 99) // 100 + 1 AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT p.a, p.b, any_value(u.n) AS na, any_value(v.n) AS nb, count(*) AS inter FROM p JOIN x u ON u.id = p.a JOIN x v ON v.id = p.b AND v.sh = u.sh GROUP BY p.a, p.b) WHERE 100 * inter >= 85 * (na + nb - inter)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS low FROM c UNION SELECT d.b, r.low FROM r JOIN d ON d.a = r.id WHERE r.low < d.b),
+m AS (SELECT id, min(low) AS low FROM r GROUP BY id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.low, n.doc_id) AS component_id, n.doc_id = coalesce(m.low, n.doc_id) AS kept FROM n LEFT JOIN c ON c.h = n.h AND n.n > 0 LEFT JOIN m ON m.id = c.id"""

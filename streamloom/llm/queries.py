@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_knn_join": op9_knn_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op9_knn_join": knn.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_minhash": neardup.ORACLE, "op9_knn_join": knn.ORACLE}
