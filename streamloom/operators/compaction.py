@@ -59,20 +59,40 @@ def plan_blocks(blocks: Iterable[tuple[int, int, int, int]], split: int) -> list
     return out
 
 
-PLAN = "+ b AS (SELECT * FROM objects WHERE kind = 'stream_set'), c AS (SELECT *, CASE WHEN lag(end_off) OVER w = start_off THEN 0 ELSE 1 END AS cut FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY start_off)), g AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id ORDER BY start_off) AS island FROM c), r AS (SELECT stream_id, island, min(start_off) AS start_off, max(end_off) AS end_off, CAST(sum(size) AS BIGINT) AS size FROM g GROUP BY ALL) SELECT stream_id, start_off, end_off, size, CASE WHEN lead(island) OVER (PARTITION BY stream_id ORDER BY island) IS NOT NULL OR size > 60 THEN 'split' ELSE 'compact' END AS kind FROM r"
+RUNS = "c AS (SELECT *, CASE WHEN lag(end_off) OVER w = start_off THEN 0 ELSE 1 END AS cut FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY start_off)), g AS (SELECT *, sum(cut) OVER (PARTITION BY stream_id ORDER BY start_off) AS island FROM c), r AS (SELECT stream_id, island, min(start_off) AS start_off, max(end_off) AS end_off, CAST(sum(size) AS BIGINT) AS size FROM g GROUP BY ALL) SELECT stream_id, start_off, end_off, size, CASE WHEN lead(island) OVER (PARTITION BY stream_id ORDER BY island) IS NOT NULL OR size > 60 THEN 'split' ELSE 'compact' END AS kind FROM r"
 
 
-@query("compact_plan", sql(PLAN, "objects"))
-@query("compact_round", sql(PLAN, "objects"))
-def compact_plan(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
+def plan_runs(b: DataFrame, split: int) -> DataFrame:
     """The same plan over tables: contiguous runs by window, and what follows them decides their kind."""
     w = Window.partitionBy("stream_id").orderBy("start_off")
-    b = objects(spark, d).where("kind = 'stream_set'").withColumn("cut", F.when(F.lag("end_off").over(w) == F.col("start_off"), 0).otherwise(1)).withColumn("island", F.sum("cut").over(w))
+    b = b.withColumn("cut", F.when(F.lag("end_off").over(w) == F.col("start_off"), 0).otherwise(1)).withColumn("island", F.sum("cut").over(w))
     r = b.groupBy("stream_id", "island").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off"), F.sum("size").alias("size"))
     more = F.lead("island").over(Window.partitionBy("stream_id").orderBy("island"))
     return r.withColumn("kind", F.when(more.isNotNull() | (F.col("size") > split), "split").otherwise("compact")).drop("island")
 
 
+@query("compact_plan", sql(f"+ b AS (SELECT * FROM objects WHERE kind = 'stream_set'), {RUNS}", "objects"))
+def compact_plan(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
+    return plan_runs(objects(spark, d).where("kind = 'stream_set'"), split)
+
+
+ROUND = f"""+ a AS (SELECT o.*, max(data_ts_ms) OVER (PARTITION BY object_id) AS made FROM objects o WHERE kind = 'stream_set'), l AS (SELECT a.* FROM a JOIN streams s USING (stream_id) WHERE a.end_off > s.start_off),
+t AS (SELECT DISTINCT object_id, made FROM a WHERE 1706700000000 - made < 1728000000 ORDER BY made DESC, object_id LIMIT 500), b AS (SELECT l.* FROM l JOIN t USING (object_id)), {RUNS}
+UNION ALL SELECT stream_id, start_off, end_off, size, 'force_split' FROM l WHERE 1706700000000 - made >= 1728000000"""
+
+
+@query("compact_round", sql(ROUND, "objects", "streams"))
+def compact_round(spark: SparkSession, d: str, now_ms: int = 1_706_700_000_000, age_ms: int = 1_728_000_000, most: int = 500, split: int = 60) -> DataFrame:
+    """What one round writes: dead blocks are dropped, each live run of an old object becomes a stream object, and of the others the newest ``most`` are planned."""
+    o = objects(spark, d).where("kind = 'stream_set'")
+    made = o.groupBy("object_id").agg(F.max("data_ts_ms").alias("made"))
+    live = o.join(streams(spark, d).select("stream_id", F.col("start_off").alias("s")), "stream_id").where("end_off > s").drop("s")
+    old = F.lit(now_ms) - F.col("made") >= age_ms
+    newest = made.where(~old).orderBy(F.desc("made"), "object_id").limit(most)
+    forced = live.join(made.where(old), "object_id").select("stream_id", "start_off", "end_off", "size", F.lit("force_split").alias("kind"))
+    return plan_runs(live.join(newest, "object_id", "left_semi"), split).unionByName(forced)
+
+
 @query("physical_merge", sql("SELECT stream_id, count(*) AS blocks, min(greatest(o.start_off, s.start_off)) AS start_off, max(o.end_off) AS end_off, CAST(sum(size) AS BIGINT) AS size FROM objects o JOIN streams s USING (stream_id) WHERE o.end_off > s.start_off AND kind = 'stream' GROUP BY stream_id", "objects", "streams"))
 def physical_merge(spark: SparkSession, d: str) -> DataFrame:
     """Live blocks of a stream's objects rewritten as one."""
