@@ -6,9 +6,12 @@ Streams don't share state, so that the fold is by stream.
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.wire import mapped
 from ..registry import query
 from ..sources.tables import read, records, sql
 from .fold import fold
@@ -182,3 +185,35 @@ def wal_recover_iter(spark: SparkSession, d: str, trim: int = 15) -> DataFrame:
 def compact_stream_object(spark: SparkSession, d: str) -> DataFrame:
     """Sources of a stream replaced by one object for every 20 records."""
     return records(spark, d).groupBy("stream_id", F.expr("off div 20").alias("object_id")).agg(F.min("off").alias("start_off"), (F.max("off") + 1).alias("end_off"), F.sum("len").alias("size"))
+
+
+VERSION = 1
+COMMAND, STATE = ">BBqq", ">Bqqq?qq"
+
+
+def unpack(form: str, data: bytes) -> tuple:
+    """The fields behind the version; another version, a cut or bytes too many are errors."""
+    if len(data) != struct.calcsize(form):
+        raise ValueError(f"{len(data)} bytes instead of {struct.calcsize(form)}")
+    version, *fields = struct.unpack(form, data)
+    if version != VERSION:
+        raise ValueError(f"version {version} isn't known")
+    return tuple(fields)
+
+
+@query("command_codec", sql("SELECT stream_id, off, CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'commit' WHEN 2 THEN 'close' ELSE 'trim' END AS op, off // 6 AS epoch FROM records", "records"))
+def command_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Commands through their versioned form and back."""
+
+    def trip(r: dict) -> dict:
+        op, stream_id, epoch = unpack(COMMAND, struct.pack(COMMAND, VERSION, OPS.index(r["op"]), r["stream_id"], r["epoch"]))
+        return {"stream_id": stream_id, "off": r["off"], "op": OPS[op], "epoch": epoch}
+
+    return mapped(commands(spark, d).select("stream_id", "off", "op", "epoch"), trip, "stream_id long, off long, op string, epoch long")
+
+
+@query("snapshot_codec", sql(APPLY + " SELECT stream_id, max(off) AS off, arg_max(e, off) AS epoch, arg_max(o, off) AS is_open, arg_max(s, off) AS start_off, arg_max(n, off) AS end_off FROM f GROUP BY stream_id", "records", recursive=True))
+def snapshot_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Each stream's state through the versioned form of a snapshot and back."""
+    names = ("stream_id", "off", "epoch", "is_open", "start_off", "end_off")
+    return mapped(replay(spark, d), lambda r: dict(zip(names, unpack(STATE, struct.pack(STATE, VERSION, *(r[n] for n in names))), strict=True)), "stream_id long, off long, epoch long, is_open boolean, start_off long, end_off long")

@@ -192,3 +192,15 @@ def test_a_session_is_poisoned_once():
         state, out = session_step(state, {"stream_id": 1, "rn": seq, "epoch": 1, "seq": seq})
         seen.append(out["result"])
     assert seen == ["accepted", "duplicate", "accepted", "sequence_gap", "poisoned"]
+
+
+def test_versioned_forms_refuse_what_is_broken():
+    import struct
+
+    from streamloom.plans.metadata import COMMAND, unpack
+
+    data = struct.pack(COMMAND, 1, 2, 7, 3)
+    assert unpack(COMMAND, data) == (2, 7, 3)
+    for broken in (data + b"x", data[:-1], b"\x02" + data[1:]):
+        with pytest.raises(ValueError):
+            unpack(COMMAND, broken)
