@@ -2,9 +2,9 @@
 
 A gear rolling hash over the bytes sets the chunks' ends, so that an insertion
 only shifts the chunks near it. Chunks are compared by a 128-bit digest over the
-whole corpus; of equal ones the first, in the order of (doc_id, place), stays.
-Repeats are removed where consecutive repeated chunks make ``RUN`` bytes at
-least: shorter coincidences of ordinary text are left alone.
+whole corpus; of equal ones the first, in the order of (doc_id, place), stays
+and every later one goes, whatever its length and its neighbours. A copy of a
+whole document has the same chunks and goes whole.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .kit import BYTE_B, MULT_B, blocks, span_hash, tune
 from .shared import stored
 
-#: Least and greatest bytes of a chunk; between them about one place in 32 ends one.
-LEAST, MOST, RUN = 24, 128, 96
+#: Least and greatest bytes of a chunk; between them about one place in 32 ends one. RUN: the least bytes of neighbouring repeats that go; 0 for all.
+LEAST, MOST, RUN = 24, 128, 0
 MASK = np.uint32(0x1F << 16)  # bits that the last 21 bytes decide, fewer than LEAST
 GEAR = np.random.Generator(np.random.PCG64(97)).integers(0, 1 << 32, 256, dtype=np.uint32)
 

@@ -228,6 +228,20 @@ def test_chunks_are_brute_force(spark, docs):
     assert all(len(kept[r.doc_id]) == r.n_bytes - r.n_removed for r in got)
 
 
+def test_short_copies_and_single_chunks_are_repeats(spark):
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    short, tiny, long = prose(60), "Hi.", prose(400)
+    a = int(cdc.chunk_ends(np.frombuffer(long.encode(), np.uint8), np.array([0, 400]))[0][0])
+    rows = [(1, short), (2, tiny), (3, long), (4, short), (5, tiny), (6, long[:a] + prose(300)), (7, short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.has_repeat, r.n_removed, r.spans) for r in cdc.deduplicate(df).collect()}
+    none = (False, 0, "")
+    assert a < 96 and got == {1: none, 2: none, 3: none, 4: (True, 60, "0:60"), 5: (True, 3, "0:3"), 6: (True, a, f"0:{a}"), 7: (True, 60, "0:60")}
+    kept = {r.doc_id: r.kept for r in cdc.cleaned(df).collect()}
+    assert kept[4] == kept[5] == kept[7] == b"" and kept[6] == rows[5][1][a:].encode()
+
+
 def test_chunks_survive_an_insertion():
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefgh ") for _ in range(6000)).encode()
