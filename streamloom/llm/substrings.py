@@ -35,6 +35,8 @@ LENGTH, GRAM = 100, 24
 MOST = 30_000
 #: Bytes of stretches that are sorted together.
 SORTED_BYTES = 1 << 20
+#: A place is a byte of a text, with the text's number among those of its doc_id above these bits.
+ROW_BITS = 32
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -143,12 +145,40 @@ class Suffixes:
             width *= 2
 
 
+def fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of the sorted columns differs from the row before it."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
+def repeated(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which members of classes go, in the order of class, document and place (``new``: the first of a class): those of a later document than the class's first, and all but the first of a row. Rows of one document don't count as repeats of each other."""
+    if not len(new):
+        return np.zeros(0, bool)
+    first = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    return (doc != first) | ~(new | fresh(doc, start >> ROW_BITS))
+
+
+def twins(left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's text among the distinct texts of its doc_id, and whether the row is the same again."""
+    ids, mark = left.column("doc_id").to_numpy(), left.column("mark").to_numpy()
+    order = np.lexsort((mark, ids))
+    head, step = fresh(ids[order]), fresh(ids[order], mark[order])
+    at = np.cumsum(step)
+    number, again = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    number[order] = at - np.maximum.accumulate(np.where(head, at, 0))
+    again[order] = ~step
+    return number, again
+
+
 def repeats(text: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Whether each window of the stretches equals an earlier one. Stretch i begins at ``first[i]`` in the text, with windows at document places ``start[i]``, ...; ``offset`` is its minimizer's distance from there."""
     size = windows + LENGTH - 1
     out = np.zeros(int(windows.sum()), bool)
     ends = np.cumsum(windows)
-    # equal stretches: all windows of all but the earliest repeat
+    # equal stretches: all windows of all that an earlier one stands before repeat
     digest = mix(Prefix(text, BYTE_B, MULT_B)(first, first + size) + (size * 128 + offset).astype(np.uint64))
     order = np.lexsort((start, doc, digest, key))
     same = np.zeros(len(order), bool)
@@ -156,6 +186,7 @@ def repeats(text: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.nd
     for i in np.flatnonzero(same):  # byte by byte, against collisions
         a, b = order[i], order[i - 1]
         same[i] = np.array_equal(text[first[a] : first[a] + size[a]], text[first[b] : first[b] + size[b]])
+    same = repeated(~same, doc[order], start[order])
     out[expand(ends[order[same]] - windows[order[same]], windows[order[same]])] = True
     kept = np.sort(order[~same])
     _, back, number = np.unique(key[kept], return_inverse=True, return_counts=True)
@@ -179,8 +210,7 @@ def repeats(text: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.nd
         equal[x + 1] = (text[place[a[x]][:, None] + np.arange(LENGTH)] == text[place[b[x]][:, None] + np.arange(LENGTH)]).all(1)
     klass = np.cumsum(~equal)
     rank = np.lexsort((at_start[order], at_doc[order], klass))
-    later = np.zeros(len(order), bool)
-    later[1:] = klass[rank[1:]] == klass[rank[:-1]]
+    later = repeated(fresh(klass[rank]), at_doc[order[rank]], at_start[order[rank]])
     out[window[order[rank[later]]]] = True
     return out
 
@@ -192,7 +222,7 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     n = max(1, docs.rdd.getNumPartitions())
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("mark", F.xxhash64("doc_id", "text")), n
 
 
 #: A row is a stretch (windows and text), one window of a frequent minimizer (h and two are its hash), or a run that is known to go.
@@ -201,24 +231,26 @@ STRETCH, ONE, GONE = 0, 1, 2
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The chunked documents, and (doc_id, start, windows) of runs of windows that stand earlier too; start is null for an exact copy."""
+    """The chunked documents, and (doc_id, start, windows) of runs of windows that stand earlier too; for an exact copy start is null and windows the row's mark."""
     rows, n = chunked(docs)
-    slim = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
+    slim = rows.select("doc_id", "mark", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
     first = slim.groupBy("digest", "size").agg(F.min("doc_id").alias("first"))
-    copies = slim.join(first, ["digest", "size"]).where(F.col("doc_id") > F.col("first")).select("doc_id")
+    copies = slim.join(first, ["digest", "size"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "mark")
     dealt = rows.repartitionById(n, F.col("chunk"))
     marks = chunked_like(copies, n)
 
-    def originals(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def originals(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        number, again = twins(left)
         gone = np.unique(right.column("own").to_numpy())
-        left = left.filter(pa.array(~np.isin(left.column("doc_id").to_numpy(), gone)))
+        left = left.append_column("base", pa.array(number << ROW_BITS)).filter(pa.array(~(again | np.isin(left.column("mark").to_numpy(), gone))))
         for batch in left.combine_chunks().to_batches():
             for part, data, offs in blocks(batch):
-                yield part.column(part.schema.get_field_index("doc_id")).to_numpy(), data, offs
+                ids, base = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "base"))
+                yield ids, base, data, offs
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.uint64)]
-        for _, data, offs in originals(left, right):
+        for _, _, data, offs in originals(left, right):
             found.append(stretches(data, offs)[4])
         keys, number = np.unique(np.concatenate(found), return_counts=True)
         chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
@@ -246,7 +278,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             texts.append(pa.nulls(len(h), pa.binary()) if text is None else text)
             kinds.append(np.full(len(h), kind, np.int32))
 
-        for ids, data, offs in originals(left, pa.table({"own": values[~keyed]})):
+        for ids, base, data, offs in originals(left, pa.table({"own": values[~keyed]})):
             row, s, c, p, h = stretches(data, offs)
             at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
@@ -256,16 +288,15 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             text = data[expand(s[on], size)]
             cut = np.append(0, np.cumsum(size)).astype(np.int32)
             text = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(text.tobytes())])
-            add(STRETCH, h[on], np.zeros(len(on), np.int64), ids[row[on]], s[on] - offs[row[on]], c[on], p[on] - s[on], text)
+            add(STRETCH, h[on], np.zeros(len(on), np.int64), ids[row[on]], base[row[on]] + s[on] - offs[row[on]], c[on], p[on] - s[on], text)
             w = expand(s[many_on], c[many_on])
             one, two = mix(Prefix(data)(w, w + LENGTH)), mix(Prefix(data, BYTE_B, MULT_B)(w, w + LENGTH))
             own = np.repeat(row[many_on], c[many_on])
-            places.append((one, two, ids[own], w - offs[own]))
+            places.append((one, two, ids[own], base[own] + w - offs[own]))
         if places:
             one, two, doc, start = (np.concatenate(x) for x in zip(*places, strict=True))
             order = np.lexsort((start, doc, two, one))
-            again = np.zeros(len(order), bool)
-            again[1:] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]]) & ((doc[order[1:]] != doc[order[:-1]]) | (start[order[1:]] != start[order[:-1]]))
+            again = repeated(fresh(one[order], two[order]), doc[order], start[order])
             kept = order[~again]
             zero = np.zeros(len(kept), np.int64)
             add(ONE, one[kept], two[kept], doc[kept], start[kept], zero + 1, zero)
@@ -281,11 +312,11 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.table([*columns, pa.chunked_array(texts, pa.binary()), pa.array(np.concatenate([*kinds, np.zeros(0, np.int32)]))], names=["h", "two", "doc_id", "start", "windows", "offset", "text", "kind"])
 
     found = dealt.groupBy("chunk").cogroup(both.groupBy("to")).applyInArrow(lambda a, b: emit(a, b), ROW)
-    return dealt, local_runs(found).union(copies.select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
+    return dealt, local_runs(found).union(copies.select("doc_id", F.lit(None).cast("long"), "mark"))
 
 
 def chunked_like(ids: DataFrame, n: int) -> DataFrame:
-    return ids.select(F.col("doc_id").alias("own"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("to"))
+    return ids.select(F.col("mark").alias("own"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("to"))
 
 
 def local_runs(found: DataFrame) -> DataFrame:
@@ -305,18 +336,20 @@ def local_runs(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, (0, 0, 0, 0, False)
+        size, last = 0, None
         for whole in batches:
             kind = whole.column(7).to_numpy()
             gone = whole.filter(pa.array(kind == GONE))
             yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(3), gone.column(4).cast(pa.int64())], names=names)
             single = whole.filter(pa.array(kind == ONE))
-            if single.num_rows:  # in the order of hash, document and place: all but the first of a hash go
+            if single.num_rows:  # in the order of hash, document and place, one at most of a row: all but those of a hash's first document go
                 h, two, doc, start = (single.column(i).to_numpy() for i in range(4))
-                same = np.append(last[4] and (h[0], two[0]) == last[:2], (h[1:] == h[:-1]) & (two[1:] == two[:-1]))
-                level = np.append(last[4] and (doc[0], start[0]) == last[2:4], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]))
-                last = (h[-1], two[-1], doc[-1], start[-1], True)
-                later = same & ~level
+                new = fresh(h, two)
+                first = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+                if last is not None and (h[0], two[0]) == last[:2]:
+                    first = np.where(np.cumsum(new) == 1, last[2], first)
+                last = (h[-1], two[-1], first[-1])
+                later = doc != first
                 yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(start[later]), pa.array(np.ones(int(later.sum()), np.int64))], names=names)
             batch = whole.filter(pa.array(kind == STRETCH))
             if not batch.num_rows:
@@ -361,8 +394,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     Texts are UTF-8 bytes, null ones empty. Matches never cross documents; the
     earlier of two strings is that with the smaller doc_id, or in one document the
     earlier start. Texts under 100 bytes stay. Rows that repeat a doc_id count as
-    one place in the order: none of them is earlier than the other. A null doc_id
-    comes before all others. Further columns are not read.
+    one place in the order: none of them is earlier than the other, and each loses
+    only what repeats an earlier document or itself. A null doc_id comes before all
+    others. Further columns are not read.
     """
     tune(docs.sparkSession)
     least = -(1 << 63)
@@ -372,18 +406,21 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("own"), F.col("start").alias("from"), "windows", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("to"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("own")
-        own, start, windows = right.column("own").to_numpy(), right.column("from").fill_null(-1).to_numpy(), right.column("windows").fill_null(0).to_numpy()
-        ids = left.column("doc_id").to_numpy()
+        own, start, windows = right.column("own").to_numpy(), right.column("from").fill_null(-1).to_numpy(), right.column("windows").to_numpy()
+        copy = np.isin(left.column("mark").to_numpy(), windows[start < 0])
+        order = np.lexsort((start, own))
+        own, start, windows = own[order], start[order], windows[order]
+        ids, number = left.column("doc_id").to_numpy(), twins(left)[0]
         low, high = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
         out = []
         for i, text in enumerate(left.column("text").cast(pa.binary())):
             data = np.frombuffer(text.as_py(), np.uint8)
             edge = np.zeros(len(data) + 1, np.int64)
-            for s, w in zip(start[low[i] : high[i]].tolist(), windows[low[i] : high[i]].tolist(), strict=True):
-                edge[max(s, 0)] += 1
-                edge[len(data) if s < 0 else s + w - 1 + LENGTH] -= 1
-            mark = np.cumsum(edge)[:-1] > 0
+            a, b = low[i] + np.searchsorted(start[low[i] : high[i]], [number[i] << ROW_BITS, (number[i] + 1) << ROW_BITS])
+            for s, w in zip((start[a:b] - (number[i] << ROW_BITS)).tolist(), windows[a:b].tolist(), strict=True):
+                edge[s] += 1
+                edge[s + w - 1 + LENGTH] -= 1
+            mark = (np.cumsum(edge)[:-1] > 0) | copy[i]
             rest = data[~mark].tobytes()
             out.append((None if ids[i] == least else int(ids[i]), len(data), int(mark.sum()), len(runs(mark)[0]), hashlib.sha256(rest).hexdigest(), *([rest] * texts)))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]

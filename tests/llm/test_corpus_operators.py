@@ -196,6 +196,31 @@ def test_substrings_inside_one_text(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [30_000, 3])
+def test_substrings_in_rows_that_repeat_a_doc_id(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "MOST", most)
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    one, two, three, four, shared = (prose(n) for n in (300, 250, 400, 260, 150))
+    rows = [(1, one), (1, one), (1, two + shared), (1, shared + three), (2, one), (2, four), (2, two + prose(130)), (3, shared + shared), (3, shared + shared), (3, prose(120))]
+    rows += [(None, four), (None, prose(500) + shared), (None, prose(110)), (None, four), (4, one[:120]), (4, "x" * 240), (4, "x" * 240), (5, "y" + shared)]
+
+    def left(i, text):
+        b = text.encode()
+        before = [t.encode() for j, t in rows if (j or 0) < (i or 0)]
+        mark = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if b.find(w) < p or any(w in t for t in before):
+                mark[p : p + 100] = True
+        return (i, len(b), int(mark.sum()), bytes(np.frombuffer(b, np.uint8)[~mark]))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in substrings.remove_repeats(df, texts=True).collect()]
+    key = lambda r: (r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted((left(*r) for r in rows), key=key)
+
+
 def test_long_text_in_pieces(monkeypatch):
     data = np.random.default_rng(1).integers(97, 100, 5000).astype(np.uint8)
     whole = substrings.stretches(data, np.array([0, 5000]))
