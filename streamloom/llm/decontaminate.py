@@ -7,7 +7,8 @@ contaminated if some ``WINDOW`` words in a row of an item stand in it, at the
 same distances, with at least four fifths of them equal. The two masks together
 hit every such window (at most two of twelve words differ; a test goes through
 all patterns). Items shorter than a window must match in four fifths of their
-words; they are seeded by the run of equal words that this forces.
+words; they are seeded by the run of equal words that this forces. Words are
+compared without regard to case, by Unicode's case folding.
 """
 
 from __future__ import annotations
@@ -34,6 +35,15 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(Prefix(data)(s, e) + (e - s).astype(np.uint64)), first
 
 
+def folded_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, with the case of every letter folded by Unicode. What isn't UTF-8 stays as it is."""
+    if not (data >= 0x80).any():
+        return word_hashes(data, offs)
+    raw = data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+    return word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64))
+
+
 def needed(n: int) -> int:
     """Equal words that n words must have: four fifths, rounded up."""
     return -(-4 * n // 5)
@@ -65,7 +75,7 @@ class Index:
         batch = pa.RecordBatch.from_arrays([column], names=["text"])
         hashes, sizes = [], []
         for _, data, offs in blocks(batch):
-            h, first = word_hashes(data, offs)
+            h, first = folded_hashes(data, offs)
             hashes.append(h)
             sizes.append(np.diff(first))
         self.ids = np.array(ids, np.int64)
@@ -91,7 +101,7 @@ class Index:
 
     def matches(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, most equal words in a window) of every verified overlap."""
-        word, first = word_hashes(data, offs)
+        word, first = folded_hashes(data, offs)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
         found = []
         for mask, seed, item, place, bit in zip(self.masks, self.seed, self.item, self.place, self.filter, strict=True):

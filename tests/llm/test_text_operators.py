@@ -162,6 +162,16 @@ def test_decontamination_is_brute_force(spark):
     assert not any(r.contaminated for r in decontaminate.mark_documents(df, bench.limit(0)).collect())
 
 
+def test_decontamination_folds_case_by_unicode(spark):
+    item = "élève déjà été très près forêt ñandú größe über straße où çà là même"
+    rows = [(1, item), (2, f"AVANT {item.upper()} APRÈS"), (3, item.title()), (4, "ÉLÈVE " * 30), (5, "plain words alone " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "ΣΊΣΥΦΟΣ БЕЗ КОНЦА")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(df, bench).collect()} == {(1, 7, 12), (2, 7, 12), (3, 7, 12)}
+    low = spark.createDataFrame([(6, "σίσυφος без конца")], df.schema)
+    assert [r.item_id for r in decontaminate.overlaps(low, bench).collect()] == [8]
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
