@@ -1,44 +1,75 @@
 """Near-duplicate documents by MinHash.
 
 1. A pass over the texts gives each document's set of word shingles, a digest of
-   the set, and ``BANDS`` band keys of ``ROWS`` universal hash minima each. Equal
-   sets are one class from here on, named by the smallest doc_id.
+   the set, and band keys of ``ROWS`` universal hash minima each. Rows with equal
+   sets are one class from here on.
 2. Classes that share a band key form a bucket. Buckets aren't expanded into
    pairs: each member is paired with the bucket's centre, the pair verified on
-   the full sets, and the links joined to components.
+   the full sets, and the links joined to components. The centre is the member
+   that meets most others over all its bands, so in a family of copies the one
+   that they were made from.
 3. What could still be missed are links between members of one bucket that lie
-   in different components. In small buckets such pairs are formed and verified
-   if the sets' sizes allow a link. In buckets of ``LARGE`` members or more, a
-   pair's overlap is at most what the smaller of its members shares with the
-   centre plus the shingles outside the centre that the two share: so the pairs
-   come from a join on these outside shingles, which in families of loose copies
-   are rare, and from those few members whose overlaps with the centre suffice.
-
-No link that shares a band is lost. At the threshold itself a pair shares none
-with probability (1 - 0.85**5)**25 < 1e-6, and its group is found by its other
-links besides.
+   in different components. Where the pairs left don't outnumber the members
+   (up to ``FEW``) they are verified as they are. The members of all other such
+   buckets get longer keys: fewer minima agree by chance, so that members that
+   aren't near part, and those that may be linked share one of the many bands
+   again. There too come first stars, and then the pairs of members that share
+   a long key and lie in different components; of both only those whose
+   signatures, one bit of each of ``64 * WORDS`` minima, are as alike as the
+   threshold asks go on to the full sets.
+
+The number of bands follows from the threshold: a pair at the threshold itself
+shares no band, short or long, with a probability under ``MISS`` each, and fails
+by its signature with one under 3e-7. The pairs that are verified grow in
+proportion to the members of a family, unless its texts lie just below the
+threshold of each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import word_hashes
 from .kit import blocks, mix, tune
-from .shared import stored
+from .shared import release, stored
 
-BANDS, ROWS = 25, 5
-#: Members from which a bucket is large. Its centre is the member with the least part of shingles that no other has.
-LARGE = 48
-_rng = np.random.Generator(np.random.PCG64(31))
-A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Minima in a band.
+ROWS = 5
+#: The greatest chance that a pair at the threshold shares no band.
+MISS = 1e-6
+#: The chance that such a pair agrees in all minima of one long key, about.
+LONG = 0.04
+#: Words of 64 bits in a signature, and the standard deviations by which it may fall short.
+WORDS, SPARE = 16, 5.0
+SKETCH = [f"w{i}" for i in range(WORDS)]
+#: A bucket of up to FEW members has, beside its star, at most as many pairs as members.
+FEW = 4
+
+
+@cache
+def family(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the universal hash functions; long and short keys share none."""
+    rng = np.random.Generator(np.random.PCG64(31 + rows))
+    return rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+
+
+def bands_for(rows: int, percent: int) -> int:
+    """Bands of which a pair at the threshold shares none with a probability of at most MISS."""
+    hit = (percent / 100) ** rows
+    return 1 if hit >= 1 else math.ceil(math.log(MISS) / math.log1p(-hit))
+
+
+def long_rows(percent: int) -> int:
+    """Minima in a long key."""
+    return 20 if percent >= 100 else max(ROWS + 1, math.floor(math.log(LONG) / math.log(percent / 100)))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -62,121 +93,194 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.
             yield np.zeros(0, np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys of the bands of a set that isn't empty."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        x = (A[:, None] * shingles[None, i : i + 4096] + B[:, None]) >> np.uint64(32)
+def digests(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that name a set."""
+    return int(shingles.sum()), int(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum())
+
+
+def minima(shingles: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """The universal hash minima of a set that isn't empty, a row for each band."""
+    a, b = family(rows, bands)
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = max(16, (1 << 19) // len(a))
+    for i in range(0, len(shingles), step):
+        x = (a[:, None] * shingles[None, i : i + step] + b[:, None]) >> np.uint64(32)
         np.minimum(low, x.min(1), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        key = mix(key + rows[:, j])
+    return low.reshape(bands, rows)
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A key for each band's minima."""
+    key = np.arange(1, len(low) + 1, dtype=np.uint64)
+    for j in range(low.shape[1]):
+        key = mix(key + low[:, j])
     return key
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def sketch(low: np.ndarray) -> np.ndarray:
+    """One bit of each of the first minima."""
+    bits = (mix(low.reshape(-1)[: 64 * WORDS]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def alike(percent: int) -> int:
+    """Bits in which the sketches of a pair at the threshold may differ."""
+    n = 64 * WORDS
+    differ = (1 - percent / 100) / 2
+    return math.ceil(n * differ + SPARE * math.sqrt(n * differ * (1 - differ)))
+
+
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, d1, d2, bands) of every row; n is the set's size."""
+    bands = bands_for(ROWS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in blocks(batch):
-                n, one, two, keys, ends = [], [], [], [], [0]
+                n, sums, keys, ends = [], [], [], [0]
                 for s in shingle_sets(data, offs, width):
                     n.append(len(s))
-                    one.append(int(s.sum()))
-                    two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()))
+                    sums.append(digests(s))
                     if len(s):
-                        keys.append(band_keys(s))
-                    ends.append(ends[-1] + BANDS * (len(s) > 0))
+                        keys.append(band_keys(minima(s, ROWS, bands)))
+                    ends.append(ends[-1] + bands * (len(s) > 0))
                 flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+                two = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
                     names=["doc_id", "n", "d1", "d2", "bands"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int = 0, outside: bool = False) -> DataFrame:
-    """(a, b, n_a, n_b, both) of the pairs with 100 * both >= percent * union, by their full sets; with ``outside`` b's shingles that a lacks."""
+def class_sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """(id, s): the shingles of the classes ``named`` (id, first, d1, d2), from a row of doc_id ``first`` whose digests are the class's: a doc_id may stand on several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            sets = []
-            for _, data, offs in blocks(batch, "text_b"):
-                sets.extend(shingle_sets(data, offs, width))
-            ids = batch.column(0).to_pylist()
-            sizes, more, ends = np.zeros((len(ids), 3), np.int64), [np.zeros(0, np.uint64)], [0]
-            for i, (a, y) in enumerate(zip(ids, sets, strict=True)):
-                if a != last:
-                    text = pa.RecordBatch.from_arrays([batch.column(2).slice(i, 1)], names=["text"])
-                    own = next(shingle_sets(*next(blocks(text))[1:], width))
-                    last = a
-                both = np.intersect1d(own, y, assume_unique=True)
-                sizes[i] = len(own), len(y), len(both)
-                if outside:
-                    more.append(np.setdiff1d(y, both, assume_unique=True))
-                    ends.append(ends[-1] + len(more[-1]))
-            keep = 100 * sizes[:, 2] >= percent * (sizes[:, 0] + sizes[:, 1] - sizes[:, 2])
-            columns = [batch.column(0), batch.column(1), *(pa.array(sizes[:, j]) for j in range(3))]
-            names = ["a", "b", "n_a", "n_b", "both"]
-            if outside:
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(more).view(np.int64))))
-                names.append("outside")
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, n_a long, n_b long, both long" + ", outside array<long>" * outside)
-
-
-def own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(id, own): how many of a document's shingles no other of these documents has."""
+            for part, data, offs in blocks(batch):
+                sets = list(shingle_sets(data, offs, width))
+                two = np.array([digests(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["first", "d1", "d2", "s"])
+
+    own = docs.join(named.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    rows = own.mapInArrow(run, "first long, d1 long, d2 long, s array<long>").dropDuplicates(["first", "d1", "d2"])
+    return rows.join(named.select("id", "first", "d1", "d2"), ["first", "d1", "d2"]).select("id", "s")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    b = sets.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
+    a = sets.select(F.col("id").alias("a"), F.col("s").alias("s_a"))
+    both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    return pairs.select("a", "b").join(b, "b").join(a, "a").where(both * (100 + percent) >= percent * (F.size("s_a") + F.size("s_b"))).select("a", "b")
+
+
+def near(n_a: str, n_b: str, percent: int) -> Column:
+    """Whether the sizes of two sets allow a link."""
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+
+def same_sketch(p: str, q: str, percent: int) -> Column:
+    """Whether the signatures of two members are as alike as the threshold asks."""
+    return sum(F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in SKETCH) <= alike(percent)
+
+
+def members_of(keys: DataFrame) -> DataFrame:
+    """(key, id, n, size): the buckets of two members or more."""
+    several = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return keys.join(several, "key")
+
+
+def star(members: DataFrame, percent: int, signed: bool = False) -> DataFrame:
+    """(a, b): each member with its bucket's centre, the one that meets most others, where the sizes allow a link; ``signed``: in another component, and where the signatures allow it too."""
+    more = ["component", *SKETCH] if signed else []
+    meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
+    ranked = members.join(meets, "id")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("meets", "id", "n", *more)).alias("c"))
+    pairs = members.join(centre, "key").where((F.col("id") != F.col("c.id")) & near("n", "c.n", percent))
+    if signed:
+        pairs = pairs.where((F.col("component") != F.col("c.component")) & same_sketch("", "c.", percent))
+    return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
+def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with their components, of the buckets that hold more than one component."""
+    placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return placed.join(keys, "key", "left_semi")
+
+
+def open_pairs(members: DataFrame, percent: int, signed: bool = False) -> DataFrame:
+    """(a, b): the members of one bucket that lie in different components, where the sizes, and if ``signed`` the signatures, allow a link."""
+    p, q = members.alias("p"), members.alias("q")
+    apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & near("p.n", "q.n", percent)
+    if signed:
+        apart = apart & same_sketch("p.", "q.", percent)
+    return p.join(q, apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+
+
+def long_keys(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(id, n, keys, sketch): the long keys and the signatures of the sets with these ids."""
+    rows = long_rows(percent)
+    bands = max(bands_for(rows, percent), -(-64 * WORDS // rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in blocks(batch):
-                sets = list(shingle_sets(data, offs, width))
-                ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(ids)], names=["h", "id"])
+            ends = np.asarray(batch.column(1).offsets)
+            flat = np.asarray(batch.column(1).values).view(np.uint64)
+            keys, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                low = minima(flat[a:b], rows, bands)
+                keys.append(band_keys(low))
+                marks.append(sketch(low))
+            step = np.arange(batch.num_rows + 1, dtype=np.int32)
+            many, words = pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(marks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(step * bands), many), pa.ListArray.from_arrays(pa.array(step * WORDS), words)], names=["id", "n", "keys", "sketch"])
+
+    return sets.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, keys array<long>, sketch array<long>")
 
-    single = texts.select("id", "text").mapInArrow(run, "h long, id long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    return single.groupBy("id").agg(F.count("*").alias("own"))
 
+def as_edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
-def loose_pairs(near: DataFrame, texts: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of members around the centre of a large bucket that lie in different components and may be linked.
 
-    With i the overlap with the centre and e the shingles outside it, the overlap
-    of two members is at most min(i, i') plus what they share outside, and a link
-    needs (100 + percent) * overlap >= percent * (n + n').
+def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their digests (doc_id, n, d1, d2), and classes with their components (n, d1, d2, first, component).
+
+    ``docs`` has a long doc_id and text; rows with a null doc_id are in no class.
     """
-    large = near.where("large")
-    spread = stored(compare(large.union(large.select("a", F.col("a").alias("b"), "large").distinct()), texts, width, 0, True), "spread")
-    spread = spread.join(found.select(F.col("id").alias("b"), "component"), "b", "left").join(found.select(F.col("id").alias("a"), F.col("component").alias("home")), "a", "left")
-    spread = spread.select(F.col("a").alias("c"), F.col("b").alias("id"), F.col("n_b").alias("n"), "both", F.size("outside").alias("e"), F.coalesce("component", "b").alias("component"), F.coalesce("home", "a").alias("home"), "outside")
-    sums = percent * (F.col("p.n") + F.col("q.n"))
-    apart = (F.col("p.c") == F.col("q.c")) & (F.col("p.component") != F.col("q.component")) & (F.col("p.id") != F.col("q.id"))
-
-    slim = spread.drop("outside")
-    # one of two components isn't the centre's; its member's overlap with the centre must suffice for a partner of the least size
-    p = slim.where((F.col("component") != F.col("home")) & ((100 + percent) * F.col("both") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))).alias("p")
-    direct = p.join(slim.alias("q"), apart & ((100 + percent) * F.least("p.both", "q.both") >= sums))
-    token = spread.withColumn("h", F.explode("outside")).drop("outside")
-    common = token.groupBy("c", "h").agg(F.count("*").alias("k"), F.min("component").alias("x"), F.max("component").alias("y")).where("k > 1 AND x < y").select("c", "h", "k")
-    # in the order of their rarity: the first one that two members share leaves at most the rest of either's to be shared
-    rank = Window.partitionBy("c", "id").orderBy("k", "h")
-    token = token.join(common, ["c", "h"]).withColumn("rest", F.count("*").over(Window.partitionBy("c", "id")) - F.row_number().over(rank) + 1)
-    token = stored(token, "outside")
-    shared = token.where(F.col("component") != F.col("home")).alias("p").join(
-        token.alias("q"), apart & (F.col("p.h") == F.col("q.h")) & ((100 + percent) * (F.least("p.both", "q.both") + F.least("p.rest", "q.rest")) >= sums)
-    )
-    shared = shared.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
-    return direct.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).union(shared)
+    tune(docs.sparkSession)
+    marks = stored(signatures(docs, width, percent), "shingle-sets")
+    classes = marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
+    members = stored(members_of(classes.select(F.explode("bands").alias("key"), "id", "n")), "buckets")
+    involved = members.select("id").distinct()
+    sets = stored(class_sets(docs, classes.select("id", "first", "d1", "d2").join(involved, "id", "left_semi"), width), "bucket-sets")
+
+    links = stored(verified(star(members, percent), sets, percent), "links")
+    found = components(links)
+    unsettled = stored(mixed(members.where("size > 2"), found), "unsettled")
+    few = open_pairs(unsettled.where(F.col("size") <= FEW), percent)
+    more = stored(verified(few, sets, percent), "links")
+    found = components(as_edges(found).union(more))
+
+    crowd = unsettled.where(F.col("size") > FEW).select("id").distinct()
+    long = stored(long_keys(sets, crowd, percent), "long-keys")
+    deep = stored(members_of(long.select(F.explode("keys").alias("key"), "id", "n")), "long-buckets")
+    signed = long.select("id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
+    again = stored(verified(star(mixed(deep, found).join(signed, "id"), percent, True), sets, percent), "links")
+    found = components(as_edges(found).union(again))
+    rest = open_pairs(mixed(deep.where("size > 2"), found).join(signed, "id"), percent, True)
+    last = stored(verified(rest, sets, percent), "links")
+    found = components(as_edges(found).union(last))
+
+    groups = stored(classes.select("n", "d1", "d2", "first", "id").join(found, "id", "left").select("n", "d1", "d2", "first", F.coalesce("component", "id").alias("component")), "shingle-groups")
+    release(classes, members, sets, links, unsettled, more, long, deep, again, last)
+    return marks.select("doc_id", "n", "d1", "d2"), groups
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -188,65 +292,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tells whether it is the document's own. Null, empty and blank texts have no
     shingle, are linked with nothing and kept. Rows with a null doc_id take no part:
     component null, kept. Rows that repeat a doc_id are judged by their own texts,
-    each. Further columns are not read.
+    each. A text of any length is one set. Further columns are not read.
     """
-    tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = stored(signatures(docs, width), "shingle-sets")
-    classes = stored(marks.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "shingle-classes")
-
-    rows = classes.select(F.explode("bands").alias("key"), "id", "n")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(rows.join(shared, "key"), "buckets")
-    involved = members.select("id").distinct()
-    # a class's text is that of a row with its doc_id and its digests
-    named = classes.select("id", "n", "d1", "d2").join(involved, "id", "left_semi")
-    own = docs.join(named.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    texts = stored(of_class(own, named, width), "bucket-texts")
-
-    large = members.where(F.col("size") >= LARGE).select("id").distinct()
-    single = own_shingles(texts.join(large, "id", "left_semi"), width)
-    members = stored(members.join(single, "id", "left").select("key", "id", "n", "size", F.coalesce("own", F.lit(0)).alias("own")), "bucket-members")
-
-    centre = members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), "id", "n")).alias("c"))
-    near = members.join(centre, "key").where(F.col("id") != F.col("c.id"))
-    near = near.select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"), (F.col("size") >= LARGE).alias("large"))
-    near = near.where(F.col("large") | (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    near = stored(near.groupBy("a", "b").agg(F.max("large").alias("large")), "centre-pairs")
-    links = stored(compare(near, texts, width, percent).select("a", "b"), "links")
-    found = components(links)
-
-    # pairs of one bucket in different components, if the sizes allow a link at all
-    placed = members.where(F.col("size") < LARGE).join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    placed = stored(placed.join(several, "key", "left_semi"), "unlinked")
-    p, q = placed.alias("p"), placed.alias("q")
-    bound = 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
-    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & bound)
-    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).union(loose_pairs(near, texts, found, width, percent)).distinct()
-    rest = rest.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = stored(compare(rest, texts, width, percent).select("a", "b"), "links")
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-
-    groups = classes.select("n", "d1", "d2", "id").join(found, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    out = marks.select("doc_id", "n", "d1", "d2").join(groups, ["n", "d1", "d2"], "left")
+    marks, groups = linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent)
+    least = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    groups = groups.join(least, "component").select("n", "d1", "d2", "component_id")
+    out = marks.join(groups, ["n", "d1", "d2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def of_class(rows: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """(id, text) with the text whose set is that of the class: a doc_id may stand on several rows."""
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those that repeat another.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offs in blocks(batch):
-                sets = list(shingle_sets(data, offs, width))
-                one = np.array([int(s.sum()) for s in sets], np.uint64).view(np.int64)
-                two = np.array([int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(one), pa.array(two)], names=["id", "text", "d1", "d2"])
-
-    marked = rows.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, text string, d1 long, d2 long")
-    return marked.join(named.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi").select("id", "text").dropDuplicates(["id"])
+    Rows are grouped as by ``near_duplicates``, but each row for itself, whatever
+    its doc_id: of every group one row stays, that of the smallest doc_id (null
+    comes last), and of several such rows one of them. Rows without a word stay.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    marks, groups = linked(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent)
+    ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    placed = marks.where("n > 0").join(groups, ["n", "d1", "d2"]).select(F.col("doc_id").alias("row"), "component").join(ids, "row")
+    chosen = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select(F.col("best.row").alias(row))
+    stay = marks.where("n = 0").select(F.col("doc_id").alias(row)).union(chosen)
+    return keyed.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rows for shingles of three words and 85 percent: candidates by prefixes of each set's rarest shingles, counted on the full sets, and reached by recursion.

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for this process where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one in the warehouse, or on a local master one for this process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="streamloom-")
+        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            folder = "file://" + tempfile.mkdtemp(prefix="streamloom-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/streamloom-tables"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -25,7 +28,15 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """The frame as a Parquet table in the shared folder: read again, it depends on no executor."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables of frames from ``stored`` that nothing reads any more."""
+    for df in frames:
+        drop(df.sparkSession, df.__dict__["_table"])
 
 
 def drop(spark: SparkSession, path: str) -> None:
