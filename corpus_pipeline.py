@@ -17,9 +17,8 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more. Documents with a null doc_id stay."""
-    gone = neardup.near_duplicates(docs, 5, 80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates stays: five-word shingles, a similarity of 0.8 or more. Rows are judged by their texts, whatever their doc_id; rows without a word stay."""
+    return neardup.one_of_each(docs, 5, 80)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
