@@ -1,25 +1,22 @@
 """Language-model scores by prediction by partial matching.
 
-The model is a trie of byte contexts. A symbol is sought in its longest known
-context; each context that lacks it is left at the price of an escape (method C:
-distinct symbols against all), and the shorter context then no longer counts the
-symbols of the longer one, which are excluded. Contexts hold up to ``ORDER``
-bytes and reach back to the blank before the word, so that a word's code length
-depends on the word alone; the end of a text is a symbol of its own. Above the
-bytes stand two levels whose symbols are whole training words and whole phrases
-(words up to one whose hash ends a phrase, about 16). A phrase that the training
-texts hold is coded as such, any other escapes to its words; a known word is
-coded as such, any other escapes to the bytes, where the spellings of all known
-words are excluded (their total probability is divided out). As a level is
-updated only by what escapes to it, the trie counts each training word once. A
-training text is coded with its own occurrence of a phrase left out. A text is
-scored as its words, A-Z in lower case, each with one blank behind it.
+The model is a trie of byte contexts, counted over the whole running text of the
+training documents, across blanks. Every byte of every text is coded: a symbol is
+sought in its longest known context, of up to ``ORDER`` bytes; each context that
+lacks it is left at the price of an escape (method D: half a count of each of its
+symbols), and the shorter context then no longer counts the symbols of the longer
+one, which are excluded. What no context has is coded evenly among the symbols
+left. A text is coded as its words, A-Z in lower case, with one blank between
+them, behind a blank that is given; its end is a symbol of its own. The counts are
+those of the whole training fold, for its own documents too.
 
 Nothing that grows with the corpus is broadcast or gathered on the driver.
-Documents are dealt into chunks; each chunk asks once for each of its distinct
-words, words are dealt into chunks that ask once for each distinct (context,
-symbol), and answers go back to the chunks. The trie is a table for each order;
-escapes are resolved by joins from the longest order down.
+Documents are dealt into chunks of about ``CHUNK_BYTES``. Each chunk asks once for
+each of its distinct symbols in context, and for each of its words, which the base
+model needs; the asks with their counts are summed by key. The trie is priced in
+groups of contexts with the same last three bytes: these hold all their longer
+contexts, the counts of order 2 are joined to them, and the orders 0 and 1 have at
+most 257 * 257 counts. Answers go back to the chunks, by a join with the asks.
 """
 
 from __future__ import annotations
@@ -31,183 +28,226 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .kit import LOWER, MULT_B, blocks, expand, mix, powers, span_hash, tune, utf8, words
-from .shared import stored
+from .kit import LOWER, blocks, expand, span_hash, tune, words
+from .shared import release, stored
 
-ORDER = 4
-END = 256  # the symbol after the last word
+ORDER = 5
+END = 256  # the symbol after the last byte
 SYMBOLS = 257
-#: Distinct words in a chunk of words, about.
-WORDS = 250_000
+#: Bytes of text in a chunk, about, and symbols at once within it.
+CHUNK_BYTES, PIECE = 24 << 20, 1 << 21
+#: Symbols in context that are priced at once, about.
+GRAMS = 600_000
 HELD = 1
-
-
-#: A phrase ends behind about one word in PHRASE, and has LEAST words to be a symbol.
-PHRASE, LEAST = 16, 4
-WORD_KIND, PHRASE_KIND = 0, 1
-
-
-def phrases(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words and ends of the phrases, which cover all words, and their hashes."""
-    if not len(h):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    last = (h >> np.uint64(20)) % np.uint64(PHRASE) == 0
-    last[first[1:][first[1:] > first[:-1]] - 1] = True
-    end = np.flatnonzero(last) + 1
-    start = np.append(0, end[:-1])
-    p, inverse = powers(len(h), MULT_B)
-    sums = np.append(np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)]))
-    return start, end, mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-
-
-def word_rows(docs: DataFrame) -> DataFrame:
-    """(kind, h, word, chunk, n, m): the distinct words and phrases of each stretch of a chunk with their number in training texts and in all. The end is the empty word."""
+#: Keys of words have this bit, those of symbols in context haven't.
+WORD = np.uint64(1 << 63)
+_CONTEXT = 9
+_ORDER = 8 * ORDER + 9
+
+
+def mask(k: int) -> int:
+    """The bits of the last k bytes of a context."""
+    return (1 << (8 * k)) - 1
+
+
+def running(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of each row, its given blank first and its end last, and the rows' offsets; ``s``, ``e`` and ``first`` are its words."""
+    size = e - s
+    place = np.append(0, np.cumsum(size + 1))
+    length = np.maximum(place[first[1:]] - place[first[:-1]], 1) + 1
+    offs = np.append(0, np.cumsum(length))
+    out = np.full(int(offs[-1]), 32, np.uint16)
+    at = place[:-1] + np.repeat(offs[:-1] - place[first[:-1]], np.diff(first)) + 1
+    out[expand(at, size)] = data[expand(s, size)]
+    out[offs[1:] - 1] = END
+    return out, offs
+
+
+def grams(text: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The packed (order, context, symbol) of every coded symbol and its row, a piece at a time."""
+    for a in range(0, len(text), PIECE):
+        b = min(a + PIECE, len(text))
+        back = min(a, ORDER)
+        piece = text[a - back : b].astype(np.int64)
+        at = np.arange(a, b)
+        row = np.searchsorted(offs, at, "right") - 1
+        inside = at - offs[row]
+        context = np.zeros(b - a, np.int64)
+        for j in range(1, ORDER + 1):
+            earlier = np.zeros(b - a, np.int64)
+            n = back - j  # where the piece before this position begins
+            if n >= 0:
+                earlier[:] = piece[n : n + b - a]
+            else:
+                earlier[-n:] = piece[: b - a + n] if b - a + n > 0 else 0
+            context |= np.where(inside >= j, earlier, 0) << (8 * (j - 1))
+        g = np.minimum(inside, ORDER) << _ORDER | context << _CONTEXT | piece[back:]
+        coded = inside > 0
+        yield g[coded], row[coded]
+
+
+def asks(docs: DataFrame) -> DataFrame:
+    """(key, chunk, n): the distinct symbols in context and words of each chunk, with their number in training texts."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]], chunk: int) -> Iterator[pa.RecordBatch]:
+        keys, n = merged(parts)
+        for i in range(0, len(keys), 1 << 17):
+            k = keys[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), chunk, np.int32)), pa.array(n[i : i + (1 << 17)])], names=["key", "chunk", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, 4 << 20):
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held, last = 0, None
+        for batch in batches:
+            chunk = batch.column(2)[0].as_py()
+            if last is not None and chunk != last:
+                yield from rows(parts, last)
+                parts, held = [], 0
+            last = chunk
             for part, data, offs in blocks(batch, limit=4 << 20):
                 data = LOWER[data]
-                s, e, first = words(data, offs)
                 train = ~np.asarray(part.column(1).to_pylist(), bool)
-                row = np.repeat(np.arange(len(train)), np.diff(first))
-                h = span_hash(data, s, e)
-                keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(back, train[row], len(keys)).astype(np.int64)
-                a, size = s[at], e[at] - s[at]
-                text = data[expand(a, size)]
-                cut = np.append(np.append(0, np.cumsum(size)), int(size.sum())).astype(np.int32)
-                word = pa.Array.from_buffers(pa.binary(), len(keys) + 1, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(text.tobytes())])
-                chunk = part.column(2)[0].as_py()
-                begin, end, p = phrases(h, first)
-                own = row[begin] if len(begin) else begin
-                long = end - begin >= LEAST
-                many, back = np.unique(p[long], return_inverse=True)
-                in_train = np.bincount(back, train[own[long]], len(many)).astype(np.int64)
-                for kind, key, name, x, y in ((WORD_KIND, np.append(keys, END_HASH), word, np.append(n, int(train.sum())), np.zeros(len(keys) + 1, np.int64)), (PHRASE_KIND, many, pa.nulls(len(many), pa.binary()), in_train, np.bincount(back, minlength=len(many)))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), name, pa.array(np.full(len(key), chunk, np.int32)), pa.array(x), pa.array(y)], names=["kind", "h", "word", "chunk", "n", "m"])
-
-    return docs.select("text", "held_out", "chunk").mapInArrow(run, "kind int, h long, word binary, chunk int, n long, m long")
-
-
-END_HASH = span_hash(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
-
+                s, e, first = words(data, offs)
+                word = np.append(span_hash(data, s, e), np.full(len(train), END_HASH)) | WORD
+                row = np.append(np.repeat(np.arange(len(train)), np.diff(first)), np.arange(len(train)))
+                for keys, of in ((word.view(np.int64), row), *grams(*running(data, s, e, first))):
+                    keys, back = np.unique(keys, return_inverse=True)
+                    parts.append((keys, np.bincount(back, train[of], len(keys)).astype(np.int64)))
+                    held += len(keys)
+                if held > 4 * GRAMS:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0]) // 2  # merged again when as many have come
+        if parts:
+            yield from rows(parts, last)
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``size`` bytes at least, from a partition that is one chunk."""
-    held: list[pa.RecordBatch] = []
-    total = 0
-    for batch in batches:
-        held.append(batch)
-        total += batch.nbytes
-        if total >= size:
-            yield pa.concat_batches(held)
-            held, total = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The packed (order, context, symbol) of every symbol of the words, and each word's first one (with one entry more)."""
-    data, offs = utf8(column)
-    size = np.diff(offs)
-    end = size == 0
-    ends = np.cumsum(size + 2)
-    begin = ends - size - 2
-    text = np.full(int(ends[-1]) if len(ends) else 0, 32, np.int64)
-    text[expand(begin + 1, size)] = data
-    n = size + 1  # symbols to code: the bytes and the blank, or the end alone
-    at = expand(begin + 1, n)
-    inside = at - np.repeat(begin, n)
-    symbol = text[at]
-    symbol[(np.cumsum(n) - n)[end]] = END
-    order = np.minimum(inside, ORDER)
-    context = np.zeros(len(at), np.int64)
-    for j in range(1, ORDER + 1):
-        on = order >= j
-        context[on] |= text[at[on] - j] << (8 * (j - 1))
-    return order << (8 * ORDER + 9) | context << 9 | symbol, np.append(0, np.cumsum(n))
-
-
-def gram_rows(vocabulary: DataFrame) -> DataFrame:
-    """(g, chunk, n): the distinct symbols in context of each stretch of a chunk of words, with their number in training texts."""
+    return docs.select("text", "held_out", "chunk").mapInArrow(run, "key long, chunk int, n long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, 4 << 20):
-            g, first = grams(batch.column(0))
-            keys, back = np.unique(g, return_inverse=True)
-            weight = np.repeat((batch.column(1).to_numpy() > 0).astype(float), np.diff(first))
-            n = np.bincount(back, weight, len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), batch.column(2)[0].as_py(), np.int32)), pa.array(n)], names=["g", "chunk", "n"])
 
-    return vocabulary.select("word", "c", "part").mapInArrow(run, "g long, chunk int, n long")
+END_HASH = span_hash(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
 
 
-def trie(g: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """By order: (context, symbol, n), and (context, total, distinct, below, fewer): the last two are the next shorter context's total and number of symbols without this context's symbols."""
-    counts: list[DataFrame] = []
-    for k in range(ORDER, -1, -1):
-        own = g.where((F.col("k") == k) & (F.col("n") > 0)).select("context", "symbol", "n")
-        if counts:
-            shorter = counts[-1].select(F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("context"), "symbol", "n")
-            own = own.union(shorter)
-        counts.append(stored(own.groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"order-{k}"))
-    counts.reverse()
-    heads: list[DataFrame] = []
-    for k in range(ORDER + 1):
-        head = counts[k].groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
-        if k:
-            up = F.col("context").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))
-            seen = counts[k].select("context", up.alias("up"), "symbol").join(counts[k - 1].select(F.col("context").alias("up"), "symbol", F.col("n").alias("m")), ["up", "symbol"])
-            seen = seen.groupBy("context").agg(F.sum("m").alias("seen"))
-            parent = heads[k - 1].select(F.col("context").alias("up"), F.col("total").alias("t"), F.col("distinct").alias("d"))
-            head = head.join(seen, "context").withColumn("up", up).join(parent, "up")
-            head = head.select("context", "total", "distinct", (F.col("t") - F.col("seen")).alias("below"), (F.col("d") - F.col("distinct")).alias("fewer"))
-        else:
-            head = head.select("context", "total", "distinct", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("fewer"))
-        heads.append(stored(head, f"heads-{k}"))
-    return counts, heads
-
-
-def coded(g: DataFrame) -> DataFrame:
-    """(g, lp): log10 of the probability of every symbol in its context."""
-    counts, heads = trie(g)
-    state = "g", "context", "symbol", "sum", "total_in", "distinct_in"
-    carried, done = None, None
-    none = F.lit(None).cast("long")
+class Level:
+    """The counts of one order: packed (context, symbol), sorted, and for each context its total, its symbols, and what the next shorter context has besides them."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, shorter: Level | None, order: int):
+        self.keys, self.n = keys, n
+        self.contexts, back = np.unique(keys >> _CONTEXT, return_inverse=True)
+        self.total = np.bincount(back, n, len(self.contexts))
+        self.distinct = np.bincount(back, minlength=len(self.contexts)).astype(float)
+        self.below, self.fewer = np.zeros(len(self.contexts)), np.zeros(len(self.contexts))
+        if shorter is not None and len(keys):
+            symbol = keys & ((1 << _CONTEXT) - 1)
+            up = (keys >> _CONTEXT) & mask(order - 1)
+            seen = np.bincount(back, shorter.count(up << _CONTEXT | symbol), len(self.contexts))
+            at, _ = shorter.find(self.contexts & mask(order - 1))
+            self.below, self.fewer = shorter.total[at] - seen, shorter.distinct[at] - self.distinct
+
+    def find(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the contexts, and whether they are known."""
+        if not len(self.contexts):
+            return np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        return at, self.contexts[at] == contexts
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """How often each (context, symbol) was seen."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+
+
+def low_levels(first: list[tuple[int, int]]) -> list[Level]:
+    """The orders 0 and 1, from the packed (context, symbol) of order 1."""
+    keys = np.array([k for k, _ in first], np.int64)
+    n = np.array([c for _, c in first], np.int64)
+    keys, n = summed(keys, n)
+    zero = Level(*summed(keys & ((1 << _CONTEXT) - 1), n), None, 0)
+    return [zero, Level(keys, n, zero, 1)]
+
+
+def prices(g: np.ndarray, n: np.ndarray, second: tuple[np.ndarray, np.ndarray], low: list[Level]) -> np.ndarray:
+    """log10 of the probability of every packed symbol in context; ``n`` counts them in training texts, ``second`` are the counts of order 2."""
+    order, packed = g >> _ORDER, g & ((1 << _ORDER) - 1)
+    context, symbol = packed >> _CONTEXT, packed & ((1 << _CONTEXT) - 1)
+    seen = n > 0
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {2: summed(*second) if len(second[0]) else second}
+    keys, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(ORDER, 2, -1):
+        own = seen & (order == k)
+        shorter = ((keys >> _CONTEXT) & mask(k)) << _CONTEXT | keys & ((1 << _CONTEXT) - 1)
+        keys, count = summed(np.concatenate([packed[own], shorter]), np.concatenate([n[own], count]))
+        tables[k] = keys, count
+    levels = list(low)
+    for k in range(2, ORDER + 1):
+        levels.append(Level(*tables[k], levels[-1], k))
+    out = np.zeros(len(g))
+    done = np.zeros(len(g), bool)
+    total, distinct = np.full(len(g), -1.0), np.zeros(len(g))
     for k in range(ORDER, -1, -1):
-        rows = g.where(F.col("k") == k).select("g", "context", "symbol", F.lit(0.0).alias("sum"), none.alias("total_in"), none.alias("distinct_in"))
-        if carried is not None:
-            rows = rows.union(carried)
-        rows = rows.join(counts[k], ["context", "symbol"], "left").join(heads[k], "context", "left")
-        total, distinct = F.coalesce("total_in", "total"), F.coalesce("distinct_in", "distinct")
-        hit = F.col("sum") + F.log10(F.col("n") / (total + distinct))
-        escape = F.when(distinct > 0, F.log10(distinct / (total + distinct))).otherwise(0.0)
-        level = stored(rows.select("g", "context", "symbol", "n", "total", "below", "fewer", F.coalesce(hit, F.col("sum") + F.coalesce(escape, F.lit(0.0))).alias("sum")), f"level-{k}")
-        found = level.where("n IS NOT NULL").select("g", F.col("sum").alias("lp"))
-        done = found if done is None else done.union(found)
-        carried = level.where("n IS NULL").select("g", F.col("context").bitwiseAND(F.lit((1 << (8 * max(0, k - 1))) - 1)).alias("context"), "symbol", "sum", F.when(F.col("total").isNotNull(), F.col("below")).alias("total_in"), F.when(F.col("total").isNotNull(), F.col("fewer")).alias("distinct_in")).select(*state)
-    known = heads[0].agg(F.coalesce(F.max("distinct"), F.lit(0)).alias("d")).first().d
-    return done.union(carried.select("g", F.col("sum") - F.log10(F.lit(float(max(1, SYMBOLS - known))))))
-
-
-def words_coded(words_: DataFrame, parts: int) -> DataFrame:
-    """Adds ``lp`` to the words: the log10 probability of all their symbols."""
-    dealt = words_.withColumn("part", F.pmod(F.col("h"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
-    g = gram_rows(dealt).groupBy("g").agg(F.sum("n").alias("n"), F.collect_set("chunk").alias("chunks"))  # a set of chunk numbers at most
-    g = g.withColumns({"k": F.shiftright("g", 8 * ORDER + 9).cast("int"), "context": F.shiftright("g", 9).bitwiseAND(F.lit((1 << (8 * ORDER)) - 1)), "symbol": F.col("g").bitwiseAND(F.lit(511)).cast("int")})
-    g = stored(g, "grams")
-    answers = coded(g.select("g", "k", "context", "symbol", "n")).join(g.select("g", F.explode("chunks").alias("to")), "g").select("to", "g", "lp")
+        level = levels[k]
+        on = np.flatnonzero(~done & (order >= k))
+        at, known = level.find(context[on] & mask(k))
+        on, at = on[known], at[known]
+        if not len(on):
+            continue
+        free = total[on] < 0
+        t = np.where(free, level.total[at], total[on])
+        d = np.where(free, level.distinct[at], distinct[on])
+        c = level.count((context[on] & mask(k)) << _CONTEXT | symbol[on])
+        hit, escape = c > 0, (c == 0) & (d > 0)
+        out[on[hit]] += np.log10((c[hit] - 0.5) / t[hit])
+        out[on[escape]] += np.log10(0.5 * d[escape] / t[escape])
+        done[on[hit]] = True
+        total[on], distinct[on] = level.below[at], level.fewer[at]
+    known = len(low[0].keys)
+    out[~done] -= np.log10(max(1, SYMBOLS - known))
+    return out
+
+
+def priced(counts: DataFrame, rows: int) -> DataFrame:
+    """(key, value): the log10 probability of every symbol in context of ``counts`` (key, n)."""
+    spark = counts.sparkSession
+    suffix = F.shiftright("key", _CONTEXT).bitwiseAND(F.lit(mask(3)))
+    order = F.shiftright("key", _ORDER)
+    packed = lambda k: F.col("key").bitwiseAND(F.lit((1 << (8 * k + _CONTEXT)) - 1))
+    trained = counts.where("n > 0")
+    first = trained.groupBy(packed(1).alias("k")).agg(F.sum("n").alias("n")).collect()  # at most 257 * 257 rows
+    low = spark.sparkContext.broadcast([(r.k, r.n) for r in first])
+    second = trained.where(order >= 2).groupBy(packed(2).alias("second")).agg(F.sum("n").alias("n"))
+    groups = counts.select(suffix.alias("suffix")).distinct().withColumn("two", F.col("suffix").bitwiseAND(F.lit(mask(2))))
+    above = groups.join(second.withColumn("two", F.shiftright("second", _CONTEXT)), "two").select("suffix", F.lit(None).cast("long").alias("key"), "second", "n")
+    parts = max(1, -(-rows // GRAMS))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, lp = right.column("g").to_numpy(), right.column("lp").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, lp = keys[order], lp[order]
-        g, first = grams(left.column("word").combine_chunks())
-        total = np.append(0.0, np.cumsum(lp[np.searchsorted(keys, g)])) if len(g) else np.zeros(1)
-        return pa.table([left.column("h"), left.column("c"), left.column("chunks"), pa.array(np.diff(total[first]))], names=["h", "c", "chunks", "lp"])
-
-    return dealt.select("h", "word", "c", "chunks", "part").groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(lambda a, b: run(a, b), "h long, c long, chunks array<int>, lp double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ns, two, two_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            own = np.asarray(batch.column(0).is_valid())
+            keys.append(batch.column(0).filter(pa.array(own)).to_numpy())
+            ns.append(n[own])
+            got, at = np.unique(batch.column(1).filter(pa.array(~own)).to_numpy(), return_index=True)
+            two.append(got)
+            two_n.append(n[~own][at])
+        key, n = np.concatenate(keys), np.concatenate(ns)
+        if not len(key):
+            return
+        order_two, at = np.unique(np.concatenate(two), return_index=True)  # several suffixes bring the same counts
+        value = prices(key, n, (order_two, np.concatenate(two_n)[at]), low_levels(low.value))
+        for i in range(0, len(key), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 17)]), pa.array(value[i : i + (1 << 17)])], names=["key", "value"])
+
+    rows_ = counts.select(suffix.alias("suffix"), "key", F.lit(None).cast("long").alias("second"), "n").union(above)
+    return rows_.repartition(parts, "suffix").select("key", "second", "n").mapInArrow(run, "key long, value double")
 
 
 OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -217,68 +257,57 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Scores every whole text under the model of the training fold; one row per input row.
 
     The fold is all rows but those whose crc32(doc_id as text) mod 5 is 1 (a null
-    key counts as an empty text). A null or empty text has the end as its only
-    token. ``base_score`` is the contract's word model, ``score`` this one's
-    log10 probability. Repeated rows count and are scored each. Further columns
-    are not read; an empty table gives no rows.
+    key counts as an empty text). A null, empty or blank text has the end as its only
+    token and symbol. ``base_score`` is the contract's word model, ``score`` this one's
+    log10 probability. Repeated rows count and are scored each; equal texts get equal
+    scores. A very long text is coded whole, a piece of it at a time. Without
+    training texts every symbol costs the same. Further columns are not read; an
+    empty table gives no rows.
     """
     from .toxicity import remainder
 
     spark = docs.sparkSession
     tune(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = max(1, docs.rdd.getNumPartitions())
-    rows = docs.select("doc_id", (remainder(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartitionById(chunks, F.col("chunk"))
-    symbols = word_rows(rows).groupBy("kind", "h").agg(F.first("word").alias("word"), F.sum("n").alias("c"), F.sum("m").alias("m"), F.collect_set("chunk").alias("chunks"))  # a set of chunk numbers at most
     seen = Observation()
-    is_phrase = F.col("kind") == PHRASE_KIND
-    symbols = symbols.observe(seen, F.sum(F.when(is_phrase, F.col("c"))).alias("n"), F.sum(F.when(is_phrase & (F.col("c") > 0), 1)).alias("v"))
-    # of the phrases only those can be met as known that occur twice, once in a training text
-    symbols = stored(symbols.where(~is_phrase | ((F.col("c") > 0) & (F.col("m") > 1))).drop("m"), "symbols")
-    phrase_total, phrase_distinct = seen.get["n"] or 0, seen.get["v"] or 0
-    vocabulary = symbols.where(~is_phrase).drop("kind")
-    sums = vocabulary.agg(F.count("*").alias("all"), F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    total, distinct = sums.n or 0, sums.v or 0
-    scored = stored(words_coded(vocabulary, max(1, -(-sums["all"] // WORDS))), "words")
-    spelt = scored.where("c > 0").agg(F.sum(F.pow(F.lit(10.0), "lp"))).first()[0] or 0.0
-    answers = scored.select(F.explode("chunks").alias("to"), F.lit(WORD_KIND).alias("kind"), "h", "c", "lp")
-    answers = answers.union(symbols.where(is_phrase).select(F.explode("chunks"), "kind", "h", "c", F.lit(0.0)))
-    phrase_escape = float(np.log10(phrase_distinct / (phrase_total + phrase_distinct))) if phrase_distinct else 0.0
-    escape = np.log10(distinct / (total + distinct)) - np.log10(max(1 - spelt, 1e-9)) if distinct else 0.0
+    rows = docs.select("doc_id", (remainder(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    # a row's chunk is drawn by its place, not its contents, so that copies don't meet in one; written, it stays as it is
+    rows = stored(rows.observe(seen, F.sum(F.octet_length("text")).alias("bytes")), "dealt")
+    chunks = max(1, -(-(seen.get["bytes"] or 0) // CHUNK_BYTES))
+    rows = rows.withColumn("chunk", F.pmod("deal", F.lit(chunks)).cast("int")).drop("deal").repartitionById(chunks, F.col("chunk"))
+    asked = stored(asks(rows), "asks")
+    tally, counted = Observation(), asked.groupBy("key").agg(F.sum("n").alias("n"))
+    of_word = F.col("key") < 0
+    counted = counted.observe(tally, F.sum(F.when(of_word, F.col("n"))).alias("n"), F.sum(F.when(of_word & (F.col("n") > 0), 1)).alias("v"), F.count(F.when(~of_word, 1)).alias("grams"))
+    counted = stored(counted, "counts")
+    total, distinct = tally.get["n"] or 0, tally.get["v"] or 0
+    values = priced(counted.where(~of_word), tally.get["grams"]).union(counted.where(of_word).select("key", F.col("n").cast("double")))
+    values = stored(values, "prices")
+    answers = stored(asked.select("key", "chunk").join(values, "key").select(F.col("chunk").alias("to"), "key", "value"), "answers")
+    release(asked, counted, values)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right.column("kind").to_numpy()
-        known = right.filter(pa.array(kind == PHRASE_KIND))
-        order = np.argsort(known.column("h").to_numpy().view(np.uint64))
-        phrase, times = known.column("h").to_numpy().view(np.uint64)[order], known.column("c").to_numpy()[order]
-        right = right.filter(pa.array(kind == WORD_KIND))
-        keys = right.column("h").to_numpy().view(np.uint64)
+        keys = right.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
-        keys, c, lp = keys[order], right.column("c").to_numpy()[order], right.column("lp").to_numpy()[order]
-        lp = np.where(c > 0, np.log10(np.maximum(c, 1) / max(1, total + distinct)), lp + escape)
-        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        last = int(np.searchsorted(keys, END_HASH))
+        keys, value = keys[order], right.column("value").to_numpy()[order]
+        del right, order
+        end = int(np.searchsorted(keys, (np.array([END_HASH]) | WORD).view(np.int64))[0])
+        c = lambda found: (value[found] + 0.5) / (total + 0.5 * (distinct + 1))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        batch = left.select(["text", "held_out"]).combine_chunks().to_batches()
-        for part, data, offs in (x for b in batch for x in blocks(b)):
+        for part, data, offs in (x for b in left.select(["text"]).to_batches() for x in blocks(b)):
             data = LOWER[data]
             s, e, first = words(data, offs)
-            h = span_hash(data, s, e)
-            at = np.searchsorted(keys, h)
             row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-            begin, end, p = phrases(h, first)
-            of = row[begin] if len(begin) else begin
-            sums = np.append(0.0, np.cumsum(lp[at]))
-            code = sums[end] - sums[begin] + phrase_escape
-            place = np.minimum(np.searchsorted(phrase, p), max(0, len(phrase) - 1))
-            if len(phrase):
-                held = np.asarray(part.column(1).to_pylist(), bool)
-                count = np.where((phrase[place] == p) & (end - begin >= LEAST), times[place] - ~held[of], 0)
-                code = np.where(count > 0, np.log10(np.maximum(count, 1) / (phrase_total + phrase_distinct)), code)
-            for store, owner, values, tail in ((out[1], row, (c[at] > 0).astype(np.int64), int(c[last] > 0)), (out[2], row, base[at], base[last]), (out[3], of, code, lp[last])):
-                store.append(np.bincount(owner, values, len(offs) - 1) + tail)
+            at = np.searchsorted(keys, (span_hash(data, s, e) | WORD).view(np.int64))
+            n = len(offs) - 1
             out[0].append(np.diff(first) + 1)
+            out[1].append(np.bincount(row, value[at] > 0, n) + (value[end] > 0))
+            out[2].append(np.bincount(row, np.log10(c(at)), n) + np.log10(c(end)))
+            code = np.zeros(n)
+            for g, of in grams(*running(data, s, e, first)):
+                some, back = np.unique(g, return_inverse=True)
+                code += np.bincount(of, value[np.searchsorted(keys, some)][back], n)
+            out[3].append(code)
         n, known, b, p = (np.concatenate([*x, np.zeros(0)]) for x in out)
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(b), pa.array(p)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

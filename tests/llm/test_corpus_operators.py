@@ -1,6 +1,7 @@
 """Operators that compare texts: against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -12,7 +13,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.llm import cdc, components, knn, neardup, ppm, substrings
-from streamloom.llm.kit import span_hash
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,34 +90,20 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 500: 0, 100: 100, 200: 100}
 
 
-def spelt(word):
-    s = b" " + (word.encode() if word else b"")
-    return [(s[max(0, i - ppm.ORDER) : i], s[i]) for i in range(1, len(s))] + [(s[-ppm.ORDER :], 32)] if word else [(b" ", ppm.END)]
+def symbols(text):
+    return [32, *" ".join(tokens(text)).encode(), ppm.END]
 
 
-def cut_phrases(words):
-    out, phrase = [], []
-    for w in words:
-        b = np.frombuffer(w.encode(), np.uint8)
-        phrase.append(w)
-        if int(span_hash(b, np.array([0]), np.array([len(b)]))[0] >> np.uint64(20)) % ppm.PHRASE == 0:
-            out.append(tuple(phrase))
-            phrase = []
-    return [*out, tuple(phrase)] if phrase else out
-
-
-def test_ppm_is_brute_force(spark, docs):
-    rows = {r.doc_id: r.text for r in docs.collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in rows}
-    lists = {i: [*tokens(t), ""] for i, t in rows.items()}
-    c = collections.Counter(w for i in rows if not held[i] for w in lists[i])
-    n, v = sum(c.values()), len(c)
+def brute_ppm(rows, held):
+    """Textbook PPM-D: a dictionary of contexts, escapes and exclusion by sets."""
     trie = collections.defaultdict(collections.Counter)
-    for w in c:
-        for context, symbol in spelt(w):
-            for j in range(len(context) + 1):
-                trie[context[j:]][symbol] += 1
+    for i, t in rows.items():
+        s = symbols(t)
+        for k in range(1, len(s) if not held[i] else 0):
+            for j in range(min(k, ppm.ORDER) + 1):
+                trie[tuple(s[k - j : k])][s[k]] += 1
 
+    @functools.cache
     def log(context, symbol):
         gone, out = set(), 0.0
         for j in range(len(context) + 1):
@@ -126,40 +112,68 @@ def test_ppm_is_brute_force(spark, docs):
                 continue
             total, distinct = sum(x for s, x in seen.items() if s not in gone), sum(s not in gone for s in seen)
             if symbol in seen:
-                return out + math.log10(seen[symbol] / (total + distinct))
-            out += math.log10(distinct / (total + distinct)) if distinct else 0.0
+                return out + math.log10((seen[symbol] - 0.5) / total)
+            out += math.log10(0.5 * distinct / total) if distinct else 0.0
             gone = set(seen)
-        return out - math.log10(ppm.SYMBOLS - len(trie[b""]))
+        return out - math.log10(max(1, ppm.SYMBOLS - len(trie.get((), ()))))
+
+    def score(text):
+        s = symbols(text)
+        return sum(log(tuple(s[max(0, k - ppm.ORDER) : k]), s[k]) for k in range(1, len(s)))
 
-    memo = {}
-    letters = lambda w: memo.setdefault(w, sum(log(*g) for g in spelt(w)))
-    known = sum(10 ** letters(w) for w in c)
-    score = lambda w: math.log10(c[w] / (n + v)) if c[w] else math.log10(v / (n + v)) - math.log10(1 - known) + letters(w)
-    cuts = {i: cut_phrases(w[:-1]) for i, w in lists.items()}
-    long = collections.Counter(p for i in rows if not held[i] for p in cuts[i] if len(p) >= ppm.LEAST)
-    total, distinct = sum(long.values()), len(long)
+    return score
 
-    def coded(p, own):
-        times = long[p] - own
-        return math.log10(times / (total + distinct)) if times > 0 else math.log10(distinct / (total + distinct)) + sum(map(score, p))
 
-    for r in ppm.score_documents(docs).collect():
+def check_ppm(got, rows):
+    held = {i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i in rows}
+    lists = {i: [*tokens(t), ""] for i, t in rows.items()}
+    c = collections.Counter(w for i in rows if not held[i] for w in lists[i])
+    n, v = sum(c.values()), len(c)
+    score = brute_ppm(rows, held)
+    assert len(got) == len(rows)
+    for r in got:
         w = lists[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
-        assert r.score == pytest.approx(sum(coded(p, not held[r.doc_id]) for p in cuts[r.doc_id]) + score(""), rel=1e-6)
+        assert r.score == pytest.approx(score(rows[r.doc_id]), rel=1e-9)
+
+
+def test_ppm_is_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 100_000)
+    monkeypatch.setattr(ppm, "GRAMS", 9_000)
+    check_ppm(ppm.score_documents(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_ppm_pieces():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (0, 1, 2, 7, 300)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    text, at = ppm.running(data, *ppm.words(data, offs))
+    whole = [x.tolist() for x in next(ppm.grams(text, at))]
+    size, ppm.PIECE = ppm.PIECE, 3
+    try:
+        parts = list(ppm.grams(text, at))
+    finally:
+        ppm.PIECE = size
+    assert [np.concatenate(x).tolist() for x in zip(*parts)] == whole
 
 
 def test_ppm_beats_the_word_model_on_held_out_texts(spark):
-    got = ppm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    """The base gives every unknown word the mass of one, which favours it where most words are new; from some 25 MB on the trie is ahead."""
+    got = ppm.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
     r = got.agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
     assert r.a > r.b
 
 
-def test_ppm_odd(spark, odd):
-    got = ppm.score_documents(odd).collect()
-    assert len(got) == len(ODD) and all(r.score < 0 and r.n_tokens >= 1 for r in got)
-    assert ppm.score_documents(odd.limit(0)).count() == 0
+def test_ppm_odd(spark):
+    rows = {1: "a b c a b", 2: "A b\tc", 3: None, 4: "", 5: "  \n", 6: "one", 7: "caf\u00e9 caf\u00e9", 8: "zzz unseen", 9: "word " * 20000, None: "a b c"}
+    df = spark.createDataFrame([(i, t, 0, 1.5) for i, t in rows.items()], "doc_id long, text string, key int, score double")
+    check_ppm(ppm.score_documents(df).collect(), rows)
+    twice = ppm.score_documents(df.union(df)).collect()
+    assert len(twice) == 2 * len(rows) and len({(r.doc_id, r.score) for r in twice}) == len(rows)
+    assert ppm.score_documents(df.limit(0)).count() == 0
+    alone = spark.createDataFrame([(i, "abc") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
+    assert {round(r.score, 9) for r in ppm.score_documents(alone).collect()} == {round(-4 * math.log10(ppm.SYMBOLS), 9)}
 
 
 def brute_removal(rows):
