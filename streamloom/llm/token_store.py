@@ -131,7 +131,43 @@ def make_block(shard: int, block: int, keys: list, payloads: list[bytes], base:
     }
 
 
-_memos: dict[str, tuple[TokenMemo, int]] = {}
+class Encoder:
+    """The library's ids of whole texts: by a memo over pre-tokens, or by the library itself for the texts that hold one of its added tokens."""
+
+    def __init__(self, tokenizer, memo: TokenMemo):
+        self.tokenizer, self.memo = tokenizer, memo
+        self.added = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values() if x.content]
+
+    def holding(self, raw: bytes, offs: np.ndarray) -> list[int]:
+        """The rows whose text holds an added token."""
+        found = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offs, at, "right")) - 1
+                if at + len(token) <= offs[row + 1]:
+                    found.add(row)
+                    at = raw.find(token, int(offs[row + 1]))
+                else:  # it only seems to be one where two rows meet
+                    at = raw.find(token, at + 1)
+        return sorted(found)
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, and each row's end in them (from 0)."""
+        ids, ends = self.memo(data, offs)
+        raw = data.tobytes()
+        rows = self.holding(raw, offs)
+        if not rows:
+            return ids, ends
+        count, parts, at = np.diff(ends), [], 0
+        for i in rows:
+            own = self.tokenizer.encode(raw[offs[i] : offs[i + 1]].decode(), add_special_tokens=False).ids
+            parts += [ids[at : ends[i]], np.array(own, ids.dtype)]
+            count[i], at = len(own), ends[i + 1]
+        return np.concatenate([*parts, ids[at:]]), np.append(0, np.cumsum(count))
+
+
+_memos: dict[str, tuple[Encoder, int]] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -140,17 +176,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(path: str) -> tuple[TokenMemo, int]:
-    """A memo over the tokenizers library, and the size of its vocabulary.
+def encoder(path: str) -> tuple[Encoder, int]:
+    """The tokenizers library over whole texts, and the size of its vocabulary.
 
     The tokenizer's pre-tokens are encoded by the library; as its merges never
     cross them, the ids of a text are those of its pre-tokens one after another.
+    Added tokens that stand in a text have their own ids, as in the library.
     """
     if path not in _memos:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
 
         def each(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -186,14 +222,15 @@ def encoder(path: str) -> tuple[TokenMemo, int]:
                 out[expand(first[rows], count[rows])] = ids
             return out, count
 
-        _memos[path] = TokenMemo(encode, 600_000), t.get_vocab_size()
+        _memos[path] = Encoder(t, TokenMemo(encode, 600_000)), t.get_vocab_size()
     return _memos[path]
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text", compression: str = "zstd") -> str:
     """Encodes every whole text, appends ``end_id`` and writes a store in ascending key order.
 
-    Null texts count as empty: the end id alone. Documents with a null key come
+    Null texts count as empty: the end id alone. A text that spells one of the
+    tokenizer's added tokens gets that token's id, as the library gives it. Documents with a null key come
     first and are not indexed; those of repeated keys stand together, in the order
     of their ids' checksums, and the index gives the first. An empty table gives
     a store without rows. Other columns are not read. ``compression``: of the

@@ -69,12 +69,13 @@ def test_store_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_store.tokenizer_path())
-    t.encode_special_tokens = True
-    for df in (docs, odd):
+    marked = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endo"), (4, "ftext|>y"), (5, "plain text"), (6, "<|endoftext|><|endoftext|> é"), (7, "<|endo"), (8, "ftext|>")], "doc_id long, text string")
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for df in (docs, odd, marked, marked.coalesce(1)):
         rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
         ids = [t.encode(r.text or "", add_special_tokens=False).ids + [2] for r in rows]
         start = np.cumsum([0] + [len(i) for i in ids])
-        got = token_store.store_documents(df.repartition(3)).collect()
+        got = token_store.store_documents(df if df.rdd.getNumPartitions() == 1 else df.repartition(3)).collect()
         assert sorted(r.start for r in got) == start[:-1].tolist()
         key = lambda x: (str(x[0]), x[1])
         assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=key) == sorted(((r.doc_id, zlib.crc32(np.array(i, "<u4").tobytes())) for r, i in zip(rows, ids)), key=key)
