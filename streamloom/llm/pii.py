@@ -80,8 +80,8 @@ ANCHOR = re.compile(r"[0-9]+|@")
 MOST, CHARS, REACH = 15, 64, 8
 LABELS = ("other", *KINDS)
 DIM = 1 << 14
-#: Documents, and windows of these, from which the field learns, at most; passes and rates.
-SAMPLE, WINDOWS, PASSES, RATE, DECAY = 4_000, 1_200, 3, 0.2, 1e-4
+#: Documents, and windows of these, from which the field learns, at most (longer windows are cut into ones of LONGEST tokens); passes and rates.
+SAMPLE, WINDOWS, LONGEST, PASSES, RATE, DECAY = 4_000, 1_200, 60, 3, 0.2, 1e-4
 
 
 def windows(text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -163,54 +163,73 @@ class Field:
     def scores(self, ids: np.ndarray) -> np.ndarray:
         return self.w[:, ids].sum(2).T if len(ids) else np.zeros((0, len(KINDS)))
 
-    def learn(self, text: str, tokens: list[tuple[int, int]], gold: dict[tuple[int, int], int], rate: float) -> None:
-        """One step up the log-likelihood: features of the true segmentation less their expectation."""
+    def gradient(self, text: str, tokens: list[tuple[int, int]], gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The candidates' features, the log-likelihood's slope by each candidate's kind and by each pair of labels, and the log-likelihood: what the true segmentation has less what is expected."""
         where, ids = self.spans(text, tokens)
-        if not where:
-            return
-        score, n, m = self.scores(ids), len(tokens), len(LABELS)
-        ends: list[list[int]] = [[] for _ in range(n + 1)]
-        starts: list[list[int]] = [[] for _ in range(n + 1)]
+        score, n, m = self.scores(ids).tolist(), len(tokens), len(LABELS)
+        edges: list[list[tuple[int, int, int, float]]] = [[], *[[(-1, p, 0, 0.0)] for p in range(n)]]  # by end: candidate, start, label, score
         for k, (i, j) in enumerate(where):
-            ends[j].append(k)
-            starts[i].append(k)
-        low = -1e30
-        add = lambda x: (top := max(x)) + math.log(sum(math.exp(v - top) for v in x)) if x else low
-        t = self.t.tolist()
+            edges[j] += [(k, i, y, score[k][y - 1]) for y in range(1, m)]
+        low, t = -1e30, self.t.tolist()
+
+        def add(x: list[float]) -> float:
+            top = max(x, default=low)
+            return top if top <= low else top + math.log(sum(math.exp(v - top) for v in x))
+
         go = [[low] * m for _ in range(n + 1)]
         go[0][0] = 0.0
-        into = lambda i, y: add([go[i][z] + t[z][y] for z in range(m) if go[i][z] > low])
         for p in range(1, n + 1):
             parts: list[list[float]] = [[] for _ in range(m)]
-            parts[0].append(into(p - 1, 0))
-            for k in ends[p]:
-                for y in range(1, m):
-                    parts[y].append(into(where[k][0], y) + score[k, y - 1])
-            go[p] = [add(x) if x else low for x in parts]
-        back = [[low] * m for _ in range(n + 1)]
-        back[n] = [0.0] * m
-        for p in range(n - 1, -1, -1):
-            for z in range(m):
-                parts1 = [t[z][0] + back[p + 1][0]]
-                parts1 += [t[z][y] + score[k, y - 1] + back[where[k][1]][y] for k in starts[p] for y in range(1, m)]
-                back[p][z] = add(parts1)
-        whole = add([x for x in go[n] if x > low])
-        step = np.zeros((len(where), len(KINDS)))
-        for k, (i, j) in enumerate(where):
-            for y in range(1, m):
-                step[k, y - 1] -= math.exp(min(0.0, into(i, y) + score[k, y - 1] + back[j][y] - whole))
-            y = gold.get((i, j))
-            if y is not None:
-                step[k, y] += 1
+            for _, i, y, s in edges[p]:
+                parts[y].append(add([go[i][z] + t[z][y] for z in range(m) if go[i][z] > low]) + s)
+            go[p] = [add(x) for x in parts]
+        back: list[list[list[float]]] = [[[] for _ in range(m)] for _ in range(n + 1)]
+        rest = [[0.0] * m for _ in range(n + 1)]
+        whole = add(go[n])
+        step, moves = np.zeros((len(where), len(KINDS))), np.zeros((m, m))
+        for p in range(n, 0, -1):
+            if p < n:
+                rest[p] = [add(x) for x in back[p]]
+            for k, i, y, s in edges[p]:
+                for z in range(m):
+                    back[i][z].append(t[z][y] + s + rest[p][y])
+                    if go[i][z] > low:
+                        share = math.exp(min(0.0, go[i][z] + t[z][y] + s + rest[p][y] - whole))
+                        moves[z, y] -= share
+                        if k >= 0:
+                            step[k, y - 1] -= share
+        at, z, truth = 0, 0, 0.0
+        known = {span: k for k, span in enumerate(where)}
+        begins = {i: (j, y) for (i, j), y in gold.items() if (i, j) in known}
+        while at < n:
+            j, y = begins.get(at, (at + 1, -1))
+            truth += t[z][y + 1]
+            moves[z, y + 1] += 1
+            if y >= 0:
+                step[known[at, j], y] += 1
+                truth += score[known[at, j]][y]
+            at, z = j, y + 1
+        return ids, step, moves, truth - whole
+
+    def learn(self, text: str, tokens: list[tuple[int, int]], gold: dict[tuple[int, int], int], rate: float) -> None:
+        """One step up the log-likelihood, for the features and for the labels that follow each other. ``gold`` has spans that don't overlap."""
+        ids, step, moves, _ = self.gradient(text, tokens, gold)
+        if not len(ids):
+            return
         self.w *= 1 - DECAY
+        self.t *= 1 - DECAY
         for y in range(len(KINDS)):
             np.add.at(self.w[y], ids, rate * step[:, y : y + 1])
+        self.t += rate / 10 * moves  # a pair of labels has many more occurrences in a window than a feature
 
     def best(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """The best segmentation's entities."""
         where, ids = self.spans(text, tokens)
         score = self.scores(ids)
-        keep = np.flatnonzero(score.max(1) > 0) if len(where) else []
+        # what a span can win over other tokens in its place, whatever stands around it
+        gain = np.max(self.t[:, 1:] - self.t[:, :1], axis=0) + np.maximum(0, np.max(self.t[1:] - self.t[0], axis=1))
+        length = np.array([j - i for i, j in where])
+        keep = np.flatnonzero((score + gain - (length[:, None] - 1) * self.t[0, 0] > 0).any(1)) if len(where) else []
         if not len(keep):
             return []
         ends: dict[int, list[int]] = {}
@@ -275,7 +294,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from the base spans of at most ``sample`` documents, those of the smallest hashes of their ids.
 
     Only the windows around digits and @ travel, and the first ``WINDOWS`` of
-    them in the order of the hashes are learnt from.
+    them in the order of the hashes and texts are learnt from, however the rows lie.
     """
     tune(docs.sparkSession)
     ids = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy("h", "doc_id").limit(sample)
@@ -286,17 +305,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
             h, out = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for low, tokens in windows(text or ""):
-                    if len(out) < WINDOWS and len(tokens) <= 200:
+                    for k in range(0, len(tokens), LONGEST):
+                        some = tokens[k : k + LONGEST]
                         h.append(i)
-                        out.append(text[max(low, tokens[0][0] - 1) : tokens[-1][1] + 1])
+                        out.append(text[max(low, some[0][0] - 1) : some[-1][1] + 1])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.string())], names=["h", "text"])
 
     near = rows.select("h", "text").mapInArrow(run, "h long, text string").orderBy("h", "text").limit(WINDOWS)
     field, texts = Field(), [r.text for r in near.collect()]
     for turn in range(PASSES):
         for text, tokens, gold in examples(texts[turn % 2 :] + texts[: turn % 2]):
-            if len(tokens) <= 60:
-                field.learn(text, tokens, gold, RATE / (1 + turn))
+            field.learn(text, tokens, gold, RATE / (1 + turn))
     return field
 
 
@@ -348,8 +367,9 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
 def find_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learns, then finds: one row per input row.
 
-    Null and empty texts have no spans. Every row is judged by itself, so
-    repeated rows are alike; further columns are not read.
+    Null and empty texts have no spans. Every row is judged by itself and whole,
+    so repeated rows are alike, and a very long text is read window by window;
+    further columns are not read. An empty table gives no rows.
     """
     return find(docs, learn(docs, sample))
 

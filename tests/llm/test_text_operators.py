@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -206,8 +207,90 @@ def test_field_finds_what_patterns_miss(spark):
     assert pii.added_spans("in 1999 and 2001 of 10-20 by 7", field, []) == []
 
 
-def test_pii_odd(spark, odd):
-    assert pii.find_documents(odd).count() == len(ODD)
-    assert pii.find_documents(odd.limit(0)).count() == 0
+def segmentations(n, where, at=0):
+    """Every way to cut n tokens into others and labelled candidates, as [(candidate or -1, label)]."""
+    if at == n:
+        yield []
+        return
+    for k, (i, j) in [(-1, (at, at + 1)), *((k, s) for k, s in enumerate(where) if s[0] == at)]:
+        for rest in segmentations(n, where, j):
+            for y in range(1, 5) if k >= 0 else [0]:
+                yield [(k, y), *rest]
+
+
+def random_field(seed):
+    rng = np.random.default_rng(seed)
+    field = pii.Field()
+    field.w = rng.normal(0, 0.5, field.w.shape)
+    field.t = rng.normal(0, 1.0, field.t.shape)
+    return field
+
+
+def value(path, field, score):
+    z, out = 0, 0.0
+    for k, y in path:
+        out += field.t[z, y] + (score[k, y - 1] if k >= 0 else 0.0)
+        z = y
+    return out
+
+
+WINDOWS = ["12345 67", "a@b.de 1", "1.2.3.45", "x 4444-55", "+49 12345", "c@dd.e"]
+
+
+@pytest.mark.parametrize("text", WINDOWS)
+def test_field_is_brute_force(text):
+    tokens = [(m.start(), m.end()) for m in pii.TOKEN.finditer(text)]
+    for seed in range(12):
+        field = random_field(seed)
+        where, ids = field.spans(text, tokens)
+        score, paths = field.scores(ids), list(segmentations(len(tokens), where))
+        values = np.array([value(p, field, score) for p in paths])
+        best = paths[int(values.argmax())]
+        spans = [(y - 1, tokens[where[k][0]][0], tokens[where[k][1] - 1][1]) for k, y in best if k >= 0]
+        assert sorted(field.best(text, tokens)) == sorted(spans)
+        gold = {where[0]: seed % 4} if where else {}
+        _, step, moves, log = field.gradient(text, tokens, gold)
+        p = np.exp(values - values.max())
+        p /= p.sum()
+        true = next(i for i, x in enumerate(paths) if {(where[k], y - 1) for k, y in x if k >= 0} == set(gold.items()))
+        want_step, want_moves = np.zeros_like(step), np.zeros_like(moves)
+        for i, x in enumerate(paths):
+            z, weight = 0, (i == true) - p[i]
+            for k, y in x:
+                want_moves[z, y] += weight
+                if k >= 0:
+                    want_step[k, y - 1] += weight
+                z = y
+        assert np.allclose(step, want_step) and np.allclose(moves, want_moves) and log == pytest.approx(math.log(p[true]))
+
+
+def test_field_learns_what_follows_what():
+    field, text = pii.Field(), "c@d.com 4111111111111111 x"
+    tokens = [(m.start(), m.end()) for m in pii.TOKEN.finditer(text)]
+    gold = {(0, 5): 0, (6, 7): 2}
+    logs = []
+    for _ in range(30):
+        logs.append(field.gradient(text, tokens, gold)[3])
+        field.learn(text, tokens, gold, 0.2)
+    assert logs == sorted(logs) and logs[-1] > -0.2 and (field.t != 0).any()
+    assert sorted(field.best(text, tokens)) == [(0, 0, 7), (2, 8, 24)]
+
+
+def test_field_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = pii.learn(docs.coalesce(1)), pii.learn(docs.repartition(7))
+    assert (one.w == two.w).all() and (one.t == two.t).all() and (one.t != 0).any()
+
+
+def test_pii_odd(spark):
+    rows = {1: "mail a.b@c.de now", 2: None, 3: "", 4: "  ", 5: "ip 1.2.3.4 " * 3000, 6: "no data"}
+    df = spark.createDataFrame([(i, t, 7, "x") for i, t in rows.items()] * 2 + [(None, rows[1], 0, None)], "doc_id long, text string, n_email int, spans string")
+    got = pii.find_documents(df).collect()
+    assert len(got) == 13 and len({tuple(r) for r in got}) == 7
+    for r in got:
+        spans = brute_spans(rows[r.doc_id or 1] or "")
+        assert (r.n_email, r.n_ip) == tuple(sum(k == i for k, _, _ in spans) for i in (0, 1))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+    assert pii.find_documents(df.limit(0)).count() == 0
     masked = pii.mask(spark.createDataFrame([(1, "mail a.b@c.de now", 1), (2, None, 2)], EXTRA)).collect()
     assert [(r.text, r.n_tokens) for r in masked] == [("mail <email> now", 1), (None, 2)]
