@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kit import BYTE_B, MULT_B, blocks, span_hash, tune
@@ -54,7 +54,7 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """One row for each document (d1 null: its bytes and chunks) and each distinct chunk of it, at its first place; later places in the document are rows marked ``again``."""
+    """A row for each chunk of every row (key, mark, text); those that stand in the same text before are marked ``again``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,52 +68,50 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 again = np.zeros(len(order), bool)
                 a, b = order[1:], order[:-1]
                 again[a] = (row[a] == row[b]) & (one[a] == one[b]) & (two[a] == two[b])
-                ids = part.column(0).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids), pa.array(start - offs[row]), pa.array((ends - start).astype(np.int32)), pa.array(again)], names=["d1", "d2", "doc_id", "start", "size", "again"])
+                key, mark = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(key), pa.array(mark), pa.array(start - offs[row]), pa.array((ends - start).astype(np.int32)), pa.array(again)], names=["d1", "d2", "key", "mark", "start", "size", "again"])
 
-    return docs.mapInArrow(run, "d1 long, d2 long, doc_id long, start long, size int, again boolean")
+    return docs.select("key", "mark", "text").mapInArrow(run, "d1 long, d2 long, key long, mark long, start long, size int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
-    """(doc_id, spans): the byte ranges of each document that repeat earlier text, as an array of (start, end). A document's chunks alone meet in one row."""
+    """(key, mark, spans): the byte ranges of each row's text that repeat earlier text, as an array of (start, end). A text's ranges alone meet in one row."""
     rows = chunk_rows(docs)
-    shared = rows.where("NOT again").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = rows.where("NOT again").groupBy("d1", "d2").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     # as a table, so that the join's both sides are plain exchanges and Spark can split a frequent chunk's partition
     shared = stored(shared, "shared-chunks")
-    later = rows.join(shared, ["d1", "d2"], "left").where(F.col("again") | (F.col("doc_id") > F.col("first")))
-    lists = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("c"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    joined = F.aggregate(
-        "c",
-        none,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (x["start"] + x["size"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"))))),
-    )
-    spans = F.filter(joined, lambda s: s["end"] - s["start"] >= run_bytes)
-    return lists.select("doc_id", spans.alias("spans")).where(F.size("spans") > 0)
+    later = rows.join(shared, ["d1", "d2"], "left").where(F.col("again") | (F.col("key") > F.col("first")))
+    # rows that are the same in key and text have the same chunks
+    once = later.groupBy("key", "mark", "start").agg(F.max("size").alias("size"))
+    order = Window.partitionBy("key", "mark").orderBy("start")
+    begins = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("size")).over(order), F.lit(True))
+    runs = once.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    runs = runs.groupBy("key", "mark", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    runs = runs.where(F.col("end") - F.col("start") >= run_bytes)
+    return runs.groupBy("key", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """The documents with an order key, which for a null doc_id is the least, and a mark that rows of one key share if they are the same."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(F.col("doc_id").isNull(), text).alias("mark"), text.alias("text"))
 
 
 def deduplicate(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     """doc_id, n_bytes, has_repeat, n_removed, n_spans and spans ("start:end", comma-joined, in UTF-8 bytes) of every document.
 
-    Null and empty texts have no chunk. Rows that repeat a doc_id count as one
-    place: none of them repeats the other, and what is found in either is
-    removed from both. A null doc_id comes before all others. Further columns are
-    not read.
+    Null and empty texts have no chunk; a very long text is cut whole. Rows that
+    repeat a doc_id count as one place: none of them repeats the other, and each
+    loses only what repeats an earlier document or itself. A null doc_id comes
+    before all others. Further columns are not read.
     """
     tune(docs.sparkSession)
     rows = keyed(docs)
     found = repeated_spans(rows, run_bytes)
-    out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).join(found, "doc_id", "left")
+    out = rows.select("doc_id", "key", "mark", F.octet_length("text").cast("long").alias("n_bytes")).join(found, ["key", "mark"], "left")
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
-        F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"),
+        "doc_id",
         "n_bytes",
         F.col("spans").isNotNull().alias("has_repeat"),
         F.coalesce(size, F.lit(0)).alias("n_removed"),
@@ -126,7 +124,7 @@ def cleaned(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     """(doc_id, kept, kept_sha256): the documents' bytes without the repeats."""
     tune(docs.sparkSession)
     rows = keyed(docs)
-    both = rows.join(repeated_spans(rows, run_bytes), "doc_id", "left")
+    both = rows.join(repeated_spans(rows, run_bytes), ["key", "mark"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,5 +137,4 @@ def cleaned(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
                 kept.append(b"".join([*out, raw[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "kept", "kept_sha256"])
 
-    out = both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, kept_sha256 string")

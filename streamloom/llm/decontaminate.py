@@ -18,8 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .kit import LOWER, Prefix, blocks, expand, mix, tune, words
+from .kit import LOWER, Prefix, blocks, expand, mix, numbered, tune, words
+from .shared import release, stored
 
 WINDOW = 12
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
@@ -103,56 +105,78 @@ class Index:
         """(row, item, most equal words in a window) of every verified overlap."""
         word, first = folded_hashes(data, offs)
         row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-        found = []
+        found = [np.zeros((0, 3), np.int64)]
         for mask, seed, item, place, bit in zip(self.masks, self.seed, self.item, self.place, self.filter, strict=True):
             h, at = seeds(word, row, mask)
             on = bit[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
             h, at = h[on], at[on]
-            low, high = np.searchsorted(seed, h, "left"), np.searchsorted(seed, h, "right")
-            n = high - low
-            hit = expand(low, n)
-            found.append(np.stack([np.repeat(row[at], n), item[hit], np.repeat(at, n) - place[hit]], axis=1))
-        hits = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        out = []
-        for r, i, start in hits.tolist():  # a diagonal: the item's first word would be word ``start``
-            size = int(self.size[i])
-            low, high = max(0, int(first[r]) - start), min(size, int(first[r + 1]) - start)
-            equal = np.zeros(size + 1, np.int64)
-            equal[1 + low : 1 + high] = word[start + low : start + high] == self.word[self.first[i] + low : self.first[i] + high]
-            span = min(WINDOW, size)
-            total = np.cumsum(equal)
-            most = int((total[span:] - total[:-span]).max())
-            if most >= needed(span):
-                out.append((r, i, most))
-        got = np.array(out, np.int64).reshape(-1, 3)
-        return got[:, 0], got[:, 1], got[:, 2]
-
-
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark's items, each of a bounded number of bytes; items with a null id or without words can't match."""
-    from pyspark.sql import functions as F
-
+            low = np.searchsorted(seed, h, "left")
+            n = np.searchsorted(seed, h, "right") - low
+            for a, b in pieces(n):  # a frequent seed may hit many items
+                hit = expand(low[a:b], n[a:b])
+                diagonals = np.unique(np.stack([np.repeat(row[at[a:b]], n[a:b]), item[hit], np.repeat(at[a:b], n[a:b]) - place[hit]], axis=1), axis=0)
+                found.append(self.verified(word, first, diagonals))
+        got = np.concatenate(found)
+        got = got[np.lexsort((-got[:, 2], got[:, 1], got[:, 0]))]
+        new = np.ones(len(got), bool)
+        new[1:] = (got[1:, :2] != got[:-1, :2]).any(1)
+        return got[new, 0], got[new, 1], got[new, 2]
+
+    def verified(self, word: np.ndarray, first: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+        """(row, item, most equal words in a window) of the diagonals (row, item, number of the word that would be the item's first) that are overlaps."""
+        out = [np.zeros((0, 3), np.int64)]
+        for a, b in pieces(self.size[diagonals[:, 1]]):
+            r, i, start = diagonals[a:b].T
+            size = self.size[i]
+            ends = np.cumsum(size)
+            inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+            there = np.repeat(start, size) + inside
+            equal = (there >= np.repeat(first[r], size)) & (there < np.repeat(first[r + 1], size))
+            equal[equal] = word[there[equal]] == self.word[(np.repeat(self.first[i], size) + inside)[equal]]
+            total = np.append(0, np.cumsum(equal))
+            span = np.repeat(np.minimum(WINDOW, size), size)
+            full = inside + 1 >= span
+            at = np.arange(1, ends[-1] + 1)
+            count = np.where(full, total[at] - total[np.maximum(at - span, 0)], 0)
+            most = np.maximum.reduceat(count, ends - size)
+            kept = most >= -(-4 * np.minimum(WINDOW, size) // 5)
+            out.append(np.stack([r[kept], i[kept], most[kept]], axis=1))
+        return np.concatenate(out)
+
+
+def pieces(n: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Cuts of rows with n[i] elements into pieces of about ``limit`` elements, each of one row at least."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
+def indexes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the benchmark's items, each of about ``PIECE_BYTES`` of text, and whether more will come; items with a null id or without words can't match."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
     ids, texts, size = [], [], 0
     for item in items.toLocalIterator():
-        ids.append(item.item_id)
-        texts.append(item.text)
-        size += len(item.text)
         if size >= PIECE_BYTES:
-            yield Index(ids, texts)
+            yield Index(ids, texts), True
             ids, texts, size = [], [], 0
+        ids.append(item.item_id)
+        texts.append(item.text)
+        size += len(item.text.encode())
     if ids:
-        yield Index(ids, texts)
+        yield Index(ids, texts), False
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_equal) of every document row and item that overlap."""
+    """(doc_id, item_id, n_equal) of every document row and item that overlap. One index at a time is with the executors."""
     spark = docs.sparkSession
     tune(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_equal long"
-    out = None
-    for index in indexes(benchmark):
+    out = spark.createDataFrame([], schema)
+    for index, more in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -161,38 +185,59 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     r, i, n = shared.value.matches(data, offs)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(shared.value.ids[i]), pa.array(n)], names=["doc_id", "item_id", "n_equal"])
 
-        piece = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = piece if out is None else out.unionByName(piece)
-    return spark.createDataFrame([], schema) if out is None else out
+        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
+        if more:
+            out = stored(out, "overlaps")
+            shared.destroy()
+    return out
 
 
-def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every input row with ``contaminated`` and the number of items that overlap (``n_items``), over further columns of these names.
+def mark(docs: DataFrame, benchmark: DataFrame, count: str = "n_items", flag: str = "contaminated") -> DataFrame:
+    """Every input row with the number of items that overlap, in the column ``count``, and whether there is one, in ``flag``; they replace columns of these names.
 
     Null and empty texts are clean, as is everything where the benchmark is
-    empty. Each row is judged by itself, so repeated rows are treated alike.
+    empty; a very long text is compared whole. Each row is judged by itself, so
+    repeated rows are treated alike. One index at a time is with the executors:
+    a benchmark of several is gone through piece by piece, over a table.
     """
     spark = docs.sparkSession
     tune(spark)
-    keep = [c for c in docs.columns if c not in ("n_items", "contaminated")]
-    from pyspark.sql import functions as F
-
-    out = docs.select(*keep, F.lit(0).cast("long").alias("n_items"))
-    for index in indexes(benchmark):
+    names = docs.columns
+    keep = [i for i, c in enumerate(names) if c not in (count, flag)]
+    out = numbered(docs).select(*[f"c{i}" for i in keep], F.lit(0).cast("long").alias("n"))
+    text, last = f"c{names.index('text')}", None
+    for index, more in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, data, offs in blocks(batch):
+                for part, data, offs in blocks(batch, text):
                     r, i, _ = shared.value.matches(data, offs)
                     pairs = np.unique(np.stack([r, shared.value.ids[i]], axis=1), axis=0)
                     n = np.bincount(pairs[:, 0], minlength=len(offs) - 1) + part.column(part.num_columns - 1).to_numpy()
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n)], schema=part.schema)
 
         out = out.mapInArrow(run, out.schema)
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+        if more:
+            before, last = last, stored(out, "marked")
+            out = last
+            shared.destroy()
+            if before is not None:
+                release(before)
+    return out.select("*", F.col("n") > 0).toDF(*[names[i] for i in keep], count, flag)
 
 
 def mark_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated and n_items of every document."""
     return mark(docs.select("doc_id", "text"), benchmark).select("doc_id", "contaminated", "n_items")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that overlap no item, with all their columns, whatever their names."""
+    count, flag = "n_items", "contaminated"
+    while count in docs.columns:
+        count += "_"
+    while flag in docs.columns:
+        flag += "_"
+    marked = mark(docs, benchmark, count, flag)
+    return marked.where(~F.col(f"`{flag}`")).select(*[F.col(f"`{c}`") for c in docs.columns])

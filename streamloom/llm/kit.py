@@ -37,6 +37,11 @@ def tune(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def numbered(docs):
+    """The frame with its columns named c0, c1, ...: any names, those with dots too, can go through an Arrow pass."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection with good avalanche)."""
     x = x ^ (x >> U64(32))

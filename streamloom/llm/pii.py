@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import blocks, tune
+from .kit import blocks, numbered, tune
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns; possessive forms and the look-behind only save time, as no match can begin inside a run of digits
@@ -392,10 +392,11 @@ def mask(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in blocks(batch):
+            for part, data, offs in blocks(batch, f"c{place}"):
                 texts = part.column(place).to_pylist()
                 new = [one(t) if s else t for t, s in zip(texts, suspects(data, offs), strict=True)]
                 columns = [*part.columns[:place], pa.array(new, part.schema.field(place).type), *part.columns[place + 1 :]]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

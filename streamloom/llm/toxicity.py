@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import LOWER, Prefix, blocks, mix, tune
+from .kit import LOWER, Prefix, blocks, mix, numbered, tune
 
 #: Labelled rows to learn from, at most (those of the smallest hashes of their keys), and how often they are passed over.
 SAMPLE, PASSES = 16_000, 3
@@ -160,8 +160,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int = PASSES) -> DataFrame:
     """Learns from the labelled documents, then scores every document.
 
-    One row per input row; repeated rows get equal scores. Without any label the
-    score is 0.5. Further columns are not read.
+    One row per input row; repeated rows get equal scores. Null and empty texts
+    have the intercept alone, a very long text is read whole. Without any label
+    the score is 0.5. Further columns are not read; an empty table gives no rows.
     """
     return score(docs, learn(docs, labels, sample, passes))
 
@@ -175,7 +176,8 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = log_odds(shared.value)
         for batch in batches:
-            for part, data, offs in blocks(batch):
+            for part, data, offs in blocks(batch, text):
                 yield part.filter(pa.array(of(data, offs) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain, text = numbered(docs), f"c{docs.columns.index('text')}"
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

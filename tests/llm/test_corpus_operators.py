@@ -293,9 +293,26 @@ def test_chunks_survive_an_insertion():
     assert len(a - b) < 6
 
 
-def test_chunks_odd(spark, odd):
-    assert cdc.deduplicate(odd).count() == len(ODD)
-    assert cdc.deduplicate(odd.limit(0)).count() == 0
+def test_chunks_in_rows_that_repeat_a_doc_id(spark):
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    one, two, shared = prose(300), prose(250), prose(200)
+    rows = [(1, one), (1, one), (1, two + shared), (2, one), (2, shared + two), (None, shared), (None, shared), (None, prose(90)), (3, None), (4, ""), (5, two * 3), (-(2**63), two)]
+    seen, want = [], []
+    for i, t in sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0]):
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        cuts = [0, *cdc.chunk_ends(b, np.array([0, len(b)]))[0].tolist()]
+        own, spans, key = set(), [], -(2**63) if i is None else i
+        for a, e in zip(cuts, cuts[1:]):
+            k = b[a:e].tobytes()
+            if k in own or any(k == c and j < key for j, c in seen):
+                spans = [*spans[:-1], (spans[-1][0], e)] if spans and spans[-1][1] == a else [*spans, (a, e)]
+            own.add(k)
+        seen += [(key, k) for k in own]
+        want.append((str(i), len(b), sum(e - a for a, e in spans), ",".join(f"{a}:{e}" for a, e in spans)))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int").repartition(3)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.spans) for r in cdc.deduplicate(df).collect()) == sorted(want)
+    assert cdc.deduplicate(df.limit(0)).count() == 0
 
 
 def brute_top(rows, k=10, every=100):

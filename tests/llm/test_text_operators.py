@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from streamloom.llm import bpe, decontaminate, pii, token_store, toxicity
 from streamloom.llm.shared import new_path
@@ -174,6 +175,23 @@ def test_decontamination_folds_case_by_unicode(spark):
     assert [r.item_id for r in decontaminate.overlaps(low, bench).collect()] == [8]
 
 
+def test_decontamination_odd(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for _ in range(9)]
+    long = " ".join(f"x{rng.randrange(9)}" for _ in range(60000))
+    rows = [(1, items[0], 3, "a"), (1, items[0], 3, "a"), (2, None, 4, None), (3, "", 5, "b"), (None, f"{long} {items[1]} {long}", 6, "c"), (4, "words of no item " * 9, 7, "d"), (5, items[2] + " " + items[7], 8, "e")]
+    docs = spark.createDataFrame(rows, "contaminated long, text string, n_items int, `odd.name` string").withColumnRenamed("contaminated", "doc_id").withColumn("contaminated", F.lit("mine"))
+    bench = spark.createDataFrame([*enumerate(items), (None, items[0]), (99, None)], "item_id long, text string")
+    for size in (decontaminate.PIECE_BYTES, 100):
+        monkeypatch.setattr(decontaminate, "PIECE_BYTES", size)
+        got = sorted((str(r.doc_id), r.n_items, r.contaminated) for r in decontaminate.mark_documents(docs, bench).collect())
+        assert got == sorted([("1", 1, True), ("1", 1, True), ("2", 0, False), ("3", 0, False), ("None", 1, True), ("4", 0, False), ("5", 2, True)])
+        kept = decontaminate.clean(docs, bench)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.n_items, r["odd.name"], r.contaminated) for r in kept.collect()) == [(2, 4, None, "mine"), (3, 5, "b", "mine"), (4, 7, "d", "mine")]
+    assert decontaminate.clean(docs, bench.limit(0)).count() == 7 and decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
