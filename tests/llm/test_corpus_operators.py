@@ -78,10 +78,53 @@ def test_near_duplicates_in_a_large_family(spark):
     assert got == groups(rows, 3, 85)
 
 
+def blocks_removed(m):
+    """A text of 400 words, and copies that each lack six blocks of twelve."""
+    rng = random.Random(m)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, m):
+        gone = {k + j for k in (rng.randrange(388) for _ in range(6)) for j in range(12)}
+        rows.append((i, " ".join(w for k, w in enumerate(base) if k not in gone)))
+    return rows
+
+
+def test_near_duplicates_verify_few_pairs_of_a_loose_family(spark, monkeypatch):
+    seen, check = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *more: (seen.append(pairs.count()), check(pairs, *more))[1])
+    for m in (100, 300):
+        seen.clear()
+        rows = blocks_removed(m)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+        assert got == groups(rows, 3, 85)
+        assert sum(seen) < 24 * m  # of m * (m - 1) / 2
+
+
+def test_bands_miss_few():
+    for percent in (50, 80, 85, 95, 100):
+        for rows in (neardup.ROWS, neardup.long_rows(percent)):
+            assert (1 - (percent / 100) ** rows) ** neardup.bands_for(rows, percent) <= neardup.MISS
+
+
+def test_one_of_each_by_row(spark):
+    words = lambda a, n=40: " ".join(f"w{a}x{i}" for i in range(n))
+    rows = [(3, words(1)), (8, words(1)), (8, words(2)), (7, words(3)), (7, words(3)), (None, words(4)), (None, words(4)), (None, words(1)), (9, words(4)), (5, None), (5, None), (6, ""), (None, None), (4, "short one"), (2, "Short ONE")]
+    df = spark.createDataFrame([(*r, i, 0.5) for i, r in enumerate(rows)], "doc_id long, text string, row int, kept double").repartition(4)
+    got = neardup.one_of_each(df, 5, 80)
+    assert got.columns == df.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(3, words(1)), (8, words(2)), (7, words(3)), (9, words(4)), (5, None), (5, None), (6, ""), (None, None), (2, "Short ONE")], key=key)
+    assert neardup.one_of_each(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_odd(spark, odd):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd, 3, 85).collect())
     assert got == sorted([("1", 5, 1, True), ("2", 5, 1, False), ("3", 0, 3, True), ("4", 0, 4, True), ("5", 0, 5, True), ("6", 1, 6, True), ("7", 1, 6, False), ("7", 1, 6, False), ("None", 5, None, True), ("9", 1, 9, True)])
     assert neardup.near_duplicates(odd.limit(0), 3, 85).count() == 0
+    # two texts under one doc_id: each has its own links
+    rows = [(1, "a b c d e f g h"), (1, "p q r s t u v w"), (2, "p q r s t u v w"), (3, "a b c d e f g h")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
 
 
 def test_components(spark):
@@ -360,3 +403,29 @@ def test_pipeline(spark):
     out = p.run(spark, d)
     assert out.count() == marked and "ids_sha256" in out.columns
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_pipeline_odd(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = lambda a, n=40: " ".join(f"w{a}x{i}" for i in range(n))
+    rows = [(3, words(1)), (8, words(1)), (8, words(2)), (7, words(3)), (7, words(3)), (None, words(4)), (None, words(5)), (5, None), (6, ""), (9, words(6, 20000)), (10, "x " + words(7, 15) + " y"), (11, "mail a.b@c.de")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_items int, contaminated string, score double"
+    docs = spark.createDataFrame([(i, t, None, "s", -1, 7, "mine", None) for i, t in rows], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs_ in (("full", docs), ("empty", docs.limit(0))):
+        d = str(tmp_path / name)
+        docs_.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, words(7, 15)), (None, words(1)), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    # without labels the score is 0.5 for all, which rejects all: the classifier's stage is passed by here
+    d, at = str(tmp_path / "full"), docs
+    for name, stage in p.STAGES[1:4]:
+        at = stage(spark, at, d)
+        assert at.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    got = sorted(((r.doc_id, r.text) for r in at.collect()), key=key)
+    assert got == sorted([(3, words(1)), (8, words(2)), (7, words(3)), (None, words(4)), (None, words(5)), (5, None), (6, ""), (9, words(6, 20000)), (11, "mail <email>")], key=key)
+    assert {(r.n_items, r.contaminated, r.score) for r in at.collect()} == {(7, "mine", None)}
+    assert p.STAGES[4][1](spark, at, d).count() == 9
+    assert p.run(spark, str(tmp_path / "empty")).count() == 0
