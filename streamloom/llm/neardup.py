@@ -214,15 +214,25 @@ def mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(keys, "key", "left_semi")
 
 
-def open_pairs(members: DataFrame, percent: int, signed: bool = False) -> DataFrame:
-    """(a, b): the members of one bucket that lie in different components, where the sizes, and if ``signed`` the signatures, allow a link."""
+def open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the members of one bucket that lie in different components, where the sizes allow a link."""
     p, q = members.alias("p"), members.alias("q")
     apart = (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & near("p.n", "q.n", percent)
-    if signed:
-        apart = apart & same_sketch("p.", "q.", percent)
     return p.join(q, apart).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
+def signed_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): as ``open_pairs``, where the signatures allow a link too; the member of the smaller component looks for the other, so that those of the largest look for none."""
+    own = members.select("id", "component").distinct()
+    each = own.groupBy("component").agg(F.count("*").alias("all"))
+    rows = members.join(own.join(each, "component").select("id", "all"), "id")
+    largest = each.agg(F.max(F.struct("all", "component")).alias("m")).first().m
+    p, q = rows.where(F.col("component") != (largest.component if largest else -1)).alias("p"), rows.alias("q")
+    smaller = (F.col("p.all") < F.col("q.all")) | ((F.col("p.all") == F.col("q.all")) & (F.col("p.component") < F.col("q.component")))
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & smaller & near("p.n", "q.n", percent) & same_sketch("p.", "q.", percent))
+    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+
+
 def long_keys(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """(id, n, keys, sketch): the long keys and the signatures of the sets with these ids."""
     rows = long_rows(percent)
@@ -271,10 +281,14 @@ def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     crowd = unsettled.where(F.col("size") > FEW).select("id").distinct()
     long = stored(long_keys(sets, crowd, percent), "long-keys")
     deep = stored(members_of(long.select(F.explode("keys").alias("key"), "id", "n")), "long-buckets")
-    signed = long.select("id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
-    again = stored(verified(star(mixed(deep, found).join(signed, "id"), percent, True), sets, percent), "links")
+
+    def placed(found: DataFrame) -> DataFrame:
+        own = long.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
+        return deep.join(own, "id")
+
+    again = stored(verified(star(placed(found), percent, True), sets, percent), "links")
     found = components(as_edges(found).union(again))
-    rest = open_pairs(mixed(deep.where("size > 2"), found).join(signed, "id"), percent, True)
+    rest = signed_pairs(placed(found), percent)
     last = stored(verified(rest, sets, percent), "links")
     found = components(as_edges(found).union(last))
 
