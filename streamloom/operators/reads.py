@@ -237,7 +237,7 @@ def wal_objects(keys: DataFrame) -> DataFrame:
 
 
 #: Bytes of a log object's header in its first form.
-OBJECT_HEADER = 50
+OBJECT_HEADER = 40
 KEYS_SQL = "k AS (SELECT stream_id, epoch, start_off, end_off, end_off * 10 + 60 AS size, upper(md5(CAST(node_id AS VARCHAR))) || '/_kafka_c/' || node_id || '/' || epoch || '/wal/' || start_off AS front FROM streams)"
 
 
