@@ -53,11 +53,6 @@ def place_stream(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("score", F.expr("k * 1000 div slots")).agg(F.min(F.struct("score", "node_id")).alias("m")).select("m.node_id", "m.score")
 
 
-@query("compaction_stats", sql("SELECT count(DISTINCT stream_id) AS streams, count(DISTINCT object_id) AS objects, count(*) AS blocks FROM objects WHERE kind = 'stream_set'", "objects"))
-def compaction_stats(spark: SparkSession, d: str) -> DataFrame:
-    return objects(spark, d).where("kind = 'stream_set'").agg(F.countDistinct("stream_id").alias("streams"), F.countDistinct("object_id").alias("objects"), F.count("*").alias("blocks"))
-
-
 @query("dispersion", sql("+ n AS (SELECT object_id, count(DISTINCT stream_id) AS k FROM objects GROUP BY 1), t AS (SELECT stream_id, CAST(sum(k) AS BIGINT) AS total FROM objects JOIN n USING (object_id) GROUP BY 1) SELECT stream_id, total FROM t ORDER BY total, stream_id LIMIT 1", "objects"))
 def dispersion(spark: SparkSession, d: str) -> DataFrame:
     """The stream whose objects hold the fewest streams between them."""

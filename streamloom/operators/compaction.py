@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.fold import fold
+from ..functions.wire import be, joined, number, part, times
 from ..registry import query
-from ..sources.tables import objects, sql, streams
+from ..sources.tables import objects, read, records, sql, streams
 
 
 @query("trim", sql("SELECT stream_id, greatest(start_off, least(20, end_off - 3, end_off)) AS start_off FROM streams", "streams"))
@@ -18,10 +19,31 @@ def trim(spark: SparkSession, d: str, to: int = 20) -> DataFrame:
     return streams(spark, d).select("stream_id", F.greatest("start_off", F.least(F.lit(to), F.col("end_off") - 3, "end_off")).alias("start_off"))
 
 
-@query("delete_stream", sql("SELECT object_id, stream_id FROM objects o JOIN streams s USING (stream_id) WHERE closed AND kind = 'stream'", "objects", "streams"))
+DELETES = "q AS (SELECT stream_id, stream_id % 4 = 1 AS late FROM streams UNION ALL SELECT stream_id + 1000000, false FROM streams WHERE stream_id % 9 = 2), r AS (SELECT q.stream_id, CASE WHEN s.stream_id IS NULL THEN 'missing' WHEN NOT closed THEN 'not_closed' WHEN late THEN 'expired_epoch' ELSE 'ok' END AS result FROM q LEFT JOIN streams s USING (stream_id))"
+
+
+@query("delete_stream", sql(f"+ {DELETES} SELECT r.stream_id, result, object_id FROM r LEFT JOIN objects o ON o.stream_id = r.stream_id AND result = 'ok' AND kind = 'stream'", "objects", "streams"))
 def delete_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Stream objects of closed streams are marked; set objects wait for compaction."""
-    return objects(spark, d).where("kind = 'stream'").join(streams(spark, d).where("closed").select("stream_id"), "stream_id", "left_semi").select("object_id", "stream_id")
+    """Deletions, and the stream objects that they mark; set objects wait for compaction. A stream must be closed, at exactly the asked epoch; one that is missing is a success."""
+    s = streams(spark, d)
+    known = s.select("stream_id", "closed", (F.col("stream_id") % 4 == 1).alias("late"), F.lit(True).alias("there"))
+    foreign = s.where("stream_id % 9 = 2").select((F.col("stream_id") + 1000000).alias("stream_id"), F.lit(None).cast("boolean").alias("closed"), F.lit(False).alias("late"), F.lit(False).alias("there"))
+    result = F.when(~F.col("there"), "missing").when(~F.col("closed"), "not_closed").when(F.col("late"), "expired_epoch").otherwise("ok")
+    r = known.unionByName(foreign).select("stream_id", result.alias("result"))
+    o = objects(spark, d).where("kind = 'stream'").select("stream_id", "object_id", F.lit("ok").alias("result"))
+    return r.join(o, ["stream_id", "result"], "left").select("stream_id", "result", "object_id")
+
+
+FORCED = "b AS (SELECT r.*, event_id // 500 AS object_id FROM records r WHERE event_id % 11 <> 4), l AS (SELECT b.* FROM b JOIN streams s USING (stream_id) WHERE off >= s.start_off), i AS (SELECT *, off - row_number() OVER (PARTITION BY object_id, stream_id ORDER BY off) AS run FROM l)"
+
+
+@query("force_split", sql(f"+ {FORCED} SELECT object_id, stream_id, min(off) AS start_off, max(off) + 1 AS end_off, CAST(sum(len) AS BIGINT) AS size FROM i GROUP BY object_id, stream_id, run", "records", "streams"))
+def force_split(spark: SparkSession, d: str) -> DataFrame:
+    """Each set object taken apart: a stream object for every contiguous run of a stream's living records in it. Some records are missing."""
+    r = records(spark, d).where("event_id % 11 <> 4").withColumn("object_id", F.expr("event_id div 500"))
+    live = r.join(streams(spark, d).select("stream_id", "start_off"), "stream_id").where("off >= start_off").drop("start_off")
+    run = F.col("off") - F.row_number().over(Window.partitionBy("object_id", "stream_id").orderBy("off"))
+    return live.withColumn("run", run).groupBy("object_id", "stream_id", "run").agg(F.min("off").alias("start_off"), (F.max("off") + 1).alias("end_off"), F.sum("len").alias("size")).drop("run")
 
 
 COMPACTABLE = "+ s AS (SELECT stream_id FROM objects WHERE kind = 'stream_set' GROUP BY 1 HAVING count(DISTINCT object_id) > 1) SELECT DISTINCT object_id FROM objects WHERE kind = 'stream_set' AND stream_id IN (SELECT stream_id FROM s)"
@@ -114,40 +136,94 @@ def cleanup_expired(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d).join(streams(spark, d).select("stream_id", F.col("start_off").alias("s")), "stream_id").where("end_off <= s").select("object_id", "stream_id")
 
 
-@query("cleanup_v1", sql("+ c AS (SELECT stream_id, CAST(sum(size) AS BIGINT) AS size, sum(CASE WHEN o.end_off <= s.start_off THEN size WHEN o.start_off >= s.start_off THEN 0 ELSE size * (s.start_off - o.start_off) // (o.end_off - o.start_off) END) AS dead FROM objects o JOIN streams s USING (stream_id) GROUP BY stream_id) SELECT stream_id, CAST(dead AS BIGINT) AS dead FROM c WHERE dead > 60", "objects", "streams"))
-def cleanup_v1(spark: SparkSession, d: str, most: int = 60) -> DataFrame:
-    """Dead bytes of each stream's composite, by linear estimate, where they are beyond a bound."""
-    o = objects(spark, d).join(streams(spark, d).select("stream_id", F.col("start_off").alias("s")), "stream_id")
-    dead = F.expr("CASE WHEN end_off <= s THEN size WHEN start_off >= s THEN 0 ELSE size * (s - start_off) div (end_off - start_off) END")
-    return o.groupBy("stream_id").agg(F.sum(dead).alias("dead")).where(F.col("dead") > most)
+COMPOSITES = "c AS (SELECT stream_id, object_id // 4 AS composite_id, min(start_off) AS a, max(end_off) AS b, CAST(sum(size) AS BIGINT) AS size FROM objects GROUP BY ALL), l AS (SELECT c.*, s.start_off FROM c JOIN streams s USING (stream_id) WHERE b > s.start_off), f AS (SELECT stream_id, arg_min(composite_id, a) AS composite_id, arg_min(greatest(start_off - a, 0) * size // (b - a), a) AS dead FROM l GROUP BY stream_id)"
 
 
-@query("object_clean", sql("SELECT object_id, CASE WHEN object_id % 7 = 2 THEN 'keep_data' ELSE 'delete' END AS op FROM (SELECT DISTINCT object_id FROM objects WHERE object_id % 2 = 0)", "objects"))
-def object_clean(spark: SparkSession, d: str) -> DataFrame:
-    o = objects(spark, d).where("object_id % 2 = 0").select("object_id").distinct()
-    return o.select("object_id", F.when(F.col("object_id") % 7 == 2, "keep_data").otherwise("delete").alias("op"))
+@query("cleanup_v1", sql(f"+ {COMPOSITES} SELECT * FROM f WHERE dead > 10", "objects", "streams"))
+def cleanup_v1(spark: SparkSession, d: str, most: int = 10) -> DataFrame:
+    """Each stream's first living composite, if more of its bytes are dead than the bound, by linear estimate; in production 512 MiB."""
+    c = objects(spark, d).groupBy("stream_id", F.expr("object_id div 4").alias("composite_id")).agg(F.min("start_off").alias("a"), F.max("end_off").alias("b"), F.sum("size").alias("size"))
+    live = c.join(streams(spark, d).select("stream_id", "start_off"), "stream_id").where("b > start_off")
+    first = live.withColumn("dead", F.expr("greatest(start_off - a, 0L) * size div (b - a)")).groupBy("stream_id").agg(F.min_by(F.struct("composite_id", "dead"), "a").alias("f"))
+    return first.select("stream_id", "f.composite_id", "f.dead").where(F.col("dead") > most)
 
 
-@query("clean_destroyed", sql("SELECT DISTINCT object_id FROM objects WHERE object_id % 2 = 0 AND object_id % 7 = 2", "objects"))
-def clean_destroyed(spark: SparkSession, d: str) -> DataFrame:
-    done = object_clean(spark, d).where("op = 'delete'").select("object_id")
-    return objects(spark, d).where("object_id % 2 = 0").select("object_id").distinct().join(done, "object_id", "left_anti")
+QUEUE = "q AS (SELECT user_id AS object_id, min(event_id) AS place, CASE WHEN arg_max(event_id % 3, event_id) = 0 THEN 'keep_data' ELSE 'delete' END AS op FROM events WHERE event_type = 'error' GROUP BY 1), k AS (SELECT * FROM q ORDER BY place LIMIT 100)"
 
 
-def evict_step(state: list[int], row: dict) -> tuple[list[int], dict | None]:
-    """A sparse index of at most eight entries: the second oldest goes, the first and the last two stay."""
-    state = [*state, row["object_id"]]
-    gone = state.pop(1) if len(state) > 8 else None
-    return state, None if gone is None else {"stream_id": row["stream_id"], "start_off": row["start_off"], "evicted": gone}
+def destroyed(spark: SparkSession, d: str) -> DataFrame:
+    """The queue of objects marked destroyed: a second marking changes the operation and keeps the place."""
+    e = read(spark, d, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("object_id")).agg(F.min("event_id").alias("place"), F.max_by(F.col("event_id") % 3, "event_id").alias("last"))
+    return e.select("object_id", "place", F.when(F.col("last") == 0, "keep_data").otherwise("delete").alias("op"))
 
 
-@query("sparse_evict", sql("+ k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_off) AS rn FROM objects) SELECT a.stream_id, a.start_off, b.object_id AS evicted FROM k a JOIN k b ON a.stream_id = b.stream_id AND b.rn = a.rn - 7 WHERE a.rn > 8", "objects"))
-def sparse_evict(spark: SparkSession, d: str) -> DataFrame:
-    return fold(objects(spark, d).select("stream_id", "start_off", "object_id"), "stream_id", ["start_off"], list, evict_step, "stream_id long, start_off long, evicted long")
+@query("object_clean", sql(f"WITH {QUEUE} SELECT object_id, op, op = 'delete' AS data_deleted, row_number() OVER (ORDER BY CASE WHEN op = 'delete' THEN 1 ELSE 0 END, place) AS pos FROM k"))
+def object_clean(spark: SparkSession, d: str, limit: int = 100, most: int = 2000) -> DataFrame:
+    """The head of the queue cleaned: first those whose data stays, which only leave the catalogue, then those whose data is deleted. A bounded batch is the feature."""
+    head = destroyed(spark, d).orderBy("place").limit(min(limit, most))
+    return head.select("object_id", "op", (F.col("op") == "delete").alias("data_deleted"), F.row_number().over(Window.orderBy((F.col("op") == "delete").cast("int"), "place")).cast("long").alias("pos"))  # at most ``most`` rows
+
+
+@query("clean_destroyed", sql(f"WITH {QUEUE} SELECT object_id, place, op FROM q WHERE object_id NOT IN (SELECT object_id FROM k)"))
+def clean_destroyed(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the queue behind a cleaning."""
+    return destroyed(spark, d).join(object_clean(spark, d).select("object_id"), "object_id", "left_anti")
+
+
+def evict_once(ids: list[int], at: int, keep: int) -> tuple[int, list[int], int]:
+    """The entry that a stream's sparse index gives up next, what is left, and where it goes on: round and round, but for the first entry and the last ``keep``, which go when nothing else is there."""
+    if len(ids) == 1:
+        i = 0
+    elif len(ids) <= 1 + keep:
+        i = 1
+    else:
+        i = 1 if at % len(ids) == 0 or at >= len(ids) - keep else at
+        at = i + 1
+    return ids[i], ids[:i] + ids[i + 1 :], at
+
+
+def evictions(ids: pd.Series, keep: int) -> pd.Series:
+    """For each stream the order in which all its entries would go."""
+    out = []
+    for own in ids:
+        left, at, order = list(own), 0, []
+        while left:
+            gone, left, at = evict_once(left, at, keep)
+            order.append(gone)
+        out.append(order)
+    return pd.Series(out)
+
+
+EVICTED = f"""+ k AS (SELECT object_id * 10 + (off % 10) AS id, stream_id, off FROM (SELECT event_id // 500 AS object_id, stream_id, off FROM records WHERE off % 3 = 0)),
+l AS (SELECT stream_id, list(id ORDER BY off) AS ids FROM k GROUP BY 1),
+f AS (SELECT stream_id, ids, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS gone, CAST(len(ids) AS BIGINT) AS had FROM l UNION ALL
+SELECT stream_id, list_concat(ids[1:i], ids[i + 2:]), CASE WHEN n > 3 THEN i + 1 ELSE pos END, j + 1, ids[i + 1], had FROM (SELECT *, CAST(len(ids) AS BIGINT) AS n, CASE WHEN len(ids) = 1 THEN 0 WHEN len(ids) <= 3 THEN 1 WHEN pos % len(ids) = 0 OR pos >= len(ids) - 2 THEN 1 ELSE pos END AS i FROM f WHERE len(ids) > 0)),
+o AS (SELECT stream_id, j, gone, CASE WHEN j <= had - 3 THEN 0 ELSE 1 END AS phase, CASE WHEN j <= had - 3 THEN j ELSE j - greatest(had - 3, 0) END AS round FROM f WHERE j > 0),
+r AS (SELECT *, row_number() OVER (ORDER BY phase, round, stream_id) AS place FROM o) SELECT stream_id, j, gone AS evicted, place FROM r WHERE place <= (SELECT sum(had) FROM (SELECT DISTINCT stream_id, had FROM f)) * 6 // 10"""
+
+
+@query("sparse_evict", sql(EVICTED, "records", recursive=True))
+def sparse_evict(spark: SparkSession, d: str, keep: int = 2) -> DataFrame:
+    """Which entries the sparse indexes of all streams lose, to keep four tenths: round by round one of each stream that has more than its first and last ones, and when none has, one of each.
+
+    A stream's own order needs its index alone, of a bounded size; the rounds are
+    counted, and only their counts and the last round's streams are put in order.
+    """
+    e = records(spark, d).where("off % 3 = 0").select("stream_id", "off", (F.expr("event_id div 500") * 10 + F.col("off") % 10).alias("id"))
+    ids = e.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("off", "id"))), lambda x: x["id"]).alias("ids"))
+    order = F.pandas_udf(lambda s: evictions(s, keep), "array<long>")
+    o = ids.select("stream_id", F.size("ids").cast("long").alias("had"), F.posexplode(order("ids")).alias("j", "evicted")).withColumn("j", (F.col("j") + 1).cast("long"))
+    spare = F.col("had") - 1 - keep
+    o = o.withColumn("phase", (F.col("j") > spare).cast("int")).withColumn("round", F.when(F.col("phase") == 0, F.col("j")).otherwise(F.col("j") - F.greatest(spare, F.lit(0))))
+    rounds = o.groupBy("phase", "round").agg(F.count("*").alias("n"))
+    before = rounds.select("phase", "round", (F.sum("n").over(Window.orderBy("phase", "round")) - F.col("n")).alias("before"))  # a row for each round, at most the size of an index
+    total = ids.agg(F.floor(F.sum(F.size("ids").cast("long")) * 6 / 10).alias("most"))
+    o = o.join(F.broadcast(before), ["phase", "round"]).join(F.broadcast(total))  # a single row
+    o = o.where("before < most").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("phase", "round").orderBy("stream_id")))
+    return o.where("place <= most").select("stream_id", "j", "evicted", "place")
 
 
 @query("sparse_compact", sql("SELECT stream_id, object_id, start_off, end_off FROM objects WHERE object_id >= 4 UNION ALL SELECT stream_id, 1000, min(start_off), max(end_off) FROM objects WHERE object_id < 4 GROUP BY stream_id", "objects"))
-@query("range_index_update", sql("SELECT stream_id, object_id, start_off, end_off FROM objects WHERE object_id >= 4 UNION ALL SELECT stream_id, 1000, min(start_off), max(end_off) FROM objects WHERE object_id < 4 GROUP BY stream_id", "objects"))
 def sparse_compact(spark: SparkSession, d: str) -> DataFrame:
     """Entries of consumed objects replaced by that of the new one."""
     o = objects(spark, d)
@@ -155,26 +231,62 @@ def sparse_compact(spark: SparkSession, d: str) -> DataFrame:
     return o.where("object_id >= 4").select("stream_id", "object_id", "start_off", "end_off").unionByName(new)
 
 
-WAL = "w AS (SELECT object_id, object_id * 10 AS a, object_id * 10 + CASE WHEN object_id % 8 = 6 THEN 9 ELSE 10 END AS b FROM (SELECT DISTINCT object_id FROM objects))"
+INDEXED = "o AS (SELECT *, object_id // 4 AS grp FROM objects), g AS (SELECT grp, count(DISTINCT object_id) = 4 AS whole FROM o GROUP BY 1), x AS (SELECT stream_id, object_id, start_off, end_off FROM o JOIN g USING (grp) WHERE NOT (whole AND object_id % 4 < 3) UNION ALL SELECT stream_id, 1000000 + grp, min(start_off), max(end_off) FROM o JOIN g USING (grp) WHERE whole AND object_id % 4 < 3 GROUP BY stream_id, grp)"
+
+
+@query("range_index_update", sql(f"+ {INDEXED} SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY start_off) AS place FROM x", "objects"))
+def range_index_update(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream's range index after all commits: each adds an entry to the indexes of its streams, and a compacting one, behind every fourth, replaces those of its three sources by its own, in the order of offsets."""
+    o = objects(spark, d).withColumn("grp", F.expr("object_id div 4"))
+    whole = o.groupBy("grp").agg((F.countDistinct("object_id") == 4).alias("whole"))
+    o = o.join(whole, "grp").withColumn("source", F.col("whole") & (F.col("object_id") % 4 < 3))
+    new = o.where("source").groupBy("stream_id", "grp").agg(F.min("start_off").alias("start_off"), F.max("end_off").alias("end_off")).select("stream_id", (F.col("grp") + 1000000).alias("object_id"), "start_off", "end_off")
+    both = o.where("NOT source").select("stream_id", "object_id", "start_off", "end_off").unionByName(new)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("stream_id").orderBy("start_off")).cast("long"))
+
+
+def hex_of(e: str, n: int = 16) -> str:
+    return f"lpad(upper(to_hex({e})), {n}, '0')"
+
+
+@query("index_codec", sql(f"+ {INDEXED} SELECT stream_id, {hex_of('stream_id')} || {hex_of('count(*)', 8)} || string_agg({hex_of('start_off')} || {hex_of('end_off')} || {hex_of('object_id')}, '' ORDER BY start_off) AS wire, count(*) AS n, min(start_off) AS first_off, max(end_off) AS last_off FROM x GROUP BY stream_id", "objects"))
+def index_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Range indexes as they are kept in a node's index object, a stream's number, its count of entries, and the entries; and what reading them back gives."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("start_off", "end_off", "object_id"))), lambda e: F.concat(*(be(e[c], 8) for c in ("start_off", "end_off", "object_id"))))
+    g = range_index_update(spark, d).groupBy("stream_id").agg(own.alias("e"))
+    data = F.col("data")
+    g = g.select(F.concat(be(F.col("stream_id"), 8), be(F.size("e"), 4), joined(F.col("e"))).alias("data"))
+    n = number(part(data, F.lit(8), 4))
+    at = lambda i: number(part(data, 12 + 24 * (i - 1), 8))
+    last = F.array_max(F.transform(times(n), lambda i: number(part(data, 12 + 24 * (i - 1) + 8, 8))))
+    return g.select(number(part(data, F.lit(0), 8)).alias("stream_id"), F.hex(data).alias("wire"), n.alias("n"), at(F.lit(1)).alias("first_off"), last.alias("last_off"))
+
+
+WAL = "w AS (SELECT object_id % 8 AS node, object_id, object_id // 8 * 10 AS a, object_id // 8 * 10 + CASE WHEN object_id % 21 = 17 THEN 9 ELSE 10 END AS b FROM (SELECT DISTINCT event_id // 50 AS object_id FROM events))"
 
 
 def wal(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("object_id")
-    return objects(spark, d).select("object_id").distinct().select("object_id", (i * 10).alias("a"), (i * 10 + F.when(i % 8 == 6, 9).otherwise(10)).alias("b"))
+    """The log objects of nodes: node, object_id, and the range [a, b); some end early."""
+    i, place = F.col("object_id"), F.expr("object_id div 8") * 10
+    return read(spark, d, "events").select(F.expr("event_id div 50").alias("object_id")).distinct().select((i % 8).alias("node"), "object_id", place.alias("a"), (place + F.when(i % 21 == 17, 9).otherwise(10)).alias("b"))
 
 
-@query("wal_trim_skip", sql(f"+ {WAL}, l AS (SELECT *, CASE WHEN lag(b) OVER (ORDER BY a) = a THEN 0 ELSE 1 END AS cut FROM w WHERE b > 25), g AS (SELECT *, sum(cut) OVER (ORDER BY a) AS island FROM l) SELECT object_id, a, b FROM g WHERE island = 1", "objects"))
+@query("wal_trim_skip", sql(f"WITH {WAL}, l AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY node ORDER BY a) = a THEN 0 ELSE 1 END AS cut FROM w WHERE b > 25), g AS (SELECT *, sum(cut) OVER (PARTITION BY node ORDER BY a) AS island FROM l) SELECT node, object_id, a, b FROM g WHERE island = 1"))
 def wal_trim_skip(spark: SparkSession, d: str, trim_to: int = 25) -> DataFrame:
-    """From the first object beyond the trim point, the contiguous run. A row for each WAL object of one node."""
-    w = Window.orderBy("a")
-    part = wal(spark, d).where(F.col("b") > trim_to).withColumn("cut", F.when(F.lag("b").over(w) == F.col("a"), 0).otherwise(1))
-    return part.withColumn("island", F.sum("cut").over(w)).where("island = 1").select("object_id", "a", "b")
+    """Of each node's log, from the first object beyond the trim point, the contiguous run."""
+    w = Window.partitionBy("node").orderBy("a")
+    live = wal(spark, d).where(F.col("b") > trim_to).withColumn("cut", F.when(F.lag("b").over(w) == F.col("a"), 0).otherwise(1))
+    return live.withColumn("island", F.sum("cut").over(w)).where("island = 1").select("node", "object_id", "a", "b")
 
 
-@query("zombie_overlap", sql(f"+ {WAL} SELECT object_id FROM w WHERE NOT (a < 8 AND b > 3 AND object_id = 0)", "objects"))
+@query("zombie_overlap", sql("+ w AS (SELECT stream_id // 10 AS node, stream_id, epoch, start_off, end_off FROM streams), f AS (SELECT node, arg_min(stream_id, (epoch, start_off, stream_id)) AS first, min((epoch, start_off, stream_id)).epoch AS e, arg_min(end_off, (epoch, start_off, stream_id)) AS b FROM (SELECT *, epoch AS x FROM w) GROUP BY node), z AS (SELECT f.node, first FROM f WHERE EXISTS (SELECT 1 FROM w WHERE w.node = f.node AND w.epoch <> f.e AND w.start_off < f.b)) SELECT w.node, w.stream_id, w.epoch, w.stream_id IN (SELECT first FROM z) AS dropped FROM w".replace("min((epoch, start_off, stream_id)).epoch", "min(epoch)"), "streams"))
 def zombie_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """An older epoch's first object goes if it overlaps a newer one, here [3, 8)."""
-    return wal(spark, d).where(~((F.col("a") < 8) & (F.col("b") > 3) & (F.col("object_id") == 0))).select("object_id")
+    """Which objects of each node's log are a fenced writer's: the first in the order of epoch and start, if it reaches into one of another epoch. Only that first one is ever looked at, as in the log itself."""
+    w = streams(spark, d).select(F.expr("stream_id div 10").alias("node"), "stream_id", "epoch", "start_off", "end_off")
+    first = w.groupBy("node").agg(F.min(F.struct("epoch", "start_off", "stream_id", "end_off")).alias("f"))
+    met = w.join(first, "node").where((F.col("epoch") != F.col("f.epoch")) & (F.col("f.end_off") > F.col("start_off")))
+    gone = met.select("node", F.col("f.stream_id").alias("stream_id"), F.lit(True).alias("gone")).distinct()
+    return w.join(gone, ["node", "stream_id"], "left").select("node", "stream_id", "epoch", F.coalesce("gone", F.lit(False)).alias("dropped"))
 
 
 OVER = """+ b AS (SELECT * FROM objects WHERE kind = 'stream_set'), c AS (SELECT *, CASE WHEN lag(end_off) OVER w = start_off THEN 0 ELSE 1 END AS cut FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY start_off)),
@@ -187,9 +299,8 @@ n AS (SELECT object_id, count(*) AS streams FROM m WHERE split = 0 GROUP BY 1),
 SELECT DISTINCT 'split' AS kind, object_id FROM m WHERE split = 1 AND builder = (SELECT builder FROM s ORDER BY blocks, refs, builder LIMIT 1) UNION ALL SELECT DISTINCT 'compact', object_id FROM m WHERE split = 0 AND stream_id = (SELECT stream_id FROM t ORDER BY dispersion, stream_id LIMIT 1)"""
 
 
-@query("add_objects_to_remove", sql(OVER, "objects"))
-def add_objects_to_remove(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
-    """What a plan beyond its limits leaves out: the objects of the split of fewest blocks, then fewest references, or those of the least dispersed stream.
+def builders(spark: SparkSession, d: str, split: int) -> DataFrame:
+    """object_id, stream_id, split and builder: the output that each block of a plan goes to.
 
     Between two splits all compacted runs share an output, so outputs are
     numbered by the splits before them: counted within ranges of 1,024 streams,
@@ -203,8 +314,26 @@ def add_objects_to_remove(spark: SparkSession, d: str, split: int = 60) -> DataF
     ranges = r.groupBy("range").agg(F.sum("split").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inner = Window.partitionBy("range").orderBy("stream_id", "island").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("inner", F.coalesce(F.sum("split").over(inner), F.lit(0))).join(ranges, "range")
-    m = b.join(r.select("stream_id", "island", "split", (F.col("base") + F.col("inner")).alias("builder")), ["stream_id", "island"]).select("object_id", "stream_id", "split", "builder")
+    return b.join(r.select("stream_id", "island", "split", (F.col("base") + F.col("inner")).alias("builder")), ["stream_id", "island"]).select("object_id", "stream_id", "split", "builder")
 
+
+STATS = OVER[: OVER.index("SELECT DISTINCT 'split' AS kind")]
+
+
+@query("compaction_stats", sql(STATS + " SELECT k.object_id, refs AS outputs, (SELECT sum(n) FROM (SELECT count(DISTINCT stream_id) AS n FROM m WHERE split = 0 GROUP BY builder)) AS streams_in_sets, (SELECT count(DISTINCT builder) FROM m WHERE split = 1) AS stream_objects FROM k", "objects"))
+def compaction_stats(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
+    """How many outputs of a plan each object goes to, and of the plan itself the streams in its set objects and its stream objects."""
+    m = builders(spark, d, split)
+    refs = m.select("object_id", "split", "builder").distinct().groupBy("object_id").agg(F.count("*").alias("outputs"))
+    sets = m.where("split = 0").groupBy("builder").agg(F.countDistinct("stream_id").alias("n")).agg(F.sum("n").alias("streams_in_sets"))
+    splits = m.where("split = 1").agg(F.countDistinct("builder").alias("stream_objects"))
+    return refs.join(F.broadcast(sets)).join(F.broadcast(splits))  # single rows
+
+
+@query("add_objects_to_remove", sql(OVER, "objects"))
+def add_objects_to_remove(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
+    """What a plan beyond its limits leaves out: the objects of the split of fewest blocks, then fewest references, or those of the least dispersed stream."""
+    m = builders(spark, d, split)
     refs = m.select("object_id", "split", "builder").distinct().groupBy("object_id").agg(F.count("*").alias("refs"))
     s = m.where("split = 1").join(refs, "object_id").groupBy("builder").agg(F.count("*").alias("blocks"), F.sum("refs").alias("refs"))
     least = s.agg(F.min(F.struct("blocks", "refs", "builder")).alias("x")).select(F.col("x.builder").alias("builder"), F.lit(1).alias("split"))
