@@ -35,12 +35,12 @@ ORDER = 5
 END = 256  # the symbol after the last byte
 SYMBOLS = 257
 #: Bytes of text in a chunk, about, and symbols at once within it.
-CHUNK_BYTES, PIECE = 24 << 20, 1 << 21
+CHUNK_BYTES, PIECE = 16 << 20, 1 << 19
 #: Symbols in context that are priced at once, about.
-GRAMS = 600_000
+GRAMS = 300_000
+#: Symbols that are sorted at once where they are counted.
+HELD_SYMBOLS = 1 << 21
 HELD = 1
-#: Keys of words have this bit, those of symbols in context haven't.
-WORD = np.uint64(1 << 63)
 _CONTEXT = 9
 _ORDER = 8 * ORDER + 9
 
@@ -89,45 +89,78 @@ def grams(text: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 def asks(docs: DataFrame) -> DataFrame:
     """(key, chunk, n): the distinct symbols in context and words of each chunk, with their number in training texts."""
 
+    def counted(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        v = np.concatenate(marks)
+        v.sort()
+        key = v >> 1
+        first = np.flatnonzero(fresh(key))
+        return key[first], np.add.reduceat(1 - (v & 1), first) if len(first) else first
+
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+        return summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
 
     def rows(parts: list[tuple[np.ndarray, np.ndarray]], chunk: int) -> Iterator[pa.RecordBatch]:
         keys, n = merged(parts)
-        for i in range(0, len(keys), 1 << 17):
-            k = keys[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), chunk, np.int32)), pa.array(n[i : i + (1 << 17)])], names=["key", "chunk", "n"])
+        for i in range(0, len(keys), 1 << 16):
+            k = keys[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), chunk, np.int32)), pa.array(n[i : i + (1 << 16)])], names=["key", "chunk", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        marks: list[np.ndarray] = []  # keys with a last bit that is 0 in training texts
         held, last = 0, None
         for batch in batches:
             chunk = batch.column(2)[0].as_py()
             if last is not None and chunk != last:
-                yield from rows(parts, last)
-                parts, held = [], 0
+                yield from rows([*parts, counted(marks)], last)
+                parts, marks, held = [], [], 0
             last = chunk
-            for part, data, offs in blocks(batch, limit=4 << 20):
+            for part, data, offs in blocks(batch):
                 data = LOWER[data]
-                train = ~np.asarray(part.column(1).to_pylist(), bool)
+                out = np.asarray(part.column(1).to_pylist(), bool).astype(np.int64)
                 s, e, first = words(data, offs)
-                word = np.append(span_hash(data, s, e), np.full(len(train), END_HASH)) | WORD
-                row = np.append(np.repeat(np.arange(len(train)), np.diff(first)), np.arange(len(train)))
-                for keys, of in ((word.view(np.int64), row), *grams(*running(data, s, e, first))):
-                    keys, back = np.unique(keys, return_inverse=True)
-                    parts.append((keys, np.bincount(back, train[of], len(keys)).astype(np.int64)))
-                    held += len(keys)
-                if held > 4 * GRAMS:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0]) // 2  # merged again when as many have come
-        if parts:
-            yield from rows(parts, last)
+                row = np.repeat(np.arange(len(out)), np.diff(first))
+                marks += [word_keys(span_hash(data, s, e)) << 1 | out[row], np.full(len(out), END_KEY << 1) | out]
+                for g, of in grams(*running(data, s, e, first)):
+                    marks.append(g << 1 | out[of])
+                    held += len(g)
+                    if held >= HELD_SYMBOLS:
+                        parts.append(counted(marks))
+                        marks, held = [], 0
+        if last is not None:
+            yield from rows([*parts, counted(marks)], last)
 
     return docs.select("text", "held_out", "chunk").mapInArrow(run, "key long, chunk int, n long")
 
 
-END_HASH = span_hash(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of words by their hashes: negative, and of 62 bits, so that one more can stand behind them."""
+    return (h >> np.uint64(2)).view(np.int64) - (1 << 62)
+
+
+END_KEY = int(word_keys(span_hash(np.zeros(1, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)))[0])
+
+
+def fresh(x: np.ndarray) -> np.ndarray:
+    """Where the sorted array has a new value."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def added(g: np.ndarray, of: np.ndarray, n: int, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The sum of the symbols' values for each of n rows; the keys are sorted and hold every symbol."""
+    low = int(of[0]) if len(of) else 0
+    bits = int(of[-1] - low).bit_length() if len(of) else 0
+    if bits + _ORDER + 3 > 62:  # many short rows: in two parts
+        half = len(g) // 2
+        return added(g[:half], of[:half], n, keys, value) + added(g[half:], of[half:], n, keys, value)
+    v = g << bits | (of - low)
+    v.sort()
+    own = v >> bits
+    first = np.flatnonzero(fresh(own))
+    found = value[np.searchsorted(keys, own[first])] if len(first) else np.zeros(0)
+    return np.bincount((v & ((1 << bits) - 1)) + low, np.repeat(found, np.diff(np.append(first, len(v)))), n)
 
 
 class Level:
@@ -291,22 +324,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         keys, value = keys[order], right.column("value").to_numpy()[order]
         del right, order
-        end = int(np.searchsorted(keys, (np.array([END_HASH]) | WORD).view(np.int64))[0])
-        c = lambda found: (value[found] + 0.5) / (total + 0.5 * (distinct + 1))
+        word = int(np.searchsorted(keys, 0))
+        of_words, count, keys, value = keys[:word], value[:word], keys[word:], value[word:]
+        end = count[np.searchsorted(of_words, END_KEY)]
+        base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
+        of_end = np.log10((end + 0.5) / (total + 0.5 * (distinct + 1)))
         out: list[list[np.ndarray]] = [[], [], [], []]
         for part, data, offs in (x for b in left.select(["text"]).to_batches() for x in blocks(b)):
             data = LOWER[data]
             s, e, first = words(data, offs)
-            row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-            at = np.searchsorted(keys, (span_hash(data, s, e) | WORD).view(np.int64))
             n = len(offs) - 1
+            row = np.repeat(np.arange(n), np.diff(first))
+            at = np.searchsorted(of_words, word_keys(span_hash(data, s, e)))
             out[0].append(np.diff(first) + 1)
-            out[1].append(np.bincount(row, value[at] > 0, n) + (value[end] > 0))
-            out[2].append(np.bincount(row, np.log10(c(at)), n) + np.log10(c(end)))
+            out[1].append(np.bincount(row, count[at] > 0, n) + (end > 0))
+            out[2].append(np.bincount(row, base[at], n) + of_end)
             code = np.zeros(n)
             for g, of in grams(*running(data, s, e, first)):
-                some, back = np.unique(g, return_inverse=True)
-                code += np.bincount(of, value[np.searchsorted(keys, some)][back], n)
+                code += added(g, of, n, keys, value)
             out[3].append(code)
         n, known, b, p = (np.concatenate([*x, np.zeros(0)]) for x in out)
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(b), pa.array(p)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
