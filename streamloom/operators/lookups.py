@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import nodes, objects, records, sql, streams
+from ..sources.tables import nodes, objects, read, records, sql, streams
 
 
 def overlaps(df: DataFrame, start, end) -> DataFrame:
@@ -44,33 +44,34 @@ def index_find(spark: SparkSession, d: str, at: int = 12, budget: int = 120) ->
     return b.where((F.col("rn") == 1) | (F.col("cum") - F.col("head") - F.col("size") < budget)).select("stream_id", "object_id", "start_off", "size")
 
 
-@query("asof_object", sql("SELECT r.stream_id, r.off, o.object_id FROM (SELECT * FROM records WHERE off % 7 = 3) r ASOF JOIN objects o ON r.stream_id = o.stream_id AND r.off >= o.start_off", "records", "objects"))
+@query("asof_object", sql("SELECT r.stream_id, r.off, o.object_id FROM records r ASOF JOIN objects o ON r.stream_id = o.stream_id AND r.off >= o.start_off", "records", "objects"))
 def asof_object(spark: SparkSession, d: str) -> DataFrame:
     """The range with the greatest start that isn't past the offset: both sides in one order, the last start carried on. No join, so no blow-up by range."""
-    asks = records(spark, d).where("off % 7 = 3").select("stream_id", "off", F.lit(None).cast("long").alias("object_id"), F.lit(1).alias("side"))
+    asks = records(spark, d).select("stream_id", "off", F.lit(None).cast("long").alias("object_id"), F.lit(1).alias("side"))
     starts = objects(spark, d).select("stream_id", F.col("start_off").alias("off"), "object_id", F.lit(0).alias("side"))
     w = Window.partitionBy("stream_id").orderBy("off", "side").rowsBetween(Window.unboundedPreceding, 0)
     out = starts.unionByName(asks).withColumn("object_id", F.last("object_id", ignorenulls=True).over(w))
     return out.where("side = 1 AND object_id IS NOT NULL").select("stream_id", "off", "object_id")
 
 
-@query("name_lookup", sql("SELECT name, stream_id FROM streams WHERE stream_id % 10 = 4", "streams"))
+@query("name_lookup", sql("SELECT n.name, s.stream_id FROM (SELECT name FROM streams UNION ALL SELECT name || '/none' FROM streams) n LEFT JOIN streams s USING (name)", "streams"))
 def name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    s = streams(spark, d)
-    wanted = s.where("stream_id % 10 = 4").select("name").union(spark.createDataFrame([("/users/none",)], "name string"))
-    return wanted.join(s, "name").select("name", "stream_id")
+    """The stream of every name; unknown names have none."""
+    s = streams(spark, d).select("name", "stream_id")
+    return s.select("name").union(s.select(F.concat("name", F.lit("/none")))).join(s, "name", "left")
 
 
-@query("reverse_lookup", sql("SELECT stream_id, name FROM streams WHERE stream_id % 10 = 4", "streams"))
+@query("reverse_lookup", sql("SELECT r.stream_id, r.off, name FROM records r JOIN streams USING (stream_id)", "records", "streams"))
 def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return streams(spark, d).where("stream_id % 10 = 4").select("stream_id", "name")
+    """The name of every record's stream."""
+    return records(spark, d).select("stream_id", "off").join(streams(spark, d).select("stream_id", "name"), "stream_id")
 
 
-@query("get_streams", sql("SELECT i AS pos, stream_id, name FROM range(0, 60) t(i) JOIN streams ON stream_id = (i * 37) % 200", "streams"))
+@query("get_streams", sql("SELECT event_id AS pos, stream_id, name FROM (SELECT event_id, user_id + event_id % 3 * 1000000 AS asked FROM events WHERE event_id % 3 < 2) JOIN streams ON stream_id = asked", "streams").replace(" WHERE event_id % 3 < 2", ""))
 def get_streams(spark: SparkSession, d: str) -> DataFrame:
-    """Several streams in the order of the asking list; missing ones are skipped."""
-    asked = spark.range(60).select(F.col("id").alias("pos"), (F.col("id") * 37 % 200).alias("stream_id"))
-    return asked.join(streams(spark, d), "stream_id").select("pos", "stream_id", "name")
+    """Many streams in the order of the asking list, one for each event; missing ones, two of three, are skipped."""
+    asked = read(spark, d, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") + F.col("event_id") % 3 * 1000000).alias("stream_id"))
+    return asked.join(streams(spark, d).select("stream_id", "name"), "stream_id").select("pos", "stream_id", "name")
 
 
 @query("opening_streams", sql("SELECT stream_id, epoch FROM streams WHERE node_id = 2 AND NOT closed", "streams"))
@@ -90,9 +91,14 @@ def live(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d).where("object_id % 5 <> 2").select("object_id").distinct()
 
 
-@query("object_exists", sql(f"+ {LIVE} SELECT i AS object_id FROM range(0, 100) t(i) WHERE i IN (SELECT object_id FROM live)", "objects"))
+@query("object_exists", sql(f"+ {LIVE}, k AS (SELECT object_id FROM live UNION SELECT DISTINCT event_id // 500 + 5 FROM events WHERE event_id % 7 = 3 AND event_id // 500 % 4 = 1) SELECT i AS object_id, i IN (SELECT object_id FROM k) AS there FROM (SELECT DISTINCT event_id // 250 AS i FROM events)", "objects"))
 def object_exists(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(100).select(F.col("id").alias("object_id")).join(live(spark, d), "object_id", "left_semi")
+    """Whether objects are there, committed or prepared: asked for twice as many ids as there are."""
+    e = read(spark, d, "events")
+    prepared = e.where("event_id % 7 = 3 AND event_id div 500 % 4 = 1").select((F.expr("event_id div 500") + 5).alias("object_id"))
+    known = live(spark, d).union(prepared).distinct().withColumn("there", F.lit(True))
+    asked = e.select(F.expr("event_id div 250").alias("object_id")).distinct()
+    return asked.join(known, "object_id", "left").select("object_id", F.coalesce("there", F.lit(False)).alias("there"))
 
 
 @query("index_prune", sql(f"+ {LIVE} SELECT object_id, stream_id, start_off FROM objects WHERE object_id IN (SELECT object_id FROM live)", "objects"))
@@ -126,10 +132,19 @@ def owner_of(spark: SparkSession, d: str) -> DataFrame:
     return s.select("stream_id", owner.cast("int").alias("owner"))
 
 
-@query("route", sql(f"SELECT stream_id, CASE WHEN owner < 0 THEN 200 ELSE 307 END AS status FROM ({OWNER})", "streams", "nodes"))
+ROUTED = f"q AS (SELECT o.stream_id, owner, name, CASE o.stream_id % 7 WHEN 1 THEN 'PUT' WHEN 4 THEN 'OPTIONS' ELSE 'GET' END AS method, CASE WHEN o.stream_id % 11 = 6 THEN '/' ELSE name END AS path, CASE o.stream_id % 3 WHEN 0 THEN 'seq=' || start_off WHEN 1 THEN '' END AS query, o.stream_id % 29 = 12 AS broken, nullif(http_address, '') AS address FROM ({OWNER}) o JOIN streams s USING (stream_id) LEFT JOIN nodes n ON n.node_id = owner)"
+
+
+@query("route", sql(f"+ {ROUTED}, r AS (SELECT *, CASE WHEN path = '/' OR method IN ('PUT', 'OPTIONS') THEN 200 WHEN broken THEN 503 WHEN owner < 0 OR address IS NULL THEN 200 ELSE 307 END AS status FROM q) SELECT stream_id, method, status, CASE WHEN status = 307 THEN address || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS location FROM r", "streams", "nodes"))
 def route(spark: SparkSession, d: str) -> DataFrame:
-    """Local requests are served, others are redirected."""
-    return owner_of(spark, d).select("stream_id", F.when(F.col("owner") < 0, 200).otherwise(307).alias("status"))
+    """Where requests go: creations, options and the root are served here, as is what no other node is known to have; others are redirected with their path and query, and an owner that can't be found is a 503."""
+    i = F.col("stream_id")
+    s = streams(spark, d).join(owner_of(spark, d), "stream_id").join(F.broadcast(nodes(spark, d).select(F.col("node_id").alias("owner"), "http_address")), "owner", "left")  # four rows
+    q = s.select("stream_id", "owner", F.when(i % 7 == 1, "PUT").when(i % 7 == 4, "OPTIONS").otherwise("GET").alias("method"), F.when(i % 11 == 6, "/").otherwise(F.col("name")).alias("path"), F.when(i % 3 == 0, F.concat(F.lit("seq="), F.col("start_off").cast("string"))).when(i % 3 == 1, "").alias("query"), (i % 29 == 12).alias("broken"), F.nullif("http_address", F.lit("")).alias("address"))
+    here = (F.col("path") == "/") | F.col("method").isin("PUT", "OPTIONS")
+    status = F.when(here, 200).when(F.col("broken"), 503).when((F.col("owner") < 0) | F.col("address").isNull(), 200).otherwise(307)
+    location = F.concat("address", "path", F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise(""))
+    return q.withColumn("status", status).select("stream_id", "method", "status", F.when(F.col("status") == 307, location).alias("location"))
 
 
 @query("overlap_predicate", sql("SELECT object_id, stream_id FROM objects WHERE end_off > 7 AND start_off < 9", "objects"))
@@ -152,9 +167,14 @@ def expired_filter(spark: SparkSession, d: str, now: int = 1706400000000) -> Dat
     return e.where(~((F.col("deadline") > 0) & (F.lit(now) > F.col("deadline")))).select("stream_id")
 
 
-@query("expire_stream", sql(EXPIRY + " SELECT stream_id FROM e WHERE deadline > 0 AND 1706400000000 > deadline", "records"))
+@query("expire_stream", sql(EXPIRY + ", x AS (SELECT stream_id FROM e WHERE deadline > 0 AND 1706400000000 > deadline), a AS (SELECT stream_id, max(off) + 1 AS waits FROM records WHERE event_id % 3 = 1 GROUP BY 1) SELECT s.stream_id, s.name AS key_removed, (SELECT count(*) FROM objects o WHERE o.stream_id = s.stream_id AND kind = 'stream') AS destroyed, a.waits IS NOT NULL AS touched, coalesce(a.waits, 0) = s.end_off AS woken FROM x JOIN streams s USING (stream_id) LEFT JOIN a USING (stream_id)", "records", "streams", "objects"))
 def expire_stream(spark: SparkSession, d: str) -> DataFrame:
-    return streams(spark, d).select("stream_id").join(expired_filter(spark, d), "stream_id", "left_anti")
+    """What happens to streams past their deadline when they are next touched: their entry is removed, their stream objects are destroyed, and readers that wait at their tails wake."""
+    gone = streams(spark, d).select("stream_id", "name", "end_off").join(expired_filter(spark, d), "stream_id", "left_anti")
+    o = objects(spark, d).where("kind = 'stream'").groupBy("stream_id").agg(F.count("*").alias("destroyed"))
+    a = records(spark, d).where("event_id % 3 = 1").groupBy("stream_id").agg((F.max("off") + 1).alias("waits"))
+    r = gone.join(o, "stream_id", "left").join(a, "stream_id", "left")
+    return r.select("stream_id", F.col("name").alias("key_removed"), F.coalesce("destroyed", F.lit(0)).alias("destroyed"), F.col("waits").isNotNull().alias("touched"), (F.coalesce("waits", F.lit(0)) == F.col("end_off")).alias("woken"))
 
 
 @query("trim_filter", sql("SELECT o.object_id, o.stream_id FROM objects o JOIN streams s USING (stream_id) WHERE o.end_off > s.start_off", "objects", "streams"))
@@ -163,19 +183,21 @@ def trim_filter(spark: SparkSession, d: str) -> DataFrame:
     return objects(spark, d).join(streams(spark, d).select("stream_id", F.col("start_off").alias("s")), "stream_id").where(F.col("end_off") > F.col("s")).select("object_id", "stream_id")
 
 
-@query("object_filter", sql("SELECT object_id, CAST(sum(size) AS BIGINT) AS size FROM objects WHERE kind = 'stream' GROUP BY object_id HAVING sum(size) < 9000", "objects"))
-def object_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Small stream objects, for compaction."""
-    return objects(spark, d).where("kind = 'stream'").groupBy("object_id").agg(F.sum("size").alias("size")).where("size < 9000")
+@query("object_filter", sql("+ o AS (SELECT object_id, CAST(sum(size) AS BIGINT) AS size, object_id % 4 = 0 AS composite FROM objects GROUP BY object_id) SELECT object_id, composite, NOT composite AS minor, composite OR size >= 9000 AS major_v1 FROM o", "objects"))
+def object_filter(spark: SparkSession, d: str, least: int = 9000) -> DataFrame:
+    """Which objects each level of compaction takes: composites wait for the major one, which leaves small plain ones alone."""
+    o = objects(spark, d).groupBy("object_id").agg(F.sum("size").alias("size"))
+    composite = F.col("object_id") % 4 == 0
+    return o.select("object_id", composite.alias("composite"), (~composite).alias("minor"), (composite | (F.col("size") >= least)).alias("major_v1"))
 
 
-WAIT = "+ w AS (SELECT p.stream_id, p.off, p.off + 2 AS wait_off, p.ts_ms, q.ts_ms AS came, closed, end_off FROM records p JOIN streams USING (stream_id) LEFT JOIN records q ON q.stream_id = p.stream_id AND q.off = p.off + 2 WHERE p.off % 5 = 0), o AS (SELECT *, CASE WHEN came IS NULL AND closed THEN 'closed' WHEN came - ts_ms BETWEEN 0 AND 36000000 THEN 'data' ELSE 'timeout' END AS outcome FROM w)"
+WAIT = "+ w AS (SELECT p.stream_id, p.off, p.off + 2 AS wait_off, p.ts_ms, q.ts_ms AS came, closed, end_off FROM records p JOIN streams USING (stream_id) LEFT JOIN records q ON q.stream_id = p.stream_id AND q.off = p.off + 2), o AS (SELECT *, CASE WHEN came IS NULL AND closed THEN 'closed' WHEN came - ts_ms BETWEEN 0 AND 36000000 THEN 'data' ELSE 'timeout' END AS outcome FROM w)"
 
 
 def waiting(spark: SparkSession, d: str, timeout_ms: int) -> DataFrame:
-    """Readers that wait behind each fifth record for the one that brings the next offset beyond theirs: an equi-join on that record."""
+    """Readers that wait behind each record for the one that brings the next offset beyond theirs: an equi-join on that record."""
     r = records(spark, d).select("stream_id", "off", "ts_ms")
-    p = r.where("off % 5 = 0").withColumn("wait_off", F.col("off") + 2).join(streams(spark, d).select("stream_id", "closed"), "stream_id")
+    p = r.withColumn("wait_off", F.col("off") + 2).join(streams(spark, d).select("stream_id", "closed"), "stream_id")
     w = p.join(r.select("stream_id", F.col("off").alias("wait_off"), F.col("ts_ms").alias("at")), ["stream_id", "wait_off"], "left")
     data = (F.col("at") - F.col("ts_ms")).between(0, timeout_ms)
     return w.withColumn("outcome", F.when(F.col("at").isNull() & F.col("closed"), "closed").when(data, "data").otherwise("timeout"))
