@@ -38,10 +38,12 @@ def producer_fsm(spark: SparkSession, d: str) -> DataFrame:
     return fold(attempts(spark, d), "stream_id", ["rn"], lambda: None, producer_step, "stream_id long, rn long, decision string")
 
 
-@query("producer_reject", sql(FSM + " SELECT decision, decision IN ('accepted', 'duplicate') AS success, count(*) AS n FROM f GROUP BY ALL", "records", "attempts", recursive=True))
+@query("producer_reject", sql(FSM + " SELECT stream_id, rn, decision, decision IN ('accepted', 'duplicate') AS success, decision = 'accepted' AS applied, count(*) FILTER (decision = 'accepted') OVER (PARTITION BY stream_id ORDER BY rn) AS tail FROM f", "records", "attempts", recursive=True))
 def producer_reject(spark: SparkSession, d: str) -> DataFrame:
-    """A duplicate is a success that applies nothing; the others are errors."""
-    return producer_fsm(spark, d).groupBy("decision", F.col("decision").isin("accepted", "duplicate").alias("success")).agg(F.count("*").alias("n"))
+    """The answers to attempts: a duplicate is a success that applies nothing and tells the current tail; the others are errors."""
+    w = Window.partitionBy("stream_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    r = producer_fsm(spark, d)
+    return r.select("stream_id", "rn", "decision", F.col("decision").isin("accepted", "duplicate").alias("success"), (F.col("decision") == "accepted").alias("applied"), F.count_if(F.col("decision") == "accepted").over(w).alias("tail"))
 
 
 def match_step(state: int, row: dict) -> tuple[int, dict]:
@@ -64,23 +66,30 @@ def stream_seq(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("stream_id", "off", (F.col("header_type") > F.coalesce(F.max("header_type").over(w), F.lit(""))).alias("accepted"))
 
 
-def closed_step(state: tuple | None, row: dict) -> tuple[tuple | None, dict]:
-    """After a close, only the closing producer's own attempt is answered again."""
-    me = (row["event_id"] % 3, row["off"] // 10)
-    if state is None:
-        outcome, state = ("closed_now", me) if row["event_id"] % 29 == 7 else ("appended", None)
-    else:
-        outcome = "replay" if me == state else "closed"
-    return state, {"stream_id": row["stream_id"], "off": row["off"], "outcome": outcome}
+SHUT = "c AS (SELECT stream_id, min(off) AS shut, arg_min(event_id % 3, off) AS who, arg_min(off // 10, off) AS part FROM records WHERE event_id % 29 = 7 GROUP BY stream_id)"
 
 
-CLOSED = "+ c AS (SELECT stream_id, min(off) AS shut, arg_min(event_id % 3, off) AS who, arg_min(off // 10, off) AS part FROM records WHERE event_id % 29 = 7 GROUP BY stream_id) SELECT r.stream_id, off, CASE WHEN shut IS NULL OR off < shut THEN 'appended' WHEN off = shut THEN 'closed_now' WHEN event_id % 3 = who AND off // 10 = part THEN 'replay' ELSE 'closed' END AS outcome FROM records r LEFT JOIN c USING (stream_id)"
+def closings(spark: SparkSession, d: str) -> DataFrame:
+    """Every record as an attempt, with its stream's first close: where, by whom, and in which of the producer's epochs."""
+    r = records(spark, d).select("stream_id", "off", "event_id")
+    c = r.where("event_id % 29 = 7").groupBy("stream_id").agg(F.min(F.struct("off", (F.col("event_id") % 3).alias("who"), F.expr("off div 10").alias("part"))).alias("c"))
+    return r.join(c, "stream_id", "left")
 
 
-@query("closed_replay", sql(CLOSED, "records"))
-@query("close", sql(CLOSED, "records"))
+@query("closed_replay", sql(f"+ {SHUT} SELECT r.stream_id, off, CASE WHEN shut IS NULL OR off < shut THEN 'appended' WHEN off = shut THEN 'closed_now' WHEN event_id % 3 = who AND off // 10 = part THEN 'replay' ELSE 'closed' END AS outcome FROM records r LEFT JOIN c USING (stream_id)", "records"))
 def closed_replay(spark: SparkSession, d: str) -> DataFrame:
-    return fold(records(spark, d).select("stream_id", "off", "event_id"), "stream_id", ["off"], lambda: None, closed_step, "stream_id long, off long, outcome string")
+    """Appends around a close: behind it, only the closing producer's own attempt is answered again. A stream's first close decides, so nothing is folded."""
+    shut = F.col("c.off")
+    again = (F.col("event_id") % 3 == F.col("c.who")) & (F.expr("off div 10") == F.col("c.part"))
+    outcome = F.when(shut.isNull() | (F.col("off") < shut), "appended").when(F.col("off") == shut, "closed_now").when(again, "replay").otherwise("closed")
+    return closings(spark, d).select("stream_id", "off", outcome.alias("outcome"))
+
+
+@query("close", sql(f"+ {SHUT} SELECT r.stream_id, off, CASE WHEN off = shut THEN 'closed' ELSE 'already' END AS outcome, shut + who AS tail, off = shut AND who > 0 AS with_records FROM records r JOIN c USING (stream_id) WHERE event_id % 29 = 7", "records"))
+def close(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to close: the first seals its stream, behind the last records that it may bring, and any other finds it done, at the same tail."""
+    first = F.col("off") == F.col("c.off")
+    return closings(spark, d).where("event_id % 29 = 7").select("stream_id", "off", F.when(first, "closed").otherwise("already").alias("outcome"), (F.col("c.off") + F.col("c.who")).alias("tail"), (first & (F.col("c.who") > 0)).alias("with_records"))
 
 
 TTL = 86_400_000
@@ -145,7 +154,6 @@ def recover_step(state: int | None, row: dict) -> tuple[int, dict | None]:
 
 
 @query("recovery_filter", sql("+ w AS MATERIALIZED (SELECT r.stream_id, row_number() OVER (PARTITION BY r.stream_id ORDER BY (off + 3 * (off % 2)), off) - 1 AS place, off AS base, start_off AS first FROM records r JOIN streams USING (stream_id) WHERE NOT closed), f AS (SELECT stream_id, place, base, base = first AS kept, CASE WHEN base = first THEN first + 1 ELSE first END AS e FROM w WHERE place = 0 UNION ALL SELECT w.stream_id, w.place, w.base, w.base = e, CASE WHEN w.base = e THEN e + 1 ELSE e END FROM f JOIN w ON w.stream_id = f.stream_id AND w.place = f.place + 1) SELECT stream_id, place, base FROM f WHERE kept", "records", "streams", recursive=True))
-@query("failover", sql("+ w AS MATERIALIZED (SELECT r.stream_id, row_number() OVER (PARTITION BY r.stream_id ORDER BY (off + 3 * (off % 2)), off) - 1 AS place, off AS base, start_off AS first FROM records r JOIN streams USING (stream_id) WHERE NOT closed), f AS (SELECT stream_id, place, base, base = first AS kept, CASE WHEN base = first THEN first + 1 ELSE first END AS e FROM w WHERE place = 0 UNION ALL SELECT w.stream_id, w.place, w.base, w.base = e, CASE WHEN w.base = e THEN e + 1 ELSE e END FROM f JOIN w ON w.stream_id = f.stream_id AND w.place = f.place + 1) SELECT stream_id, place, base FROM f WHERE kept", "records", "streams", recursive=True))
 def recovery_filter(spark: SparkSession, d: str) -> DataFrame:
     s = streams(spark, d).where("NOT closed").select("stream_id", F.col("start_off").alias("first"))
     w = Window.partitionBy("stream_id").orderBy(F.col("off") + 3 * (F.col("off") % 2), "off")
@@ -153,6 +161,21 @@ def recovery_filter(spark: SparkSession, d: str) -> DataFrame:
     return fold(rows, "stream_id", ["place"], lambda: None, recover_step, "stream_id long, place long, base long")
 
 
+WAL_FOLD = "+ w AS MATERIALIZED (SELECT r.stream_id, row_number() OVER (PARTITION BY r.stream_id ORDER BY (off + 3 * (off % 2)), off) - 1 AS place, off AS base, start_off AS first FROM records r JOIN streams USING (stream_id) WHERE NOT closed), f AS (SELECT stream_id, place, base, base = first AS kept, CASE WHEN base = first THEN first + 1 ELSE first END AS e FROM w WHERE place = 0 UNION ALL SELECT w.stream_id, w.place, w.base, w.base = e, CASE WHEN w.base = e THEN e + 1 ELSE e END FROM f JOIN w ON w.stream_id = f.stream_id AND w.place = f.place + 1)"
+
+
+@query("failover", sql(WAL_FOLD + ", k AS (SELECT stream_id, max(base) + 1 AS new_end, count(*) AS n FROM f WHERE kept GROUP BY 1), q AS (SELECT stream_id, start_off, closed, CASE WHEN stream_id % 7 = 2 THEN 'node_mismatch' WHEN stream_id % 5 = 1 THEN 'epoch_mismatch' ELSE 'ok' END AS result FROM streams) SELECT q.stream_id, result, CASE WHEN result = 'ok' THEN coalesce(n, 0) END AS recovered, CASE WHEN result = 'ok' THEN coalesce(new_end, start_off) END AS end_off, closed OR result = 'ok' AS closed FROM q LEFT JOIN k USING (stream_id)", "records", "streams", recursive=True))
+def failover(spark: SparkSession, d: str) -> DataFrame:
+    """The logs of lost nodes taken over, one for each stream here: the request must name the log's node, and an epoch that isn't below the log's; then what the log holds is recovered behind the committed end, and the stream is closed at its new one."""
+    i = F.col("stream_id")
+    asked_node, asked_epoch = i + F.when(i % 7 == 2, 1).otherwise(0), F.col("epoch") - F.when(i % 5 == 1, 1).otherwise(0)
+    result = F.when(asked_node != i, "node_mismatch").when(asked_epoch < F.col("epoch"), "epoch_mismatch").otherwise("ok")
+    k = recovery_filter(spark, d).groupBy("stream_id").agg((F.max("base") + 1).alias("new_end"), F.count("*").alias("n"))
+    q = streams(spark, d).select("stream_id", "start_off", "closed", result.alias("result")).join(k, "stream_id", "left")
+    ok = F.col("result") == "ok"
+    return q.select("stream_id", "result", F.when(ok, F.coalesce("n", F.lit(0))).alias("recovered"), F.when(ok, F.coalesce("new_end", "start_off")).alias("end_off"), (F.col("closed") | ok).alias("closed"))
+
+
 ORDERED = """+ a AS MATERIALIZED (SELECT * FROM attempts), f AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS rn, '' AS result, CAST(NULL AS BIGINT) AS e, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS tail, false AS closed FROM a UNION ALL
 SELECT stream_id, rn, result, CASE WHEN result = 'appended' THEN ae ELSE e END, CASE WHEN result = 'appended' THEN aseq ELSE s END, CASE WHEN result = 'appended' AND rn % 17 <> 16 THEN tail + 1 ELSE tail END, closed OR (result = 'appended' AND rn % 34 = 16)
 FROM (SELECT *, CASE WHEN decision <> 'accepted' THEN decision WHEN closed THEN 'closed' WHEN rn % 9 = 4 AND tail <> rn - 2 THEN 'match_failed' WHEN rn % 17 = 16 AND rn % 34 <> 16 THEN 'empty' ELSE 'appended' END AS result FROM (SELECT a.stream_id, a.rn, a.epoch AS ae, a.seq AS aseq, f.e, f.s, f.tail, f.closed, """ + NEXT + """ AS decision FROM f JOIN a ON a.stream_id = f.stream_id AND a.rn = f.rn + 1)))
@@ -184,18 +207,28 @@ def append(spark: SparkSession, d: str) -> DataFrame:
     return fold(rows, "stream_id", ["rn"], lambda: (None, 0, False), append_step, "stream_id long, rn long, result string, tail long, closed boolean")
 
 
-def session_step(state: tuple[bool, tuple[int, int] | None], row: dict) -> tuple[tuple, dict]:
-    """A producer's session is poisoned by the first hard failure: all that follows fails without being sent. A duplicate is a success."""
-    poisoned, producer = state
+def session_step(state: tuple, row: dict, most: int) -> tuple[tuple, dict]:
+    """A producer's session numbers its batches in the order in which they are given; one beyond the greatest size is refused and takes no number. The first hard failure poisons it: all that follows fails without being sent. A duplicate is a success."""
+    poisoned, producer, seq = state
+    out = {"stream_id": row["stream_id"], "off": row["off"], "seq": None}
     if poisoned:
-        return state, {"stream_id": row["stream_id"], "rn": row["rn"], "result": "poisoned"}
-    producer, result = decide(producer, row["epoch"], row["seq"])
-    return (result not in ("accepted", "duplicate"), producer), {"stream_id": row["stream_id"], "rn": row["rn"], "result": result}
-
-
-SESSION = FSM + ", x AS (SELECT stream_id, min(rn) AS first FROM f WHERE decision NOT IN ('accepted', 'duplicate') GROUP BY 1) SELECT stream_id, rn, CASE WHEN rn > first THEN 'poisoned' ELSE decision END AS result FROM f LEFT JOIN x USING (stream_id)"
-
-
-@query("producer_session", sql(SESSION, "records", "attempts", recursive=True))
-def producer_session(spark: SparkSession, d: str) -> DataFrame:
-    return fold(attempts(spark, d), "stream_id", ["rn"], lambda: (False, None), session_step, "stream_id long, rn long, result string")
+        return state, {**out, "result": "poisoned"}
+    if row["len"] > most:
+        return state, {**out, "result": "too_large"}
+    sent = seq + (1 if row["event_id"] % 53 == 17 else 0)  # a number lost on the way
+    after, result = decide(producer, 1, sent)
+    if row["event_id"] % 10 == 3 and result == "accepted":  # tried again, as its answer was lost
+        after, result = decide(after, 1, sent)
+    return (result not in ("accepted", "duplicate"), after, sent + 1), {**out, "seq": sent, "result": result}
+
+
+SESSION = """+ s AS (SELECT *, len > 22 AS large, event_id % 53 = 17 AS lost FROM records), b AS (SELECT *, min(off) FILTER (lost AND NOT large) OVER (PARTITION BY stream_id) AS broken, count(*) FILTER (NOT large) OVER (PARTITION BY stream_id ORDER BY off) - 1 AS place FROM s),
+p AS (SELECT *, broken IS NOT NULL AND off > broken AS dead FROM b)
+SELECT stream_id, off, CASE WHEN NOT dead AND NOT large THEN place + CASE WHEN lost THEN 1 ELSE 0 END END AS seq, CASE WHEN dead THEN 'poisoned' WHEN large THEN 'too_large' WHEN lost THEN CASE WHEN place = 0 THEN 'invalid_epoch_seq' ELSE 'sequence_gap' END WHEN event_id % 10 = 3 THEN 'duplicate' ELSE 'accepted' END AS result FROM p"""
+
+
+@query("producer_session", sql(SESSION, "records"))
+def producer_session(spark: SparkSession, d: str, most: int = 22) -> DataFrame:
+    """Every stream's records through a producer's session."""
+    rows = records(spark, d).select("stream_id", "off", "event_id", "len")
+    return fold(rows, "stream_id", ["off"], lambda: (False, None, 0), lambda s, r: session_step(s, r, most), "stream_id long, off long, seq long, result string")
