@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from streamloom.functions.codecs import object_key, offset_token, parse_token
 from streamloom.operators.cache import MERGE_FROM, coalesce_step, merge_step
-from streamloom.operators.compaction import evict_step, plan_blocks
+from streamloom.operators.compaction import evict_once, plan_blocks
 from streamloom.operators.reads import page
 from streamloom.operators.state import append_step, decide, recover_step, session_step, ttl_step
-from streamloom.plans.metadata import EMPTY, OPS, apply, lease
+from streamloom.plans.metadata import EMPTY, OPS, apply, lease, release
 
 
 def test_tokens(spark):
@@ -60,11 +60,12 @@ def test_plan_aborts_on_overlap():
         plan_blocks([(0, 0, 20, 20), (0, 10, 25, 5)], 80)
 
 
-def test_eviction_keeps_first_and_last():
-    state = []
-    for i in range(20):
-        state, _ = evict_step(state, {"object_id": i, "stream_id": 1, "start_off": i})
-    assert len(state) == 8 and state[0] == 0 and state[-1] == 19
+def test_eviction_goes_round_and_keeps_first_and_last():
+    left, at, seen = [0, 1, 2, 3, 4, 5], 0, []
+    while left:
+        _, left, at = evict_once(left, at, 2)
+        seen.append(left)
+    assert seen == [[0, 2, 3, 4, 5], [0, 2, 4, 5], [0, 4, 5], [0, 5], [0], []]
 
 
 def test_ttl_is_coarse():
@@ -76,12 +77,12 @@ def test_ttl_is_coarse():
 def test_failed_commands_change_nothing_and_replay_is_deterministic():
     rng = random.Random(5)
     for _ in range(200):
-        log = [(rng.choice(OPS), rng.randrange(4)) for _ in range(rng.randrange(60))]
+        log = [(rng.choice(OPS), rng.randrange(4), rng.randrange(5), None, rng.randrange(2), rng.randrange(30), rng.randrange(4), rng.randrange(5)) for _ in range(rng.randrange(60))]
         state = EMPTY
-        for op, epoch in log:
-            after, result = apply(state, op, epoch)
+        for command in log:
+            after, result = apply(state, *command)
             assert result == "ok" or after == state
-            assert after[2] <= after[3]
+            assert after[2] <= after[3] and (after[5] is None) == (after[6] is None)
             state = after
         cut = rng.randrange(len(log) + 1)
         middle = EMPTY
@@ -97,7 +98,19 @@ def test_lease():
     assert won and state == ("a", 1, 15)
     assert lease(state, "b", 12, 5) == (state, False)
     assert lease(state, "a", 12, 5) == (("a", 1, 17), True)
-    assert lease(state, "b", 15, 5) == (("b", 2, 20), True)
+    assert lease(state, "b", 15, 5) == (state, False) and lease(state, "a", 15, 5) == (("a", 1, 20), True)
+    assert lease(state, "b", 16, 5) == (("b", 2, 21), True)
+    assert release(("a", 3, 9), "a", 2) == (("a", 3, 9), False) and release(("a", 3, 9), "b", 3)[1] is False
+    assert release(("a", 3, 9), "a", 3) == ((None, 3, 0), True)
+
+
+def test_commands_of_a_move():
+    state, seen = EMPTY, []
+    for command in (("transfer", 0, 0, None, 0, 0, 1, 2), ("open", 3, 1, 11), ("open", 3, 2, 12), ("open", 3, 1, 11), ("open", 2, 1, 11), ("open", 4, 1, 11), ("commit", 3, 1, 11), ("commit", 3, 1, 11, 1), ("commit", 3, 1, 10), ("commit", 3, 9, 19), ("trim", 3, 1, 11, 0, 11), ("trim", 3, 1, 11, 0, 7), ("trim", 3, 1, 11, 0, 6), ("transfer", 3, 0, None, 0, 0, 1, 1), ("transfer", 3, 0, None, 0, 0, 1, 4), ("transfer", 3, 0, None, 0, 0, 0, 2), ("transfer", 3, 0, None, 0, 0, 1, 2), ("transfer", 3, 0, None, 0, 0, 1, 2), ("transfer", 3, 0, None, 0, 0, 1, 3), ("complete", 3), ("close", 2, 1, 11), ("close", 3, 1, 11), ("close", 3, 1, 11), ("commit", 3, 1, 11), ("complete", 2), ("complete", 3), ("complete", 3), ("open", 4, 2, 12)):
+        state, result = apply(state, *command)
+        seen.append(result)
+    assert seen == ["not_owner", "ok", "fenced", "ok", "fenced", "not_closed", "ok", "offset", "node_epoch", "not_registered", "beyond_end", "ok", "below_start", "same_node", "no_target", "not_owner", "ok", "ok", "pending", "not_closed", "expired_epoch", "ok", "ok", "ok", "expired_epoch", "ok", "redundant", "ok"]
+    assert state == (4, True, 7, 20, 2, None, None)
 
 
 def test_stateful_stream_decides_as_the_batch_fold(spark):
@@ -115,20 +128,70 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_wire_codecs_refuse_what_is_broken():
+def test_formats_byte_by_byte(spark):
     from streamloom.functions import wire
 
-    assert [wire.end_offset(*x) for x in ((3, 2), (1000, -8), (7, 0))] == [5, 1008, 7]
-    data = wire.encode_frames([b"a", b"", b"ccc"])
-    assert wire.decode_frames(data) == [b"a", b"", b"ccc"]
-    for broken in (data[:-1], data + b"x", b"\x02" + data[1:], b""):
-        with pytest.raises(ValueError):
-            wire.decode_frames(broken)
-    head = wire.log_header(b"body", 77)
-    assert wire.check_header(head)[:2] == (4, 77)
-    for i in range(24):
-        with pytest.raises(ValueError):
-            wire.check_header(head[:i] + bytes([head[i] ^ 1]) + head[i + 1 :])
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first().x
+    hexed = lambda c: get(F.lower(F.hex(c)))
+    raw = lambda h: F.unhex(F.lit(h))
+    ends = [(3, 2), (1000, -8), (7, 0)]
+    assert [get(wire.end_offset(F.lit(a), F.lit(b))) for a, b in ends] == [5, 1008, 7]
+    frames = F.array(*[F.lit(x).cast("binary") for x in ("a", "", "ccc")])
+    data = "01" + "00000003" + "0000000161" + "00000000" + "00000003636363"
+    assert hexed(wire.encode_frames(frames)) == data
+    assert [bytes(x) for x in get(wire.decode_frames(raw(data)))] == [b"a", b"", b"ccc"]
+    for broken in (data[:-2], data + "00", "02" + data[2:], "", "01", "017fffffff"):
+        assert get(wire.decode_frames(raw(broken))) is None
+    headers = F.create_map(F.lit("k"), F.lit("v"), F.lit("a"), F.lit("é"))
+    envelope = "01" + "0000018bcfe56800" + "00000002" + "0000000161" + "00000002c3a9" + "000000016b" + "0000000176" + "6869"
+    assert hexed(wire.encode_envelope(F.lit(1700000000000), headers, F.lit("hi"))) == envelope
+    assert get(wire.shown(wire.decode_headers(raw(envelope), F.lit(9)))) == "a=é&k=v"
+    record = "22" + "0000000000000005" + "ffffffffffffffff" + "00000000000003e8" + "fffffff8" + "00000002" + "6162"
+    assert hexed(wire.encode_record(F.lit(5), F.lit(-1), F.lit(1000), F.lit(-8), F.lit("ab"))) == record
+    assert [get(wire.record_field(raw(record), n)) for n in ("stream_id", "epoch", "base", "count", "size")] == [5, -1, 1000, -8, 2] and get(wire.is_record(raw(record)))
+    crc = lambda t: wire.crc(F.lit(t).cast("binary"))
+    assert get(crc("123456789")) == 1274296614 and get(crc("")) == 0
+    head = "876543210000000400000000000000655ba80bb235ff23b4"
+    assert hexed(wire.log_header(F.lit(77), F.lit(4), crc("body"))) == head
+    assert hexed(wire.log_header(F.lit(100), F.lit(8), F.lit(0), wire.LOG_EMPTY_MAGIC)) == "7654321000000008000000000000007c0000000074574fd5"
+    assert get(wire.is_log_header(raw(head))) and get(wire.log_field(raw(head), "body_offset")) == 101
+    flips = [head[: 2 * i] + f"{int(head[2 * i : 2 * i + 2], 16) ^ 1:02x}" + head[2 * i + 2 :] for i in range(24)]
+    foreign = wire.log_header(F.lit(77), F.lit(4), crc("body"), 0x11111111)
+    assert not any(one.select(*[wire.is_log_header(raw(x)).alias(f"x{i}") for i, x in enumerate(flips)], wire.is_log_header(foreign).alias("y")).first())
+
+
+def test_json_bodies(spark):
+    from streamloom.functions.codecs import append_request, json_record, messages
+
+    rows = [('[{"a":1}, 2, "x"]', True, False), (' {"b": 2} ', True, False), ("[]", True, False), ("[]", True, True), ("{oops", True, False), ('"t"', True, False), ("[1", False, False)]
+    df = spark.createDataFrame(rows, "body string, js boolean, mk boolean")
+    got = [(r.m.records, r.m.error) for r in df.select(messages(F.col("body"), F.col("js"), F.col("mk")).alias("m")).collect()]
+    assert got == [(['{"a":1}', "2", '"x"'], None), (['{"b":2}'], None), ([], "empty JSON array not allowed"), ([], None), ([], "invalid JSON"), (['"t"'], None), (["[1"], None)]
+    asked = ['{"records":[{"body":"a","headers":{"type":"t"}},{}]}', '{"records":[{"body":"a","body_b64":"Yg=="}]}', '{"records":[{"body_b64":"*"}]}', '{"records":[{"body":7,"headers":{"type":7}}]}', '{"records":[]}', "{}", "x"]
+    got = [r.m for r in spark.createDataFrame([(a,) for a in asked], "q string").select(append_request(F.col("q")).alias("m")).collect()]
+    assert [None if m.records is None else [(x.body, x.header) for x in m.records] for m in got] == [[("a", "t"), ("", None)], [("b", None)], None, [("", "7")], None, None, None]
+    assert [m.error for m in got] == [None, None, "invalid body_b64", None, "records must be a non-empty array", "records must be a non-empty array", "invalid JSON"]
+    none = F.create_map().cast("map<string,string>")
+    line = lambda body: spark.range(1).select(json_record(F.lit(1), F.lit(2), none, body)).first()[0]
+    assert line(F.lit("é").cast("binary")) == '{"seq":1,"timestamp":2,"body":"é"}' and line(F.unhex(F.lit("FF00"))) == '{"seq":1,"timestamp":2,"body_b64":"/wA="}'
+
+
+def test_tail_window(spark):
+    from streamloom.operators.reads import tail_window
+
+    offs = [0, 1, 2, 1, 5, 6, 7, 6, 8]  # 1 and 6 come again, 3 and 4 are missing
+    df = spark.createDataFrame([(1, i, off, 10) for i, off in enumerate(offs)], "stream_id long, event_id long, off long, len long")
+    held = lambda n, size: sorted(r.off for r in tail_window(df, n, size).collect())
+    assert held(4096, 4 << 20) == [5, 6, 7, 8] and held(2, 1000) == [7, 8] and held(9, 35) == [6, 7, 8] and held(9, 5) == [8]
+
+
+def test_log_keys(spark):
+    from streamloom.operators.reads import wal_objects
+
+    keys = ["P/_kafka_c/7/3/wal/100-250", "P/_kafka_c/7/3/wal/100", "x/y", "a/b/c/9", "P/_kafka_c/7/3/wal/1-x"]
+    got = wal_objects(spark.createDataFrame([(k, 140) for k in keys], "key string, size long")).collect()
+    assert sorted((r.epoch, r.start_off, r.end_off) for r in got) == [(3, 100, 200), (3, 100, 250)]
 
 
 def merged(blocks, most):
@@ -187,20 +250,18 @@ def test_append_checks_in_order():
 
 
 def test_a_session_is_poisoned_once():
-    state, seen = (False, None), []
-    for seq in (0, 0, 1, 5, 2):
-        state, out = session_step(state, {"stream_id": 1, "rn": seq, "epoch": 1, "seq": seq})
-        seen.append(out["result"])
-    assert seen == ["accepted", "duplicate", "accepted", "sequence_gap", "poisoned"]
-
+    state, seen = (False, None, 0), []
+    for off, (size, event) in enumerate(((5, 0), (99, 0), (5, 3), (5, 17), (5, 0))):
+        state, out = session_step(state, {"stream_id": 1, "off": off, "event_id": event, "len": size}, 20)
+        seen.append((out["result"], out["seq"]))
+    assert seen == [("accepted", 0), ("too_large", None), ("duplicate", 1), ("sequence_gap", 3), ("poisoned", None)]
 
-def test_versioned_forms_refuse_what_is_broken():
-    import struct
 
-    from streamloom.plans.metadata import COMMAND, unpack
+def test_bulks_begin_at_the_alignment():
+    from streamloom.operators.segments import bulk_step
 
-    data = struct.pack(COMMAND, 1, 2, 7, 3)
-    assert unpack(COMMAND, data) == (2, 7, 3)
-    for broken in (data + b"x", data[:-1], b"\x02" + data[1:]):
-        with pytest.raises(ValueError):
-            unpack(COMMAND, broken)
+    state, seen = (0, 0, 0), []
+    for size in (30, 40, 60, 1):
+        state, out = bulk_step(state, {"stream_id": 1, "off": 0, "len": size - 24}, 60, 100)
+        seen.append((out["bulk"], out["place"]))
+    assert seen == [(0, 0), (0, 30), (1, 100), (1, 160)]
