@@ -90,7 +90,7 @@ def asks(docs: DataFrame) -> DataFrame:
     """(key, chunk, n): the distinct symbols in context and words of each chunk, with their number in training texts."""
 
     def counted(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        v = np.concatenate(marks)
+        v = np.concatenate([*marks, np.zeros(0, np.int64)])
         v.sort()
         key = v >> 1
         first = np.flatnonzero(fresh(key))

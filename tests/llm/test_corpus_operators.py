@@ -184,6 +184,7 @@ def check_ppm(got, rows):
 def test_ppm_is_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(ppm, "CHUNK_BYTES", 100_000)
     monkeypatch.setattr(ppm, "GRAMS", 9_000)
+    monkeypatch.setattr(ppm, "HELD_SYMBOLS", 1_000)
     check_ppm(ppm.score_documents(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
 
 
