@@ -16,7 +16,8 @@ at equal offsets. Consecutive windows with one minimizer form a stretch.
 
 A minimizer with more than ``MOST`` stretches isn't put into one task: its
 windows are exchanged as rows by a 128-bit hash, the earliest of each chunk
-alone, and all but the first of them go as they pass in order.
+alone, with their bytes, and all but the first with the same bytes go as they
+pass in order.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .decontaminate import pieces
 from .kit import BYTE_B, MULT_B, Prefix, blocks, expand, mix, tune, utf8
 
 LENGTH, GRAM = 100, 24
@@ -215,6 +217,22 @@ def repeats(text: np.ndarray, first: np.ndarray, windows: np.ndarray, key: np.nd
     return out
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether the windows at a and b are the same byte by byte, where it is asked."""
+    out = np.zeros(len(a), bool)
+    on = np.flatnonzero(asked)
+    for i in range(0, len(on), 20_000):
+        x = on[i : i + 20_000]
+        out[x] = (data[a[x][:, None] + np.arange(LENGTH)] == data[b[x][:, None] + np.arange(LENGTH)]).all(1)
+    return out
+
+
+def cuts(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Pieces of the bytes, as binaries."""
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[expand(start, size)].tobytes())])
+
+
 def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -271,6 +289,8 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         texts: list[pa.Array] = []
         kinds: list[np.ndarray] = []
         places: list[tuple[np.ndarray, ...]] = []
+        parts: list[np.ndarray] = []  # the texts that hold windows of frequent minimizers, one after another
+        held = 0
 
         def add(kind: int, h: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, offset: np.ndarray, text: pa.Array | None = None) -> None:
             for store, x in zip(out, (h.view(np.int64), two.view(np.int64), doc, start, windows.astype(np.int32), offset.astype(np.int32)), strict=True):
@@ -284,22 +304,28 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             frequent = hit & often[at] if len(keys) else hit
             on, many_on = np.flatnonzero(hit & ~frequent), np.flatnonzero(frequent)
-            size = c[on] + LENGTH - 1
-            text = data[expand(s[on], size)]
-            cut = np.append(0, np.cumsum(size)).astype(np.int32)
-            text = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(text.tobytes())])
-            add(STRETCH, h[on], np.zeros(len(on), np.int64), ids[row[on]], base[row[on]] + s[on] - offs[row[on]], c[on], p[on] - s[on], text)
+            for i in pieces(c[on] + LENGTH - 1, 1 << 28):  # a very long text has more bytes in its stretches than one array takes
+                some = on[slice(*i)]
+                add(STRETCH, h[some], np.zeros(len(some), np.int64), ids[row[some]], base[row[some]] + s[some] - offs[row[some]], c[some], p[some] - s[some], cuts(data, s[some], c[some] + LENGTH - 1))
             w = expand(s[many_on], c[many_on])
             one, two = mix(Prefix(data)(w, w + LENGTH)), mix(Prefix(data, BYTE_B, MULT_B)(w, w + LENGTH))
             own = np.repeat(row[many_on], c[many_on])
-            places.append((one, two, ids[own], base[own] + w - offs[own]))
-        if places:
-            one, two, doc, start = (np.concatenate(x) for x in zip(*places, strict=True))
+            places.append((one, two, ids[own], base[own] + w - offs[own], w + held))
+            if len(w):
+                parts.append(data)
+                held += len(data)
+        if held:
+            one, two, doc, start, at = (np.concatenate(x) for x in zip(*places, strict=True))
+            data = np.concatenate(parts)
             order = np.lexsort((start, doc, two, one))
-            again = repeated(fresh(one[order], two[order]), doc[order], start[order])
+            new = fresh(one[order], two[order])
+            new[1:] |= ~same_bytes(data, at[order[1:]], at[order[:-1]], ~new[1:])
+            again = repeated(new, doc[order], start[order])
             kept = order[~again]
             zero = np.zeros(len(kept), np.int64)
-            add(ONE, one[kept], two[kept], doc[kept], start[kept], zero + 1, zero)
+            for i in pieces(zero + LENGTH, 1 << 28):
+                k = kept[slice(*i)]
+                add(ONE, one[k], two[k], doc[k], start[k], zero[: len(k)] + 1, zero[: len(k)], cuts(data, at[k], zero[: len(k)] + LENGTH))
             later = order[again]
             later = later[np.lexsort((start[later], doc[later]))]
             head = np.ones(len(later), bool)
@@ -342,13 +368,14 @@ def local_runs(found: DataFrame) -> DataFrame:
             gone = whole.filter(pa.array(kind == GONE))
             yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(3), gone.column(4).cast(pa.int64())], names=names)
             single = whole.filter(pa.array(kind == ONE))
-            if single.num_rows:  # in the order of hash, document and place, one at most of a row: all but those of a hash's first document go
-                h, two, doc, start = (single.column(i).to_numpy() for i in range(4))
-                new = fresh(h, two)
+            if single.num_rows:  # in the order of hash, bytes, document and place, one at most of a row: all but those of the first document with these bytes go
+                doc, start = (single.column(i).to_numpy() for i in (2, 3))
+                text = utf8(single.column(6))[0].reshape(-1, LENGTH)
+                new = np.append(True, (text[1:] != text[:-1]).any(1))
                 first = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-                if last is not None and (h[0], two[0]) == last[:2]:
-                    first = np.where(np.cumsum(new) == 1, last[2], first)
-                last = (h[-1], two[-1], first[-1])
+                if last is not None and (text[0] == last[0]).all():
+                    first = np.where(np.cumsum(new) == 1, last[1], first)
+                last = (text[-1].copy(), first[-1])
                 later = doc != first
                 yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(start[later]), pa.array(np.ones(int(later.sum()), np.int64))], names=names)
             batch = whole.filter(pa.array(kind == STRETCH))
@@ -374,7 +401,8 @@ def local_runs(found: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return found.repartition("h").sortWithinPartitions("h", "two", "doc_id", "start").mapInArrow(run, "doc_id long, start long, windows long")
+    window = F.when(F.col("kind") == ONE, F.col("text"))
+    return found.repartition("h").sortWithinPartitions("h", "two", window, "doc_id", "start").mapInArrow(run, "doc_id long, start long, windows long")
 
 
 def runs_in(mark: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,11 +424,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     earlier start. Texts under 100 bytes stay. Rows that repeat a doc_id count as
     one place in the order: none of them is earlier than the other, and each loses
     only what repeats an earlier document or itself. A null doc_id comes before all
-    others. Further columns are not read.
+    others. A very long text is gone through piece by piece. Further columns are not
+    read; an empty table gives no rows.
     """
     tune(docs.sparkSession)
     least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("none"))
     dealt, gone = repeated_runs(rows)
     n = max(1, rows.rdd.getNumPartitions())
     gone = gone.select(F.col("doc_id").alias("own"), F.col("start").alias("from"), "windows", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("to"))
@@ -410,7 +439,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         copy = np.isin(left.column("mark").to_numpy(), windows[start < 0])
         order = np.lexsort((start, own))
         own, start, windows = own[order], start[order], windows[order]
-        ids, number = left.column("doc_id").to_numpy(), twins(left)[0]
+        ids, none, number = left.column("doc_id").to_numpy(), left.column("none").to_pylist(), twins(left)[0]
         low, high = np.searchsorted(own, ids, "left"), np.searchsorted(own, ids, "right")
         out = []
         for i, text in enumerate(left.column("text").cast(pa.binary())):
@@ -422,7 +451,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 edge[s + w - 1 + LENGTH] -= 1
             mark = (np.cumsum(edge)[:-1] > 0) | copy[i]
             rest = data[~mark].tobytes()
-            out.append((None if ids[i] == least else int(ids[i]), len(data), int(mark.sum()), len(runs(mark)[0]), hashlib.sha256(rest).hexdigest(), *([rest] * texts)))
+            out.append((None if none[i] else int(ids[i]), len(data), int(mark.sum()), len(runs(mark)[0]), hashlib.sha256(rest).hexdigest(), *([rest] * texts)))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * texts]
         return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)

@@ -265,7 +265,7 @@ def test_substrings_in_rows_that_repeat_a_doc_id(spark, monkeypatch, most):
 
     def left(i, text):
         b = text.encode()
-        before = [t.encode() for j, t in rows if (j or 0) < (i or 0)]
+        before = [t.encode() for j, t in rows if least(j) < least(i)]
         mark = np.zeros(len(b), bool)
         for p in range(len(b) - 99):
             w = b[p : p + 100]
@@ -273,12 +273,23 @@ def test_substrings_in_rows_that_repeat_a_doc_id(spark, monkeypatch, most):
                 mark[p : p + 100] = True
         return (i, len(b), int(mark.sum()), bytes(np.frombuffer(b, np.uint8)[~mark]))
 
+    rows.append((-(2**63), prose(120)))
+    least = lambda i: -(2**63) if i is None else i
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in substrings.remove_repeats(df, texts=True).collect()]
-    key = lambda r: (r[0] or 0, r[1:])
+    key = lambda r: (str(r[0]), r[1:])
     assert sorted(got, key=key) == sorted((left(*r) for r in rows), key=key)
 
 
+def test_a_text_over_sixteen_megabytes(spark):
+    rng = np.random.default_rng(5)
+    part = bytes(rng.integers(97, 123, 1 << 20).astype(np.uint8)).decode()
+    rows = [(2, "".join(part[i * 1000 :] + part[: i * 1000] for i in range(17))), (1, part[5000:5300])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # all but the first turn of the part, in which document 1 stands; the turn's own seam is new
+    assert got[1] == (300, 0, 0) and got[2][0] == 17 << 20 and got[2][1] >= 16 << 20
+
+
 def test_long_text_in_pieces(monkeypatch):
     data = np.random.default_rng(1).integers(97, 100, 5000).astype(np.uint8)
     whole = substrings.stretches(data, np.array([0, 5000]))
