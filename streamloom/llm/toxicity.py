@@ -69,7 +69,8 @@ class FTRL:
         return np.where(np.abs(z) <= l1, 0.0, w)
 
     def learn(self, slots: np.ndarray, label: float) -> None:
-        i = np.append(np.unique(slots), SLOTS)
+        """``slots`` are distinct."""
+        i = np.append(slots, SLOTS)
         w = self.weights(i)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[i]
@@ -94,32 +95,37 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int
     """Slots and weights from labelled documents outside the held-out fold.
 
     ``labels`` has ``doc_id`` and ``toxic``; rows with a null in either are left
-    out, and of a key's several labels the largest holds. At most ``sample`` keys
-    are used, so that the one task that learns has bounded work at every size.
+    out, and of a key's several labels the largest holds, of its several texts one.
+    At most ``sample`` keys are used, so that the one task that learns has bounded
+    work at every size: it keeps the slots of each text once, for all passes.
     """
     tune(docs.sparkSession)
     fold = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).dropna().where(remainder(F.col("doc_id")) != 0)
     fold = fold.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fold = fold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` narrow rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(fold), "doc_id")
-    rows = rows.select("doc_id", "text", "toxic", F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("turn"))
-    rows = rows.withColumn("place", F.xxhash64("doc_id", "turn"))
+    # at most ``sample`` narrow rows; a key's texts are one, however many rows repeat it
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(fold), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = FTRL()
+        own, labels = [], []
         for batch in batches:
             for part, data, offs in blocks(batch):
                 slots, row = features(data, offs)
-                order = np.argsort(row, kind="stable")
-                cuts = np.searchsorted(row[order], np.arange(len(offs)))
-                for j, y in enumerate(part.column(part.schema.get_field_index("toxic")).to_pylist()):
-                    model.learn(slots[order[cuts[j] : cuts[j + 1]]], y)
+                v = np.sort(row * (SLOTS + 1) + slots)
+                v = v[np.append(True, v[1:] != v[:-1])] if len(v) else v
+                cuts = np.searchsorted(v, np.arange(len(offs)) * (SLOTS + 1))
+                slots = (v % (SLOTS + 1)).astype(np.int32)
+                own += [slots[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                labels += part.column(part.schema.get_field_index("toxic")).to_pylist()
+        model = FTRL()
+        for turn in range(passes):
+            for j in np.argsort(mix(np.arange(len(own), dtype=np.uint64) * np.uint64(passes) + np.uint64(turn)), kind="stable").tolist():
+                model.learn(own[j].astype(np.int64), labels[j])
         i, w = model.model()
         yield pa.RecordBatch.from_arrays([pa.array([i.tobytes()]), pa.array([w.tobytes()])], names=["slots", "weights"])
 
-    # repeated keys may bring more rows than the sample has keys: they are passed over as a stream
-    one = rows.repartition(1).sortWithinPartitions("turn", "place", "doc_id", "text").select("text", "toxic")
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
     got = one.mapInArrow(run, "slots binary, weights binary").collect()
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)

@@ -110,13 +110,44 @@ def test_toxicity_held_out(spark):
     assert (a[:, None] > b[None, :]).mean() > 0.95 and (m.predicted == m.toxic).mean() > 0.96
 
 
-def test_toxicity_odd(spark, odd):
-    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (None, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
-    assert toxicity.score_documents(odd, labels).count() == len(ODD)
-    none = toxicity.score_documents(odd, labels.limit(0)).collect()
-    assert {r.score for r in none} == {0.5}
-    assert toxicity.score_documents(odd.limit(0), labels).count() == 0
-    assert toxicity.reject(odd, labels).columns == odd.columns
+def test_ftrl_is_brute_force(spark):
+    """The same updates by dictionaries, slot by slot."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "bad", "ugly", "word", "text"]) for _ in range(12)), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([(i, t + (" awful" if y else " nice")) for i, t, y in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    slots, weights = toxicity.learn(docs, labels, 1000, 2)
+    texts_ = {r.doc_id: r.text for r in docs.collect()}
+    kept = [r.doc_id for r in labels.where(toxicity.remainder(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= (l1 := 0.0 if i == toxicity.SLOTS else toxicity.L1) else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for turn in range(2):
+        order = np.argsort(toxicity.mix(np.arange(len(kept), dtype=np.uint64) * np.uint64(2) + np.uint64(turn)), kind="stable")
+        for j in order.tolist():
+            data = np.frombuffer(texts_[kept[j]].encode(), np.uint8)
+            on = [*{int(x) for x in toxicity.features(data, np.array([0, len(data)]))[0]}, toxicity.SLOTS]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - kept[j] % 2
+            for i in on:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[i]
+                n[i] = old + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert len(want) > 10 and dict(zip(slots.tolist(), weights.tolist())) == pytest.approx(want, rel=1e-5, abs=1e-7)
+
+
+def test_toxicity_odd(spark):
+    rows = {1: "nice words", 2: None, 3: "", 4: "  ", 5: "word " * 30000, 6: "awful awful"}
+    df = spark.createDataFrame([(i, t, 0, 0.5) for i, t in rows.items()] * 2 + [(None, "nice words", 1, None)], "doc_id long, text string, predicted int, score double")
+    labels = spark.createDataFrame([(1, 0), (6, 1), (6, 0), (None, 1), (9, None), (77, 1)], "doc_id long, toxic int")
+    got = toxicity.score_documents(df, labels).collect()
+    assert len(got) == 13 and len({tuple(r) for r in got}) == 7
+    by = {r.doc_id: r for r in got}
+    assert by[2].score == by[3].score == by[4].score and by[None].score == by[1].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert {i: r.held_out for i, r in by.items()} == {i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 0 for i in by}
+    assert {r.score for r in toxicity.score_documents(df, labels.limit(0)).collect()} == {0.5}
+    assert toxicity.score_documents(df.limit(0), labels).count() == 0
+    assert toxicity.reject(df, labels).columns == df.columns
 
 
 def test_masks_hit_every_window():
