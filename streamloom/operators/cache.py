@@ -14,13 +14,13 @@ MOST_BLOCKS, MERGE_FROM = 64, 8
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    """node_id, block_id, stream_id, start_off, end_off, size: the streams of each cache block (40 events). Every seventh block is missing."""
+    """node_id, block_id, stream_id, start_off, end_off, size: the streams of each cache block (40 events) of a node, which has 16 streams. Every seventh block is missing."""
     r = records(spark, d).withColumn("block_id", F.expr("event_id div 40")).where("block_id % 7 <> 3")
-    g = r.groupBy((F.col("stream_id") % 4).alias("node_id"), "block_id", "stream_id")
+    g = r.groupBy(F.expr("stream_id div 16").alias("node_id"), "block_id", "stream_id")
     return g.agg(F.min("off").alias("start_off"), (F.max("off") + 1).alias("end_off"), F.sum("len").alias("size"))
 
 
-FREE = """+ b AS (SELECT stream_id % 4 AS node_id, event_id // 40 AS block_id, CAST(sum(len) AS BIGINT) AS size FROM records WHERE event_id // 40 % 7 <> 3 GROUP BY ALL),
+FREE = """+ b AS (SELECT stream_id // 16 AS node_id, event_id // 40 AS block_id, CAST(sum(len) AS BIGINT) AS size FROM records WHERE event_id // 40 % 7 <> 3 GROUP BY ALL),
 w AS (SELECT *, bool_and(block_id % 11 <> 9) OVER o AS all_free, sum(size) OVER (PARTITION BY node_id) - sum(size) OVER o + size AS held, count(*) OVER (PARTITION BY node_id) - row_number() OVER o + 1 AS blocks FROM b WINDOW o AS (PARTITION BY node_id ORDER BY block_id))
 SELECT node_id, block_id, size FROM w WHERE all_free AND (held > 900 OR blocks > 64)"""
 
