@@ -22,6 +22,7 @@ def parse_token(c: Column) -> Column:
 
 @query("offset_token", sql("SELECT stream_id, off, lpad(CAST(off AS VARCHAR), 20, '0') AS token, off AS parsed FROM records", "records"))
 def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Offset tokens and what they parse to."""
     r = records(spark, d).select("stream_id", "off", offset_token(F.col("off")).alias("token"))
     return r.withColumn("parsed", parse_token(F.col("token")))
 
@@ -91,6 +92,7 @@ def json_array_out(spark: SparkSession, d: str) -> DataFrame:
 
 @query("raw_concat", sql("SELECT stream_id, off // 10 AS page, string_agg(body, '' ORDER BY off) AS body FROM records GROUP BY ALL", "records"))
 def raw_concat(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of ten records as one body."""
     return records(spark, d).groupBy("stream_id", F.expr("off div 10").alias("page")).agg(in_order("body", "").alias("body"))
 
 
@@ -151,6 +153,7 @@ def object_key(i: Column, namespace: str = "DEFAULT") -> Column:
 
 @query("object_key", sql("SELECT event_id, reverse(CASE WHEN length(lower(to_hex(event_id * 7919))) < 8 THEN lpad(lower(to_hex(event_id * 7919)), 8, '0') ELSE lower(to_hex(event_id * 7919)) END) || '/DEFAULT/' || event_id * 7919 AS key FROM events"))
 def object_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of objects."""
     return read(spark, d, "events").select("event_id", object_key(F.col("event_id") * 7919).alias("key"))
 
 
@@ -165,6 +168,7 @@ def index_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query("wal_key", sql("SELECT stream_id, upper(md5(CAST(node_id AS VARCHAR))) || '/_kafka_c/' || node_id || '/' || epoch || '/wal/' || start_off || '-' || end_off AS key FROM streams", "streams"))
 def wal_key(spark: SparkSession, d: str) -> DataFrame:
+    """The key of each stream's log object."""
     n = F.col("node_id").cast("string")
     return streams(spark, d).select("stream_id", F.concat(F.upper(F.md5(n.cast("binary"))), F.lit("/_kafka_c/"), n, F.lit("/"), F.col("epoch").cast("string"), F.lit("/wal/"), F.col("start_off").cast("string"), F.lit("-"), F.col("end_off").cast("string")).alias("key"))
 
@@ -187,12 +191,14 @@ def strict_u64(spark: SparkSession, d: str) -> DataFrame:
 
 @query("producer_digits", sql("SELECT event_id, event_id AS value FROM events WHERE event_id % 2 = 0"))
 def producer_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Digits with or without leading zeros; all else is no value."""
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("00"), F.col("event_id").cast("string"))).otherwise("1.5")
     return read(spark, d, "events").select("event_id", F.when(text.rlike("^[0-9]+$"), text.try_cast("long")).alias("value")).where("value IS NOT NULL")
 
 
 @query("percent_decode", sql("SELECT event_id, 'a b&' || event_id AS text FROM events"))
 def percent_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Query strings decoded; a plus is a blank."""
     return read(spark, d, "events").select("event_id", F.url_decode(F.concat(F.lit("a+b%26"), F.col("event_id").cast("string"))).alias("text"))
 
 

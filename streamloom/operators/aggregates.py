@@ -11,6 +11,7 @@ from ..sources.tables import nodes, objects, read, records, sql, streams
 
 @query("cluster_overview", sql("SELECT (SELECT count(*) FROM streams) AS streams, (SELECT count(DISTINCT object_id) FROM objects) AS objects, (SELECT count(*) FROM objects o JOIN streams s USING (stream_id) WHERE o.end_off <= s.start_off) AS destroyed, (SELECT count(*) FROM streams WHERE stream_id % 17 = 3) AS transfers", "streams", "objects"))
 def cluster_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of streams, objects, objects that wait for deletion, and pending moves."""
     s, o = streams(spark, d), objects(spark, d)
     dead = o.join(s.select("stream_id", F.col("start_off").alias("s")), "stream_id").where("end_off <= s").agg(F.count("*").alias("destroyed"))
     one = s.agg(F.count("*").alias("streams"), F.count_if(F.col("stream_id") % 17 == 3).alias("transfers"))
@@ -19,27 +20,32 @@ def cluster_overview(spark: SparkSession, d: str) -> DataFrame:
 
 @query("node_counts", sql("SELECT node_id, count(*) FILTER (NOT closed) AS opening, count(*) FILTER (closed) AS placed FROM nodes LEFT JOIN streams USING (node_id) GROUP BY node_id", "nodes", "streams"))
 def node_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Open and closed streams of each node."""
     return nodes(spark, d).select("node_id").join(streams(spark, d), "node_id", "left").groupBy("node_id").agg(F.count_if(~F.col("closed")).alias("opening"), F.count_if("closed").alias("placed"))
 
 
 @query("stream_detail", sql("SELECT s.stream_id, name, s.start_off, s.end_off, closed, count(o.object_id) AS n_objects, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM streams s LEFT JOIN objects o ON o.stream_id = s.stream_id GROUP BY ALL", "streams", "objects"))
 def stream_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream's state, with the number and bytes of its objects."""
     o = objects(spark, d).groupBy("stream_id").agg(F.count("*").alias("n_objects"), F.sum("size").alias("bytes"))
     return streams(spark, d).join(o, "stream_id", "left").select("stream_id", "name", "start_off", "end_off", "closed", F.coalesce("n_objects", F.lit(0)).alias("n_objects"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 @query("objects_count", sql("SELECT kind, count(DISTINCT object_id) AS n FROM objects GROUP BY kind", "objects"))
 def objects_count(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of each kind."""
     return objects(spark, d).groupBy("kind").agg(F.countDistinct("object_id").alias("n"))
 
 
 @query("prepared_count", sql("SELECT count(*) AS n FROM events WHERE event_id % 3 = 0"))
 def prepared_count(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that are prepared and not yet committed."""
     return read(spark, d, "events").agg(F.count_if(F.col("event_id") % 3 == 0).alias("n"))
 
 
 @query("stream_sizes", sql("SELECT object_id, stream_id, size FROM objects", "objects"))
 def stream_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each stream in each sealed block."""
     return objects(spark, d).select("object_id", "stream_id", "size")
 
 
@@ -121,12 +127,14 @@ def range_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("contiguity_check", sql("SELECT stream_id, start_off FROM (SELECT *, lag(end_off) OVER (PARTITION BY stream_id ORDER BY start_off) AS p FROM objects WHERE object_id % 4 <> 2) WHERE p <> start_off", "objects"))
 def contiguity_check(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that do not begin where the one before ends."""
     w = Window.partitionBy("stream_id").orderBy("start_off")
     return objects(spark, d).where("object_id % 4 <> 2").withColumn("p", F.lag("end_off").over(w)).where("p <> start_off").select("stream_id", "start_off")
 
 
 @query("sort_blocks", sql("SELECT stream_id, start_off, object_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_off, object_id) AS pos FROM objects", "objects"))
 def sort_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks in the order of stream and start."""
     w = Window.partitionBy("stream_id").orderBy("start_off", "object_id")
     return objects(spark, d).select("stream_id", "start_off", "object_id", F.row_number().over(w).cast("long").alias("pos")).orderBy("stream_id", "start_off")
 
@@ -148,16 +156,19 @@ def peek_destroyed(spark: SparkSession, d: str, most: int = 25) -> DataFrame:
 
 @query("fetch_after", sql("SELECT event_id AS idx, props AS payload FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100"))
 def fetch_after(spark: SparkSession, d: str, after: int = 500, limit: int = 100) -> DataFrame:
+    """A bounded page of the log behind an index."""
     return read(spark, d, "events").where(F.col("event_id") > after).select(F.col("event_id").alias("idx"), F.col("props").alias("payload")).orderBy("idx").limit(limit)
 
 
 @query("last_idx", sql("SELECT greatest(coalesce(max(event_id), 0), 777) AS idx FROM events"))
 def last_idx(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest index of the log or of the snapshot, 777 here."""
     return read(spark, d, "events").agg(F.greatest(F.coalesce(F.max("event_id"), F.lit(0)), F.lit(777)).cast("long").alias("idx"))
 
 
 @query("expire_prepared", sql("SELECT count(*) AS expired FROM events WHERE event_id * 7 % 1000 <= 300"))
 def expire_prepared(spark: SparkSession, d: str) -> DataFrame:
+    """How many prepared objects are past their deadline."""
     return read(spark, d, "events").where("event_id * 7 % 1000 <= 300").agg(F.count("*").alias("expired"))
 
 

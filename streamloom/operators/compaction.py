@@ -95,6 +95,7 @@ def plan_runs(b: DataFrame, split: int) -> DataFrame:
 
 @query("compact_plan", sql(f"+ b AS (SELECT * FROM objects WHERE kind = 'stream_set'), {RUNS}", "objects"))
 def compact_plan(spark: SparkSession, d: str, split: int = 60) -> DataFrame:
+    """The plan of all set objects."""
     return plan_runs(objects(spark, d).where("kind = 'stream_set'"), split)
 
 

@@ -18,6 +18,7 @@ GET = "SELECT o.stream_id, object_id, o.start_off, o.end_off, row_number() OVER
 
 
 def found(spark: SparkSession, d: str, kinds: tuple[str, ...], limit: int) -> DataFrame:
+    """Each stream's objects of some kinds that overlap the asked range, up to a limit."""
     s = streams(spark, d).select("stream_id", (F.col("start_off") + 5).alias("a"), (F.col("start_off") + 25).alias("b"))
     o = objects(spark, d).where(F.col("kind").isin(*kinds)).join(s, "stream_id").where((F.col("end_off") > F.col("a")) & (F.col("start_off") < F.col("b")))
     order = Window.partitionBy("stream_id").orderBy("start_off", F.when(F.col("kind") == "stream_set", 0).otherwise(1), "object_id")
@@ -32,6 +33,7 @@ def get_objects(spark: SparkSession, d: str) -> DataFrame:
 
 @query("get_stream_objects", sql(f"SELECT * FROM ({GET} WHERE kind = 'stream') WHERE rn <= 2", "objects", "streams"))
 def get_stream_objects(spark: SparkSession, d: str) -> DataFrame:
+    """As ``get_objects``, of stream objects alone."""
     return found(spark, d, ("stream",), 2)
 
 
@@ -74,20 +76,25 @@ def get_streams(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(streams(spark, d).select("stream_id", "name"), "stream_id").select("pos", "stream_id", "name")
 
 
-@query("opening_streams", sql("SELECT stream_id, epoch FROM streams WHERE node_id = 2 AND NOT closed", "streams"))
-def opening_streams(spark: SparkSession, d: str, node: int = 2) -> DataFrame:
-    return streams(spark, d).where((F.col("node_id") == node) & ~F.col("closed")).select("stream_id", "epoch")
+@query("opening_streams", sql("SELECT node_id, stream_id, epoch FROM streams WHERE NOT closed", "streams"))
+def opening_streams(spark: SparkSession, d: str, node: int | None = None) -> DataFrame:
+    """The streams that are open on each node, or on one."""
+    s = streams(spark, d).where(~F.col("closed"))
+    return (s if node is None else s.where(F.col("node_id") == node)).select("node_id", "stream_id", "epoch")
 
 
-@query("server_objects", sql("SELECT DISTINCT object_id FROM objects WHERE kind = 'stream_set' AND object_id % 4 = 1", "objects"))
-def server_objects(spark: SparkSession, d: str, node: int = 1) -> DataFrame:
-    return objects(spark, d).where((F.col("kind") == "stream_set") & (F.col("object_id") % 4 == node)).select("object_id").distinct()
+@query("server_objects", sql("SELECT DISTINCT object_id % 4 AS node_id, object_id FROM objects WHERE kind = 'stream_set'", "objects"))
+def server_objects(spark: SparkSession, d: str, node: int | None = None) -> DataFrame:
+    """The set objects that each node, or one, committed."""
+    o = objects(spark, d).where("kind = 'stream_set'").select((F.col("object_id") % 4).alias("node_id"), "object_id").distinct()
+    return o if node is None else o.where(F.col("node_id") == node)
 
 
 LIVE = "live AS (SELECT DISTINCT object_id FROM objects WHERE object_id % 5 <> 2)"
 
 
 def live(spark: SparkSession, d: str) -> DataFrame:
+    """The objects that are committed."""
     return objects(spark, d).where("object_id % 5 <> 2").select("object_id").distinct()
 
 
@@ -116,6 +123,7 @@ def redundant_commit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("node_address", sql("SELECT stream_id, nullif(http_address, '') AS address FROM streams LEFT JOIN nodes USING (node_id)", "streams", "nodes"))
 def node_address(spark: SparkSession, d: str) -> DataFrame:
+    """The address of each stream's node, if it has one."""
     s = streams(spark, d).join(F.broadcast(nodes(spark, d)), "node_id", "left")  # four rows
     return s.select("stream_id", F.nullif("http_address", F.lit("")).alias("address"))
 
@@ -149,11 +157,13 @@ def route(spark: SparkSession, d: str) -> DataFrame:
 
 @query("overlap_predicate", sql("SELECT object_id, stream_id FROM objects WHERE end_off > 7 AND start_off < 9", "objects"))
 def overlap_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that meet the offsets [7, 9)."""
     return overlaps(objects(spark, d), 7, 9).select("object_id", "stream_id")
 
 
 @query("kv_prefix", sql("SELECT name AS key, end_off AS value FROM streams WHERE name LIKE '/users/2%'", "streams"))
 def kv_prefix(spark: SparkSession, d: str, prefix: str = "/users/2") -> DataFrame:
+    """Keys with a prefix, and their values."""
     return streams(spark, d).where(F.col("name").startswith(prefix)).select(F.col("name").alias("key"), F.col("end_off").alias("value"))
 
 

@@ -132,6 +132,7 @@ def fast_read(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gappy(spark: SparkSession, d: str) -> DataFrame:
+    """Records of which some are missing."""
     return records(spark, d).where(F.col("event_id") % 11 != 4)
 
 

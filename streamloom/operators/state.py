@@ -35,6 +35,7 @@ FSM = f"+ a AS MATERIALIZED (SELECT * FROM attempts), f AS (SELECT stream_id, rn
 
 @query("producer_fsm", sql(FSM + " SELECT stream_id, rn, decision FROM f", "records", "attempts", recursive=True))
 def producer_fsm(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every producer's attempt."""
     return fold(attempts(spark, d), "stream_id", ["rn"], lambda: None, producer_step, "stream_id long, rn long, decision string")
 
 
@@ -55,6 +56,7 @@ def match_step(state: int, row: dict) -> tuple[int, dict]:
 
 @query("match_seq", sql("+ f AS (SELECT stream_id, off, event_id % 7 = 2 OR off - CASE WHEN event_id % 13 = 5 THEN 1 ELSE 0 END = 0 AS ok, CAST(event_id % 7 = 2 OR off - CASE WHEN event_id % 13 = 5 THEN 1 ELSE 0 END = 0 AS BIGINT) AS tail FROM records WHERE off = 0 UNION ALL SELECT r.stream_id, r.off, r.event_id % 7 = 2 OR r.off - CASE WHEN r.event_id % 13 = 5 THEN 1 ELSE 0 END = tail, tail + CAST(r.event_id % 7 = 2 OR r.off - CASE WHEN r.event_id % 13 = 5 THEN 1 ELSE 0 END = tail AS BIGINT) FROM f JOIN records r ON r.stream_id = f.stream_id AND r.off = f.off + 1) SELECT * FROM f", "records", recursive=True))
 def match_seq(spark: SparkSession, d: str) -> DataFrame:
+    """Appends that expect an offset."""
     rows = records(spark, d).select("stream_id", "off", "event_id")
     return fold(rows, "stream_id", ["off"], lambda: 0, match_step, "stream_id long, off long, ok boolean, tail long")
 
@@ -105,6 +107,7 @@ def ttl_step(state: int | None, row: dict) -> tuple[int, dict]:
 
 @query("ttl_touch", sql(f"+ f AS (SELECT stream_id, off, ts_ms + {TTL} AS deadline FROM records WHERE off = 0 UNION ALL SELECT r.stream_id, r.off, CASE WHEN r.ts_ms + {TTL} - deadline >= {TTL // 10} THEN r.ts_ms + {TTL} ELSE deadline END FROM f JOIN records r ON r.stream_id = f.stream_id AND r.off = f.off + 1) SELECT * FROM f", "records", recursive=True))
 def ttl_touch(spark: SparkSession, d: str) -> DataFrame:
+    """The deadline behind every access."""
     return fold(records(spark, d).select("stream_id", "off", "ts_ms"), "stream_id", ["off"], lambda: None, ttl_step, "stream_id long, off long, deadline long")
 
 
@@ -133,6 +136,7 @@ def put_kv(spark: SparkSession, d: str) -> DataFrame:
 
 @query("delete_kv", sql(f"SELECT key FROM ({LAST}) WHERE op = 'error'"))
 def delete_kv(spark: SparkSession, d: str) -> DataFrame:
+    """Keys whose last write is a delete."""
     return read(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", "event_id").alias("op")).where("op = 'error'").select("key")
 
 
@@ -155,6 +159,7 @@ def recover_step(state: int | None, row: dict) -> tuple[int, dict | None]:
 
 @query("recovery_filter", sql("+ w AS MATERIALIZED (SELECT r.stream_id, row_number() OVER (PARTITION BY r.stream_id ORDER BY (off + 3 * (off % 2)), off) - 1 AS place, off AS base, start_off AS first FROM records r JOIN streams USING (stream_id) WHERE NOT closed), f AS (SELECT stream_id, place, base, base = first AS kept, CASE WHEN base = first THEN first + 1 ELSE first END AS e FROM w WHERE place = 0 UNION ALL SELECT w.stream_id, w.place, w.base, w.base = e, CASE WHEN w.base = e THEN e + 1 ELSE e END FROM f JOIN w ON w.stream_id = f.stream_id AND w.place = f.place + 1) SELECT stream_id, place, base FROM f WHERE kept", "records", "streams", recursive=True))
 def recovery_filter(spark: SparkSession, d: str) -> DataFrame:
+    """What the log of each open stream gives back, in the order of the log."""
     s = streams(spark, d).where("NOT closed").select("stream_id", F.col("start_off").alias("first"))
     w = Window.partitionBy("stream_id").orderBy(F.col("off") + 3 * (F.col("off") % 2), "off")
     rows = records(spark, d).join(s, "stream_id").select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("place"), F.col("off").alias("base"), "first")

@@ -107,6 +107,7 @@ STATE = "e AS epoch, o AS is_open, s AS start_off, n AS end_off, CAST(node AS IN
 
 
 def applied(spark: SparkSession, d: str) -> DataFrame:
+    """Every command of the log applied in its order."""
     return fold(commands(spark, d), "stream_id", ["off"], lambda: EMPTY, apply_step, SCHEMA)
 
 
@@ -325,6 +326,7 @@ FROM (SELECT *, CASE WHEN release THEN own AND NOT behind ELSE own OR owner IS N
 
 
 def leases(spark: SparkSession, d: str) -> DataFrame:
+    """Every request for or release of the lease, in its order."""
     rows = records(spark, d).select("stream_id", "off", "ts_ms", "header_type", F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")).alias("holder"), F.when(F.col("event_id") % 4 == 1, 1).otherwise(0).alias("behind"))
     return fold(rows, "stream_id", ["off"], lambda: (None, 0, 0), lease_step, "stream_id long, off long, release boolean, won boolean, epoch long")
 
