@@ -131,10 +131,12 @@ def composite_merge(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("stream_id").agg(F.array_join(parts, ",").alias("parts"))
 
 
-@query("cleanup_expired", sql("SELECT o.object_id, o.stream_id FROM objects o JOIN streams s USING (stream_id) WHERE o.end_off <= s.start_off", "objects", "streams"))
-def cleanup_expired(spark: SparkSession, d: str) -> DataFrame:
-    """Objects wholly before their stream's start."""
-    return objects(spark, d).join(streams(spark, d).select("stream_id", F.col("start_off").alias("s")), "stream_id").where("end_off <= s").select("object_id", "stream_id")
+@query("cleanup_expired", sql("SELECT o.object_id, o.stream_id, (row_number() OVER (PARTITION BY o.stream_id ORDER BY o.start_off) - 1) // 1000 AS request FROM objects o JOIN streams s USING (stream_id) WHERE o.end_off <= s.start_off", "objects", "streams"))
+def cleanup_expired(spark: SparkSession, d: str, most: int = 1000) -> DataFrame:
+    """Objects wholly before their stream's start, and the request, of up to a thousand, that removes each."""
+    gone = objects(spark, d).join(streams(spark, d).select("stream_id", F.col("start_off").alias("s")), "stream_id").where("end_off <= s")
+    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("start_off"))
+    return gone.withColumn("k", place.cast("long") - 1).select("object_id", "stream_id", F.expr(f"k div {most}").alias("request"))
 
 
 COMPOSITES = "c AS (SELECT stream_id, object_id // 4 AS composite_id, min(start_off) AS a, max(end_off) AS b, CAST(sum(size) AS BIGINT) AS size FROM objects GROUP BY ALL), l AS (SELECT c.*, s.start_off FROM c JOIN streams s USING (stream_id) WHERE b > s.start_off), f AS (SELECT stream_id, arg_min(composite_id, a) AS composite_id, arg_min(greatest(start_off - a, 0) * size // (b - a), a) AS dead FROM l GROUP BY stream_id)"

@@ -291,3 +291,31 @@ def catch_up_read(spark: SparkSession, d: str) -> DataFrame:
     """A follower that is far behind: its reads, where each goes on, and the one that finds it up to date."""
     p = paginate(spark, d).groupBy("stream_id", "page").agg(F.min("off").alias("since"), (F.max("off") + 1).alias("next_off"), F.count("*").alias("n"))
     return p.withColumn("up_to_date", F.col("next_off") == F.max("next_off").over(Window.partitionBy("stream_id")))
+
+
+IDLE = 36_000_000
+
+
+def reader_step(state: dict[int, int], row: dict) -> tuple[dict[int, int], dict]:
+    """Readers by where they go on, with their last use: a read goes to the one at its start, which moves to its end, or to a new one. Readers at the same place are one, and idle ones go."""
+    now, start = row["ts_ms"], row["since"]
+    live = {k: v for k, v in state.items() if now - v <= IDLE}
+    reused = start in live
+    live.pop(start, None)
+    live[start + 1] = now
+    return live, {"stream_id": row["stream_id"], "off": row["off"], "since": start, "reused": reused, "readers": len(live)}
+
+
+READERS = f"""+ q AS MATERIALIZED (SELECT stream_id, off, ts_ms, CASE WHEN event_id % 5 = 2 THEN greatest(off - 2, 0) ELSE off END AS since FROM records),
+f AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS off, CAST(0 AS BIGINT) AS since, false AS reused, CAST(0 AS BIGINT) AS readers, MAP(CAST([] AS BIGINT[]), CAST([] AS BIGINT[])) AS m FROM q UNION ALL
+SELECT stream_id, off, since, reused, CAST(cardinality(m) AS BIGINT), m FROM (SELECT stream_id, off, since, map_contains(live, since) AS reused, map_from_entries(list_append(list_filter(map_entries(live), lambda e: e.key <> since AND e.key <> since + 1), {{'key': since + 1, 'value': ts_ms}})) AS m
+FROM (SELECT q.*, map_from_entries(list_filter(map_entries(f.m), lambda e: q.ts_ms - e.value <= {IDLE})) AS live FROM f JOIN q ON q.stream_id = f.stream_id AND q.off = f.off + 1)))
+SELECT stream_id, off, since, reused, readers FROM f WHERE off >= 0"""
+
+
+@query("reader_registry", sql(READERS, "records", recursive=True))
+def reader_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Which reads are served by a reader that is there already, and how many each stream has; a reader lives for a time after its last use, so the state is of the readers in use."""
+    since = F.when(F.col("event_id") % 5 == 2, F.greatest(F.col("off") - 2, F.lit(0))).otherwise(F.col("off"))
+    rows = records(spark, d).select("stream_id", "off", "ts_ms", since.alias("since"))
+    return fold(rows, "stream_id", ["off"], dict, reader_step, "stream_id long, off long, since long, reused boolean, readers long")

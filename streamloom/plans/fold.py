@@ -20,16 +20,20 @@ def fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], st
     """``step(state, row)`` gives the next state and an output row, or None for no row."""
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, begun = None, None, False
+        at = names.index(key)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if not begun or row[key] != last:
-                    last, state, begun = row[key], start(), True
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            made: list[dict] = []
+            # columns to lists at once; a row is then a dictionary of its own for the step alone
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or values[at] != last:
+                    last, state, begun = values[at], start(), True
+                state, out = step(state, dict(zip(names, values, strict=True)))
+                if out is not None:
+                    made.append(out)
+            yield pa.RecordBatch.from_arrays([pa.array([m[f.name] for m in made], f.type) for f in arrow], schema=arrow)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
