@@ -80,9 +80,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int, pivots_most: int = PIVOT
     names = np.array([r.vec_id for r in got], np.int64)
     cells = assign(rows, pivots)
     # one row for each pivot
-    radius = np.full(len(pivots), -1.0)
-    for r in cells.groupBy("cell").agg(F.max("far").alias("far")).collect():
-        radius[r.cell] = r.far
+    radius, parts_of = np.full(len(pivots), -1.0), [1] * len(pivots)
+    for r in cells.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
+        radius[r.cell], parts_of[r.cell] = r.far, -(-r.n // PART)
 
     # queries of near cells come together: cells in the order of their pivots' projection on the longest axis of the pivots
     axis = np.linalg.svd(pivots - pivots.mean(0), full_matrices=False)[2][0] if len(pivots) > 1 else np.ones(pivots.shape[1])
@@ -115,8 +115,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, pivots_most: int = PIVOT
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), g, np.int32)), pa.array(on.astype(np.int32)), pa.array(low[on])], names=["group", "cell", "least"])
 
     near = asked.mapInArrow(bounds, "group int, cell int, least double").groupBy("group", "cell").agg(F.min("least").alias("least"))
-    total = cells.groupBy("cell").count().withColumn("parts", F.ceil(F.col("count") / PART).cast("int")).select("cell", "parts")
-    near = near.join(F.broadcast(total), "cell")  # one row for each pivot
+    near = near.withColumn("parts", F.get(F.array(*map(F.lit, parts_of)), F.col("cell")))
     parts = near.join(cells, "cell").where(F.col("far") >= F.col("least"))
     parts = parts.select("group", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
     sent = near.select("group", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))

@@ -35,6 +35,8 @@ from .kit import BYTE_B, MULT_B, Prefix, blocks, expand, mix, tune, utf8
 
 LENGTH, GRAM = 100, 24
 MOST = 30_000
+#: Bytes of texts in a chunk, about.
+CHUNK_BYTES = 16 << 20
 #: Bytes of stretches that are sorted together.
 SORTED_BYTES = 1 << 20
 #: A place is a byte of a text, with the text's number among those of its doc_id above these bits.
@@ -239,7 +241,9 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    n = max(1, docs.rdd.getNumPartitions())
+    """The documents dealt into chunks of about CHUNK_BYTES, and the number of chunks. The rows of one doc_id lie in one chunk."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-size // CHUNK_BYTES))
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("mark", F.xxhash64("doc_id", "text")), n
 
 
@@ -248,8 +252,8 @@ ROW = "h long, two long, doc_id long, start long, windows int, offset int, text
 STRETCH, ONE, GONE = 0, 1, 2
 
 
-def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The chunked documents, and (doc_id, start, windows) of runs of windows that stand earlier too; for an exact copy start is null and windows the row's mark."""
+def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The chunked documents, with the number of chunks last, and (doc_id, start, windows) of runs of windows that stand earlier too; for an exact copy start is null and windows the row's mark."""
     rows, n = chunked(docs)
     slim = rows.select("doc_id", "mark", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
     first = slim.groupBy("digest", "size").agg(F.min("doc_id").alias("first"))
@@ -338,7 +342,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.table([*columns, pa.chunked_array(texts, pa.binary()), pa.array(np.concatenate([*kinds, np.zeros(0, np.int32)]))], names=["h", "two", "doc_id", "start", "windows", "offset", "text", "kind"])
 
     found = dealt.groupBy("chunk").cogroup(both.groupBy("to")).applyInArrow(lambda a, b: emit(a, b), ROW)
-    return dealt, local_runs(found).union(copies.select("doc_id", F.lit(None).cast("long"), "mark"))
+    return dealt, local_runs(found).union(copies.select("doc_id", F.lit(None).cast("long"), "mark")), n
 
 
 def chunked_like(ids: DataFrame, n: int) -> DataFrame:
@@ -430,8 +434,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     tune(docs.sparkSession)
     least = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("none"))
-    dealt, gone = repeated_runs(rows)
-    n = max(1, rows.rdd.getNumPartitions())
+    dealt, gone, n = repeated_runs(rows)
     gone = gone.select(F.col("doc_id").alias("own"), F.col("start").alias("from"), "windows", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("to"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -241,6 +241,7 @@ def brute_removal(rows):
 @pytest.mark.parametrize("most", [30_000, 3])
 def test_substrings_are_brute_force(spark, docs, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 100_000)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs.repartition(4)).collect()}
     assert got == brute_removal(rows)
@@ -257,6 +258,7 @@ def test_substrings_inside_one_text(spark):
 @pytest.mark.parametrize("most", [30_000, 3])
 def test_substrings_in_rows_that_repeat_a_doc_id(spark, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 1_000)
     rng = random.Random(12)
     prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     one, two, three, four, shared = (prose(n) for n in (300, 250, 400, 260, 150))
