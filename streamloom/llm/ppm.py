@@ -11,12 +11,14 @@ them, behind a blank that is given; its end is a symbol of its own. The counts a
 those of the whole training fold, for its own documents too.
 
 Nothing that grows with the corpus is broadcast or gathered on the driver.
-Documents are dealt into chunks of about ``CHUNK_BYTES``. Each chunk asks once for
-each of its distinct symbols in context, and for each of its words, which the base
-model needs; the asks with their counts are summed by key. The trie is priced in
-groups of contexts with the same last three bytes: these hold all their longer
-contexts, the counts of order 2 are joined to them, and the orders 0 and 1 have at
-most 257 * 257 counts. Answers go back to the chunks, by a join with the asks.
+Documents are packed into blocks of about 1 MB, compressed, and these dealt into
+chunks of about ``CHUNK_BYTES``, whose blocks a worker opens one after another.
+Each chunk asks once for each of its distinct symbols in context, and for each of
+its words, which the base model needs; the asks with their counts are summed by
+key. The trie is priced in groups of contexts with the same last three bytes:
+these hold all their longer contexts, the counts of order 2 are joined to them,
+and the orders 0 and 1 have at most 257 * 257 counts. Answers go back to the
+chunks, by a join with the asks, packed and compressed.
 """
 
 from __future__ import annotations
@@ -25,17 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .kit import LOWER, blocks, expand, span_hash, tune, words
-from .shared import release, stored
+from .shared import release, settle, stored
 
 ORDER = 5
 END = 256  # the symbol after the last byte
 SYMBOLS = 257
 #: Bytes of text in a chunk, about, and symbols at once within it.
-CHUNK_BYTES, PIECE = 16 << 20, 1 << 19
+CHUNK_BYTES, PIECE = 48 << 20, 1 << 19
 #: Symbols in context that are priced at once, about.
 GRAMS = 300_000
 #: Symbols that are sorted at once where they are counted.
@@ -86,6 +91,31 @@ def grams(text: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield g[coded], row[coded]
 
 
+def packed_blocks(docs: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, block): the rows (doc_id, held_out, text) in compressed blocks, dealt out by their places in the input, so that copies don't meet in one chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            for part, _, _ in blocks(batch):
+                sink = pa.BufferOutputStream()
+                # a slice of its own, so that only its bytes are written
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([n % chunks], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "block"])
+                n += 1
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "chunk int, block binary")
+
+
+def opened(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The blocks' rows, with the bytes and offsets of their texts in lower case."""
+    for value in column:
+        for batch in pa.ipc.open_stream(value.as_buffer()):
+            for part, data, offs in blocks(batch):
+                yield part, LOWER[data], offs
+
+
 def asks(docs: DataFrame) -> DataFrame:
     """(key, chunk, n): the distinct symbols in context and words of each chunk, with their number in training texts."""
 
@@ -110,13 +140,12 @@ def asks(docs: DataFrame) -> DataFrame:
         marks: list[np.ndarray] = []  # keys with a last bit that is 0 in training texts
         held, last = 0, None
         for batch in batches:
-            chunk = batch.column(2)[0].as_py()
+            chunk = batch.column(0)[0].as_py()
             if last is not None and chunk != last:
                 yield from rows([*parts, counted(marks)], last)
                 parts, marks, held = [], [], 0
             last = chunk
-            for part, data, offs in blocks(batch):
-                data = LOWER[data]
+            for part, data, offs in opened(batch.column(1)):
                 out = np.asarray(part.column(1).to_pylist(), bool).astype(np.int64)
                 s, e, first = words(data, offs)
                 row = np.repeat(np.arange(len(out)), np.diff(first))
@@ -130,7 +159,7 @@ def asks(docs: DataFrame) -> DataFrame:
         if last is not None:
             yield from rows([*parts, counted(marks)], last)
 
-    return docs.select("text", "held_out", "chunk").mapInArrow(run, "key long, chunk int, n long")
+    return docs.mapInArrow(run, "key long, chunk int, n long")
 
 
 def word_keys(h: np.ndarray) -> np.ndarray:
@@ -283,6 +312,48 @@ def priced(counts: DataFrame, rows: int) -> DataFrame:
     return rows_.repartition(parts, "suffix").select("key", "second", "n").mapInArrow(run, "key long, value double")
 
 
+#: Answers that are packed at once.
+PACKED = 1 << 20
+
+
+def packed_answers(answers: DataFrame) -> DataFrame:
+    """(to, n, keys, values) from (to, key, value): the keys in order, as steps, and their values, compressed."""
+
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, key, value = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        order = np.lexsort((key, to))
+        to, key, value = to[order], key[order], value[order]
+        first = np.flatnonzero(fresh(to))
+        for a, b in zip(first, np.append(first[1:], len(to)), strict=True):
+            steps = np.diff(key[a:b], prepend=np.int64(0))
+            both = [pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary()) for x in (steps, value[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array([to[a]], pa.int32()), pa.array([b - a], pa.int64()), *both], names=["to", "n", "keys", "values"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield from rows(held)
+                held, n = [], 0
+        if n:
+            yield from rows(held)
+
+    return answers.select("to", "key", "value").mapInArrow(run, "to int, n long, keys binary, values binary")
+
+
+def unpacked(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a chunk's answers, in order, and their values."""
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for n, key, value in zip(answers.column("n").to_pylist(), answers.column("keys"), answers.column("values"), strict=True):
+        keys.append(np.cumsum(np.frombuffer(pa.decompress(key.as_buffer(), 8 * n, "zstd"), np.int64)))
+        values.append(np.frombuffer(pa.decompress(value.as_buffer(), 8 * n, "zstd"), np.float64))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    return key[order], value[order]
+
+
 OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -302,13 +373,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = Observation()
-    rows = docs.select("doc_id", (remainder(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
-    # a row's chunk is drawn by its place, not its contents, so that copies don't meet in one; written, it stays as it is
-    rows = stored(rows.observe(seen, F.sum(F.octet_length("text")).alias("bytes")), "dealt")
-    chunks = max(1, -(-(seen.get["bytes"] or 0) // CHUNK_BYTES))
-    rows = rows.withColumn("chunk", F.pmod("deal", F.lit(chunks)).cast("int")).drop("deal").repartitionById(chunks, F.col("chunk"))
-    asked = stored(asks(rows), "asks")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    rows = docs.select("doc_id", (remainder(F.col("doc_id")) == HELD).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    # written, a row's chunk stays as it is
+    rows = stored(packed_blocks(rows, chunks), "dealt")
+    asked = stored(asks(rows.repartitionById(chunks, F.col("chunk"))), "asks", compression="zstd")
+    settle(spark)
     tally, counted = Observation(), asked.groupBy("key").agg(F.sum("n").alias("n"))
     of_word = F.col("key") < 0
     counted = counted.observe(tally, F.sum(F.when(of_word, F.col("n"))).alias("n"), F.sum(F.when(of_word & (F.col("n") > 0), 1)).alias("v"), F.count(F.when(~of_word, 1)).alias("grams"))
@@ -316,22 +387,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total, distinct = tally.get["n"] or 0, tally.get["v"] or 0
     values = priced(counted.where(~of_word), tally.get["grams"]).union(counted.where(of_word).select("key", F.col("n").cast("double")))
     values = stored(values, "prices")
-    answers = stored(asked.select("key", "chunk").join(values, "key").select(F.col("chunk").alias("to"), "key", "value"), "answers")
-    release(asked, counted, values)
+    release(counted)
+    settle(spark)
+    answers = packed_answers(asked.select("key", "chunk").join(values, "key").select(F.col("chunk").alias("to"), "key", "value"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("key").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, value = keys[order], right.column("value").to_numpy()[order]
-        del right, order
+        keys, value = unpacked(right)
         word = int(np.searchsorted(keys, 0))
         of_words, count, keys, value = keys[:word], value[:word], keys[word:], value[word:]
         end = count[np.searchsorted(of_words, END_KEY)]
         base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))
         of_end = np.log10((end + 0.5) / (total + 0.5 * (distinct + 1)))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for part, data, offs in (x for b in left.select(["text"]).to_batches() for x in blocks(b)):
-            data = LOWER[data]
+        kept: list[pa.RecordBatch] = []
+        for part, data, offs in opened(left.column("block")):
+            kept.append(part.select(["doc_id", "held_out"]))
             s, e, first = words(data, offs)
             n = len(offs) - 1
             row = np.repeat(np.arange(n), np.diff(first))
@@ -343,7 +413,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for g, of in grams(*running(data, s, e, first)):
                 code += added(g, of, n, keys, value)
             out[3].append(code)
-        n, known, b, p = (np.concatenate([*x, np.zeros(0)]) for x in out)
-        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(b), pa.array(p)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return rows.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(lambda a, b: run(a, b), f"doc_id {kind}, {OUT}")
+        if not kept:
+            return schema.empty_table()
+        rows = pa.Table.from_batches(kept)
+        n, known, b, p = (np.concatenate(x) for x in out)
+        return pa.table([rows.column("doc_id"), rows.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(b), pa.array(p)], schema=schema)
+
+    form = f"doc_id {kind}, {OUT}"
+    schema = to_arrow_schema(_parse_datatype_string(form))
+    return rows.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(lambda a, b: run(a, b), form)

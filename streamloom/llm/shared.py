@@ -33,6 +33,11 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffles of jobs that are over: it does so once the driver's garbage is collected."""
+    spark._jvm.System.gc()
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes the tables of frames from ``stored`` that nothing reads any more."""
     for df in frames:
