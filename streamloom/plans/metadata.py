@@ -14,7 +14,7 @@ from ..registry import query
 from ..sources.tables import nodes, objects, read, records, sql, streams
 from .fold import fold
 
-OPS = ("open", "commit", "close", "trim", "open", "commit", "transfer", "complete")
+OPS = ("open", "commit", "close", "trim", "open", "commit", "transfer", "complete", "create", "delete")
 NODES = 4
 #: Offsets that a commit adds.
 STEP = 10
@@ -23,7 +23,7 @@ STEP = 10
 def commands(spark: SparkSession, d: str) -> DataFrame:
     """stream_id, off, idx, and what the record's command asks: op, epoch, node_id and node_epoch of the proposer, how far beyond the tail a commit begins, the new start of a trim, and the nodes of a transfer."""
     e = F.col("event_id")
-    op = F.element_at(F.array(*map(F.lit, OPS)), (e % 8 + 1).cast("int"))
+    op = F.element_at(F.array(*map(F.lit, OPS)), (e % 10 + 1).cast("int"))
     node = F.when(e % 31 == 7, F.lit(9)).otherwise(F.expr("event_id div 8") % NODES).cast("int")
     return records(spark, d).select(
         "stream_id", "off", e.alias("idx"), op.alias("op"), F.expr("off div 6").alias("epoch"), node.alias("node_id"), (node + 10 - F.when(e % 23 == 5, 1).otherwise(0)).cast("long").alias("node_epoch"),
@@ -31,14 +31,17 @@ def commands(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: (epoch, open, start, end, node, pending source, pending target) of a stream that was never opened.
-EMPTY = (-1, False, 0, 0, -1, None, None)
+#: (epoch, open, start, end, node, pending source, pending target, whether it is there) of a stream that was never opened, and of none.
+EMPTY = (-1, False, 0, 0, -1, None, None, True)
+ABSENT = (*EMPTY[:-1], False)
 
 
 def apply(state: tuple, op: str, epoch: int, node_id: int = 0, node_epoch: int | None = None, gap: int = 0, new_start: int = 0, from_node: int = 0, to_node: int = 0) -> tuple[tuple, str]:
     """The state after a command, and its result. A failed command leaves the state as it was."""
-    at, is_open, start, end, node, source, target = state
+    at, is_open, start, end, node, source, target, there = state
     if op == "transfer":
+        if not there:
+            return state, "not_exist"
         if source is not None:
             return state, "ok" if (source, target) == (from_node, to_node) else "pending"
         if from_node == to_node:
@@ -47,25 +50,36 @@ def apply(state: tuple, op: str, epoch: int, node_id: int = 0, node_epoch: int |
             return state, "no_target"
         if not is_open or node != from_node:
             return state, "not_owner"
-        return (at, is_open, start, end, node, from_node, to_node), "ok"
+        return (*state[:5], from_node, to_node, True), "ok"
     if op == "complete":
         if source is None:
             return state, "redundant"
         if is_open:
             return state, "not_closed"
-        return ((at, is_open, start, end, target, None, None), "ok") if epoch == at else (state, "expired_epoch")
+        return ((*state[:4], target, None, None, True), "ok") if epoch == at else (state, "expired_epoch")
     if node_id >= NODES:
         return state, "not_registered"
     if node_epoch is not None and node_epoch != node_id + 10:
         return state, "node_epoch"
+    if op == "create":
+        return (state, "exists") if there else (EMPTY, "ok")
+    if op == "delete":
+        if not there:
+            return state, "ok"
+        if is_open:
+            return state, "not_closed"
+        return (ABSENT, "ok") if epoch == at else (state, "expired_epoch")
+    if not there:
+        return state, "not_exist"
+    rest = (node, source, target, True)
     if op == "open":
         if epoch < at:
             return state, "fenced"
         if epoch == at:
             return state, "ok" if is_open and node == node_id else "fenced"
-        return (state, "not_closed") if is_open else ((epoch, True, start, end, node_id, source, target), "ok")
+        return (state, "not_closed") if is_open else ((epoch, True, start, end, node_id, source, target, True), "ok")
     if op == "commit":
-        return (state, "offset") if gap else ((at, is_open, start, end + STEP, node, source, target), "ok")
+        return (state, "offset") if gap else ((at, is_open, start, end + STEP, *rest), "ok")
     if op == "close" and not is_open and epoch == at:
         return state, "ok"
     if not is_open:
@@ -73,12 +87,12 @@ def apply(state: tuple, op: str, epoch: int, node_id: int = 0, node_epoch: int |
     if epoch != at:
         return state, "expired_epoch"
     if op == "close":
-        return (at, False, start, end, node, source, target), "ok"
+        return (at, False, start, end, *rest), "ok"
     if new_start < start:
         return state, "below_start"
     if new_start > end:
         return state, "beyond_end"
-    return (at, is_open, new_start, end, node, source, target), "ok"
+    return (at, is_open, new_start, end, *rest), "ok"
 
 
 ASKS = ("op", "epoch", "node_id", "node_epoch", "gap", "new_start", "from_node", "to_node")
@@ -86,24 +100,30 @@ ASKS = ("op", "epoch", "node_id", "node_epoch", "gap", "new_start", "from_node",
 
 def apply_step(state: tuple, row: dict) -> tuple[tuple, dict]:
     state, result = apply(state, *(row[k] for k in ASKS))
-    return state, {"stream_id": row["stream_id"], "off": row["off"], "op": row["op"], "result": result, "epoch": state[0], "is_open": state[1], "start_off": state[2], "end_off": state[3], "node_id": state[4], "to_node": state[6]}
+    return state, {"stream_id": row["stream_id"], "off": row["off"], "op": row["op"], "result": result, "epoch": state[0], "is_open": state[1], "start_off": state[2], "end_off": state[3], "node_id": state[4], "to_node": state[6], "there": state[7]}
 
 
-SCHEMA = "stream_id long, off long, op string, result string, epoch long, is_open boolean, start_off long, end_off long, node_id int, to_node int"
+SCHEMA = "stream_id long, off long, op string, result string, epoch long, is_open boolean, start_off long, end_off long, node_id int, to_node int, there boolean"
 
 CHECKED = "CASE WHEN cn >= 4 THEN 'not_registered' WHEN ne <> cn + 10 THEN 'node_epoch' {0} END"
-OPENED = CHECKED.format("WHEN ce < e THEN 'fenced' WHEN ce = e THEN CASE WHEN o AND node = cn THEN 'ok' ELSE 'fenced' END WHEN o THEN 'not_closed' ELSE 'ok'")
-SHUT = CHECKED.format("WHEN NOT o AND ce = e THEN 'ok' WHEN NOT o THEN 'not_open' WHEN ce <> e THEN 'expired_epoch' ELSE 'ok'")
-TRIMMED = CHECKED.format("WHEN NOT o THEN 'not_open' WHEN ce <> e THEN 'expired_epoch' WHEN ns < s THEN 'below_start' WHEN ns > n THEN 'beyond_end' ELSE 'ok'")
-MOVED = "CASE WHEN pf IS NOT NULL THEN CASE WHEN pf = cf AND pt = ct THEN 'ok' ELSE 'pending' END WHEN cf = ct THEN 'same_node' WHEN ct >= 4 THEN 'no_target' WHEN NOT o OR node <> cf THEN 'not_owner' ELSE 'ok' END"
+GONE = "WHEN NOT x THEN 'not_exist' "
+OPENED = CHECKED.format(GONE + "WHEN ce < e THEN 'fenced' WHEN ce = e THEN CASE WHEN o AND node = cn THEN 'ok' ELSE 'fenced' END WHEN o THEN 'not_closed' ELSE 'ok'")
+COMMITTED = CHECKED.format(GONE + "WHEN gap = 1 THEN 'offset' ELSE 'ok'")
+SHUT = CHECKED.format(GONE + "WHEN NOT o AND ce = e THEN 'ok' WHEN NOT o THEN 'not_open' WHEN ce <> e THEN 'expired_epoch' ELSE 'ok'")
+TRIMMED = CHECKED.format(GONE + "WHEN NOT o THEN 'not_open' WHEN ce <> e THEN 'expired_epoch' WHEN ns < s THEN 'below_start' WHEN ns > n THEN 'beyond_end' ELSE 'ok'")
+MOVED = "CASE WHEN NOT x THEN 'not_exist' WHEN pf IS NOT NULL THEN CASE WHEN pf = cf AND pt = ct THEN 'ok' ELSE 'pending' END WHEN cf = ct THEN 'same_node' WHEN ct >= 4 THEN 'no_target' WHEN NOT o OR node <> cf THEN 'not_owner' ELSE 'ok' END"
 DONE = "CASE WHEN pf IS NULL THEN 'redundant' WHEN o THEN 'not_closed' WHEN ce <> e THEN 'expired_epoch' ELSE 'ok' END"
-RESULT = f"CASE op WHEN 'open' THEN {OPENED} WHEN 'commit' THEN {CHECKED.format(chr(87) + 'HEN gap = 1 THEN ' + chr(39) + 'offset' + chr(39) + ' ELSE ' + chr(39) + 'ok' + chr(39))} WHEN 'close' THEN {SHUT} WHEN 'trim' THEN {TRIMMED} WHEN 'transfer' THEN {MOVED} ELSE {DONE} END"
-COMMANDS = "c AS MATERIALIZED (SELECT stream_id, off, event_id AS idx, CASE event_id % 8 WHEN 0 THEN 'open' WHEN 1 THEN 'commit' WHEN 2 THEN 'close' WHEN 3 THEN 'trim' WHEN 4 THEN 'open' WHEN 5 THEN 'commit' WHEN 6 THEN 'transfer' ELSE 'complete' END AS op, off // 6 AS ce, CASE WHEN event_id % 31 = 7 THEN 9 ELSE event_id // 8 % 4 END AS cn, CASE WHEN event_id % 31 = 7 THEN 9 ELSE event_id // 8 % 4 END + 10 - CASE WHEN event_id % 23 = 5 THEN 1 ELSE 0 END AS ne, CASE WHEN event_id % 13 = 4 THEN 1 ELSE 0 END AS gap, off - 3 AS ns, event_id // 16 % 4 AS cf, event_id // 3 % 5 AS ct FROM records)"
+CREATED = CHECKED.format("WHEN x THEN 'exists' ELSE 'ok'")
+DELETED = CHECKED.format("WHEN NOT x THEN 'ok' WHEN o THEN 'not_closed' WHEN ce <> e THEN 'expired_epoch' ELSE 'ok'")
+RESULT = f"CASE c.op WHEN 'open' THEN {OPENED} WHEN 'commit' THEN {COMMITTED} WHEN 'close' THEN {SHUT} WHEN 'trim' THEN {TRIMMED} WHEN 'transfer' THEN {MOVED} WHEN 'complete' THEN {DONE} WHEN 'create' THEN {CREATED} ELSE {DELETED} END"
+OP = "CASE event_id % 10 WHEN 0 THEN 'open' WHEN 1 THEN 'commit' WHEN 2 THEN 'close' WHEN 3 THEN 'trim' WHEN 4 THEN 'open' WHEN 5 THEN 'commit' WHEN 6 THEN 'transfer' WHEN 7 THEN 'complete' WHEN 8 THEN 'create' ELSE 'delete' END"
+COMMANDS = f"c AS MATERIALIZED (SELECT stream_id, off, event_id AS idx, {OP} AS op, off // 6 AS ce, CASE WHEN event_id % 31 = 7 THEN 9 ELSE event_id // 8 % 4 END AS cn, CASE WHEN event_id % 31 = 7 THEN 9 ELSE event_id // 8 % 4 END + 10 - CASE WHEN event_id % 23 = 5 THEN 1 ELSE 0 END AS ne, CASE WHEN event_id % 13 = 4 THEN 1 ELSE 0 END AS gap, off - 3 AS ns, event_id // 16 % 4 AS cf, event_id // 3 % 5 AS ct FROM records)"
+RESET = "fine AND op IN ('create', 'delete')"
 APPLY = f"""+ {COMMANDS},
-f AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS off, '' AS op, CAST('' AS VARCHAR) AS result, CAST(-1 AS BIGINT) AS e, false AS o, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS pf, CAST(NULL AS BIGINT) AS pt FROM c UNION ALL
-SELECT stream_id, off, op, result, CASE WHEN fine AND op = 'open' THEN ce ELSE e END, CASE WHEN fine AND op = 'open' THEN true WHEN fine AND op = 'close' THEN false ELSE o END, CASE WHEN fine AND op = 'trim' THEN ns ELSE s END, CASE WHEN fine AND op = 'commit' THEN n + {STEP} ELSE n END, CASE WHEN fine AND op = 'open' THEN cn WHEN fine AND op = 'complete' THEN pt ELSE node END, CASE WHEN fine AND op = 'transfer' THEN cf WHEN fine AND op = 'complete' THEN NULL ELSE pf END, CASE WHEN fine AND op = 'transfer' THEN ct WHEN fine AND op = 'complete' THEN NULL ELSE pt END
-FROM (SELECT *, result = 'ok' AS fine FROM (SELECT c.*, e, o, s, n, node, pf, pt, {RESULT.replace('op WHEN', 'c.op WHEN', 1)} AS result FROM f JOIN c ON c.stream_id = f.stream_id AND c.off = f.off + 1)))"""
-STATE = "e AS epoch, o AS is_open, s AS start_off, n AS end_off, CAST(node AS INTEGER) AS node_id, CAST(pt AS INTEGER) AS to_node"
+f AS (SELECT DISTINCT stream_id, CAST(-1 AS BIGINT) AS off, '' AS op, CAST('' AS VARCHAR) AS result, CAST(-1 AS BIGINT) AS e, false AS o, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS pf, CAST(NULL AS BIGINT) AS pt, true AS x FROM c UNION ALL
+SELECT stream_id, off, op, result, CASE WHEN {RESET} THEN -1 WHEN fine AND op = 'open' THEN ce ELSE e END, CASE WHEN {RESET} THEN false WHEN fine AND op = 'open' THEN true WHEN fine AND op = 'close' THEN false ELSE o END, CASE WHEN {RESET} THEN 0 WHEN fine AND op = 'trim' THEN ns ELSE s END, CASE WHEN {RESET} THEN 0 WHEN fine AND op = 'commit' THEN n + {STEP} ELSE n END, CASE WHEN {RESET} THEN -1 WHEN fine AND op = 'open' THEN cn WHEN fine AND op = 'complete' THEN pt ELSE node END, CASE WHEN {RESET} THEN NULL WHEN fine AND op = 'transfer' THEN cf WHEN fine AND op = 'complete' THEN NULL ELSE pf END, CASE WHEN {RESET} THEN NULL WHEN fine AND op = 'transfer' THEN ct WHEN fine AND op = 'complete' THEN NULL ELSE pt END, CASE WHEN {RESET} THEN op = 'create' ELSE x END
+FROM (SELECT *, result = 'ok' AS fine FROM (SELECT c.*, e, o, s, n, node, pf, pt, x, {RESULT} AS result FROM f JOIN c ON c.stream_id = f.stream_id AND c.off = f.off + 1)))"""
+STATE = "e AS epoch, o AS is_open, s AS start_off, n AS end_off, CAST(node AS INTEGER) AS node_id, CAST(pt AS INTEGER) AS to_node, x AS there"
 
 
 def applied(spark: SparkSession, d: str) -> DataFrame:
@@ -148,14 +168,14 @@ LAST_STATE = " SELECT stream_id, max(off) AS off, arg_max(e, off) AS epoch, arg_
 def replay(spark: SparkSession, d: str, at: int = 25) -> DataFrame:
     """A snapshot of each stream's state and the fold of the tail behind it: the same as the fold of everything."""
     c = commands(spark, d)
-    names = ("epoch", "is_open", "start_off", "end_off", "node_id", "from_node", "to_node")
-    schema = "stream_id long, off long, epoch long, is_open boolean, start_off long, end_off long, node_id int, from_node int, to_node int"
+    names = ("epoch", "is_open", "start_off", "end_off", "node_id", "from_node", "to_node", "there")
+    schema = "stream_id long, off long, epoch long, is_open boolean, start_off long, end_off long, node_id int, from_node int, to_node int, there boolean"
 
     def step(state: tuple, row: dict) -> tuple[tuple, dict]:
         state = tuple(row["s"][k] for k in names) if row["s"] else apply(state, *(row[k] for k in ASKS))[0]
         return state, {"stream_id": row["stream_id"], "off": row["off"], **dict(zip(names, state, strict=True))}
 
-    kind = "struct<epoch:bigint,is_open:boolean,start_off:bigint,end_off:bigint,node_id:int,from_node:int,to_node:int>"
+    kind = "struct<epoch:bigint,is_open:boolean,start_off:bigint,end_off:bigint,node_id:int,from_node:int,to_node:int,there:boolean>"
     none = F.lit(None).cast(kind).alias("s")
     last = F.max_by(F.struct(*names), "off").alias("s")
     head = fold(c.where(F.col("off") < at).select("*", none), "stream_id", ["off"], lambda: EMPTY, step, schema)
@@ -166,10 +186,14 @@ def replay(spark: SparkSession, d: str, at: int = 25) -> DataFrame:
 
 
 VERSION = 1
-CODES = {"open": 3, "close": 4, "trim": 5, "transfer": 6, "complete": 7, "commit": 10}
+# The commands' type codes.
+CODES = {"create": 1, "open": 2, "trim": 3, "close": 4, "delete": 5, "commit": 7, "transfer": 15, "complete": 16}
+
+
+CODE_SQL = f"CASE op {' '.join(f'WHEN {k!r} THEN {chr(39)}{v:02X}{chr(39)}' for k, v in CODES.items())} END"
 
 
-@query("command_codec", sql("+ c AS (SELECT *, CASE event_id % 8 WHEN 0 THEN 'open' WHEN 1 THEN 'commit' WHEN 2 THEN 'close' WHEN 3 THEN 'trim' WHEN 4 THEN 'open' WHEN 5 THEN 'commit' WHEN 6 THEN 'transfer' ELSE 'complete' END AS op FROM records) SELECT stream_id, off, '01' || CASE op WHEN 'open' THEN '03' WHEN 'close' THEN '04' WHEN 'trim' THEN '05' WHEN 'transfer' THEN '06' WHEN 'complete' THEN '07' ELSE '0A' END || lpad(upper(to_hex(stream_id)), 16, '0') || lpad(upper(to_hex(off // 6)), 16, '0') AS wire, op, off // 6 AS epoch, 2 AS refused FROM c", "records"))
+@query("command_codec", sql(f"+ c AS (SELECT *, {OP} AS op FROM records) SELECT stream_id, off, '01' || {CODE_SQL} || lpad(upper(to_hex(stream_id)), 16, '0') || lpad(upper(to_hex(off // 6)), 16, '0') AS wire, op, off // 6 AS epoch, 2 AS refused FROM c", "records"))
 def command_codec(spark: SparkSession, d: str) -> DataFrame:
     """Commands in their versioned form and back; another version and a length that isn't the form's are refused."""
     code = F.element_at(F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v)]), F.col("op"))

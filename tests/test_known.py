@@ -110,7 +110,12 @@ def test_commands_of_a_move():
         state, result = apply(state, *command)
         seen.append(result)
     assert seen == ["not_owner", "ok", "fenced", "ok", "fenced", "not_closed", "ok", "offset", "node_epoch", "not_registered", "beyond_end", "ok", "below_start", "same_node", "no_target", "not_owner", "ok", "ok", "pending", "not_closed", "expired_epoch", "ok", "ok", "ok", "expired_epoch", "ok", "redundant", "ok"]
-    assert state == (4, True, 7, 20, 2, None, None)
+    assert state == (4, True, 7, 20, 2, None, None, True)
+    seen = []
+    for command in (("create", 0, 1, 11), ("delete", 4, 1, 11), ("close", 4, 2, 12), ("delete", 3, 1, 11), ("delete", 4, 1, 11), ("delete", 9, 1, 11), ("open", 5, 1, 11), ("transfer", 4, 0, None, 0, 0, 1, 2), ("create", 0, 1, 11), ("open", 0, 1, 11)):
+        state, result = apply(state, *command)
+        seen.append(result)
+    assert seen == ["exists", "not_closed", "ok", "expired_epoch", "ok", "ok", "not_exist", "not_exist", "ok", "ok"] and state == (0, True, 0, 0, 1, None, None, True)
 
 
 def test_stateful_stream_decides_as_the_batch_fold(spark):
