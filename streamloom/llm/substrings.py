@@ -34,7 +34,7 @@ from .decontaminate import pieces
 from .kit import BYTE_B, MULT_B, Prefix, blocks, expand, mix, tune, utf8
 
 LENGTH, GRAM = 100, 24
-MOST = 30_000
+MOST = 6_000
 #: Bytes of texts in a chunk, about.
 CHUNK_BYTES = 16 << 20
 #: Bytes of stretches that are sorted together.

@@ -238,7 +238,7 @@ def brute_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [30_000, 3])
+@pytest.mark.parametrize("most", [6_000, 3])
 def test_substrings_are_brute_force(spark, docs, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 100_000)
@@ -255,7 +255,7 @@ def test_substrings_inside_one_text(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [30_000, 3])
+@pytest.mark.parametrize("most", [6_000, 3])
 def test_substrings_in_rows_that_repeat_a_doc_id(spark, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST", most)
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 1_000)
