@@ -70,24 +70,26 @@ def running(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -
 
 def grams(text: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The packed (order, context, symbol) of every coded symbol and its row, a piece at a time."""
+    rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    masks = np.array([mask(k) for k in range(ORDER)], np.int64)
     for a in range(0, len(text), PIECE):
         b = min(a + PIECE, len(text))
         back = min(a, ORDER)
         piece = text[a - back : b].astype(np.int64)
-        at = np.arange(a, b)
-        row = np.searchsorted(offs, at, "right") - 1
-        inside = at - offs[row]
-        context = np.zeros(b - a, np.int64)
+        context = np.zeros(len(piece), np.int64)
         for j in range(1, ORDER + 1):
-            earlier = np.zeros(b - a, np.int64)
-            n = back - j  # where the piece before this position begins
-            if n >= 0:
-                earlier[:] = piece[n : n + b - a]
-            else:
-                earlier[-n:] = piece[: b - a + n] if b - a + n > 0 else 0
-            context |= np.where(inside >= j, earlier, 0) << (8 * (j - 1))
-        g = np.minimum(inside, ORDER) << _ORDER | context << _CONTEXT | piece[back:]
-        coded = inside > 0
+            context[j:] |= piece[:-j] << (8 * (j - 1))
+        context, row = context[back:], rows[a:b]
+        inside = np.arange(a, b) - offs[row]
+        # near a row's beginning the context is shorter; what stands before the row is masked, an end's ninth bit too
+        young = np.flatnonzero(inside < ORDER)
+        context[young] &= masks[inside[young]]
+        g = context << _CONTEXT
+        g |= piece[back:]
+        g += ORDER << _ORDER
+        g[young] -= (ORDER - inside[young]) << _ORDER
+        coded = np.ones(b - a, bool)
+        coded[young[inside[young] == 0]] = False
         yield g[coded], row[coded]
 
 
@@ -156,6 +158,8 @@ def asks(docs: DataFrame) -> DataFrame:
                     if held >= HELD_SYMBOLS:
                         parts.append(counted(marks))
                         marks, held = [], 0
+                        if len(parts) >= 8:  # so that few are held at once
+                            parts = [merged(parts)]
         if last is not None:
             yield from rows([*parts, counted(marks)], last)
 
@@ -224,8 +228,13 @@ class Level:
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+    """The distinct keys in order, and their sums."""
+    if not len(keys):
+        return keys, n.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(fresh(keys))
+    return keys[first], np.add.reduceat(n[order], first).astype(np.int64)
 
 
 def low_levels(first: list[tuple[int, int]]) -> list[Level]:
@@ -405,7 +414,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
             s, e, first = words(data, offs)
             n = len(offs) - 1
             row = np.repeat(np.arange(n), np.diff(first))
-            at = np.searchsorted(of_words, word_keys(span_hash(data, s, e)))
+            h = word_keys(span_hash(data, s, e))
+            order, at = np.argsort(h), np.empty(len(h), np.int64)
+            at[order] = np.searchsorted(of_words, h[order])  # in their order, for the processor's cache
             out[0].append(np.diff(first) + 1)
             out[1].append(np.bincount(row, count[at] > 0, n) + (end > 0))
             out[2].append(np.bincount(row, base[at], n) + of_end)
