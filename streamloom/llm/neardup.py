@@ -258,6 +258,11 @@ def as_edges(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links; without any they stay."""
+    return found if links.isEmpty() else components(as_edges(found).union(links))
+
+
 def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their digests (doc_id, n, d1, d2), and classes with their components (n, d1, d2, first, component).
 
@@ -276,24 +281,26 @@ def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     unsettled = stored(mixed(members.where("size > 2"), found), "unsettled")
     few = open_pairs(unsettled.where(F.col("size") <= FEW), percent)
     more = stored(verified(few, sets, percent), "links")
-    found = components(as_edges(found).union(more))
+    found = joined(found, more)
+    used = [classes, members, sets, links, unsettled, more]
 
     crowd = unsettled.where(F.col("size") > FEW).select("id").distinct()
-    long = stored(long_keys(sets, crowd, percent), "long-keys")
-    deep = stored(members_of(long.select(F.explode("keys").alias("key"), "id", "n")), "long-buckets")
+    if not crowd.isEmpty():
+        long = stored(long_keys(sets, crowd, percent), "long-keys")
+        deep = stored(members_of(long.select(F.explode("keys").alias("key"), "id", "n")), "long-buckets")
 
-    def placed(found: DataFrame) -> DataFrame:
-        own = long.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
-        return deep.join(own, "id")
+        def placed(found: DataFrame) -> DataFrame:
+            own = long.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
+            return deep.join(own, "id")
 
-    again = stored(verified(star(placed(found), percent, True), sets, percent), "links")
-    found = components(as_edges(found).union(again))
-    rest = signed_pairs(placed(found), percent)
-    last = stored(verified(rest, sets, percent), "links")
-    found = components(as_edges(found).union(last))
+        again = stored(verified(star(placed(found), percent, True), sets, percent), "links")
+        found = joined(found, again)
+        last = stored(verified(signed_pairs(placed(found), percent), sets, percent), "links")
+        found = joined(found, last)
+        used += [long, deep, again, last]
 
     groups = stored(classes.select("n", "d1", "d2", "first", "id").join(found, "id", "left").select("n", "d1", "d2", "first", F.coalesce("component", "id").alias("component")), "shingle-groups")
-    release(classes, members, sets, links, unsettled, more, long, deep, again, last)
+    release(*used)
     return marks.select("doc_id", "n", "d1", "d2"), groups
 
 

@@ -241,9 +241,9 @@ def runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The documents dealt into chunks of about CHUNK_BYTES, and the number of chunks. The rows of one doc_id lie in one chunk."""
+    """The documents dealt into chunks of about CHUNK_BYTES, as many as there are input splits at least, and the number of chunks. The rows of one doc_id lie in one chunk."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(1, -(-size // CHUNK_BYTES))
+    n = max(1, -(-size // CHUNK_BYTES), docs.rdd.getNumPartitions())
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("mark", F.xxhash64("doc_id", "text")), n
 
 
