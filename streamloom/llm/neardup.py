@@ -48,7 +48,7 @@ MISS = 1e-6
 #: The chance that such a pair agrees in all minima of one long key, about.
 LONG = 0.04
 #: Words of 64 bits in a signature, and the standard deviations by which it may fall short.
-WORDS, SPARE = 64, 5.0
+WORDS, SPARE = 40, 5.0
 SKETCH = [f"w{i}" for i in range(WORDS)]
 #: A bucket of up to FEW members has, beside its star, at most as many pairs as members.
 FEW = 4
