@@ -15,12 +15,16 @@
    aren't near part, and those that may be linked share one of the many bands
    again. There too come first stars, and then the pairs of members that share
    a long key and lie in different components; of both only those whose
-   signatures, one bit of each of ``64 * WORDS`` minima, are as alike as the
-   threshold asks go on to the full sets.
+   signatures are as alike as the threshold asks go on to the full sets. A
+   signature is an odd sketch: each shingle flips one of ``64 * WORDS`` bits, so
+   two of them never differ in more bits than the sets in shingles. Of a set of
+   over ``LARGE`` shingles a share chosen by hash is sketched, so that the bits
+   don't fill up; it has a signature, and long keys, for each such share in which
+   sets of a size that allows a link are sketched.
 
 The number of bands follows from the threshold: a pair at the threshold itself
 shares no band, short or long, with a probability under ``MISS`` each, and fails
-by its signature with one under 3e-7. The pairs that are verified grow in
+by its signature with one under 3e-7 (sets of up to some hundred shingles: never). The pairs that are verified grow in
 proportion to the members of a family, unless its texts lie just below the
 threshold of each other.
 """
@@ -48,7 +52,9 @@ MISS = 1e-6
 #: The chance that such a pair agrees in all minima of one long key, about.
 LONG = 0.04
 #: Words of 64 bits in a signature, and the standard deviations by which it may fall short.
-WORDS, SPARE = 40, 5.0
+WORDS, SPARE = 24, 5.0
+#: Shingles that are sketched whole; of up to twice as many a half is, and so on.
+LARGE = 128 * WORDS
 SKETCH = [f"w{i}" for i in range(WORDS)]
 #: A bucket of up to FEW members has, beside its star, at most as many pairs as members.
 FEW = 4
@@ -117,17 +123,29 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketch(low: np.ndarray) -> np.ndarray:
-    """One bit of each of the first minima."""
-    bits = (mix(low.reshape(-1)[: 64 * WORDS]) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+def levels(n: int, percent: int) -> range:
+    """The levels at which a set of ``n`` shingles meets others, one in ``2**level`` shingles being sketched: those of all sizes from its own up to the greatest that allow a link."""
+    level = lambda size: ((size - 1) // LARGE).bit_length()
+    return range(level(n), level(n * 100 // percent) + 1)
 
 
-def alike(percent: int) -> int:
-    """Bits in which the sketches of a pair at the threshold may differ."""
-    n = 64 * WORDS
-    differ = (1 - percent / 100) / 2
-    return math.ceil(n * differ + SPARE * math.sqrt(n * differ * (1 - differ)))
+def sketch(shingles: np.ndarray, level: int) -> np.ndarray:
+    """The parities of the shingles that fall on each bit."""
+    h = mix(shingles ^ np.uint64(0x2D358DCCAA6C78A5))
+    h = h[(h & np.uint64((1 << level) - 1)) == 0] >> np.uint64(32)
+    odd = np.bincount((h % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def alike(n: Column, level: Column, percent: int) -> Column:
+    """Bits in which the sketches of a pair at the threshold may differ, ``n`` being the sum of their sizes: at level 0 never more than the shingles do."""
+    bits = 64 * WORDS
+    share = F.pow(F.lit(0.5), level)
+    z = n * ((100 - percent) / (100 + percent)) * share
+    left = F.exp(z * (-2 / bits))
+    spare = F.sqrt(bits / 4 * (1 - left * left) - share * z * left * left + 1e-6)
+    limit = bits / 2 * (1 - left) + SPARE * spare
+    return F.when(level == 0, F.least(z + 1e-6, limit)).otherwise(limit + SPARE * SPARE / 3)
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,8 +203,8 @@ def near(n_a: str, n_b: str, percent: int) -> Column:
 
 
 def same_sketch(p: str, q: str, percent: int) -> Column:
-    """Whether the signatures of two members are as alike as the threshold asks."""
-    return sum(F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in SKETCH) <= alike(percent)
+    """Whether the signatures of two members of a long key are as alike as the threshold asks."""
+    return sum(F.bit_count(F.col(f"{p}{w}").bitwiseXOR(F.col(f"{q}{w}"))) for w in SKETCH) <= alike(F.col(f"{p}n") + F.col(f"{q}n"), F.col(f"{p}level"), percent)
 
 
 def members_of(keys: DataFrame) -> DataFrame:
@@ -197,7 +215,7 @@ def members_of(keys: DataFrame) -> DataFrame:
 
 def star(members: DataFrame, percent: int, signed: bool = False) -> DataFrame:
     """(a, b): each member with its bucket's centre, the one that meets most others, where the sizes allow a link; ``signed``: in another component, and where the signatures allow it too."""
-    more = ["component", *SKETCH] if signed else []
+    more = ["component", "level", *SKETCH] if signed else []
     meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
     ranked = members.join(meets, "id")
     centre = ranked.groupBy("key").agg(F.max(F.struct("meets", "id", "n", *more)).alias("c"))
@@ -234,24 +252,27 @@ def signed_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def long_keys(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """(id, n, keys, sketch): the long keys and the signatures of the sets with these ids."""
+    """(id, n, level, keys, sketch): the long keys and the signatures of the sets with these ids, a row for each level."""
     rows = long_rows(percent)
-    bands = max(bands_for(rows, percent), -(-64 * WORDS // rows))
+    bands = bands_for(rows, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.asarray(batch.column(1).offsets)
             flat = np.asarray(batch.column(1).values).view(np.uint64)
-            keys, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                low = minima(flat[a:b], rows, bands)
-                keys.append(band_keys(low))
-                marks.append(sketch(low))
-            step = np.arange(batch.num_rows + 1, dtype=np.int32)
+            own, at, keys, marks = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                key = band_keys(minima(flat[a:b], rows, bands))
+                for level in levels(int(b - a), percent):
+                    own.append(i)
+                    at.append(level)
+                    keys.append(mix(key + np.uint64(level)))
+                    marks.append(sketch(flat[a:b], level))
+            step = np.arange(len(own) + 1, dtype=np.int32)
             many, words = pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(marks))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(step * bands), many), pa.ListArray.from_arrays(pa.array(step * WORDS), words)], names=["id", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(np.diff(ends).astype(np.int64)[own]), pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(step * bands), many), pa.ListArray.from_arrays(pa.array(step * WORDS), words)], names=["id", "n", "level", "keys", "sketch"])
 
-    return sets.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, keys array<long>, sketch array<long>")
+    return sets.join(ids, "id", "left_semi").mapInArrow(run, "id long, n long, level int, keys array<long>, sketch array<long>")
 
 
 def as_edges(found: DataFrame) -> DataFrame:
@@ -287,11 +308,11 @@ def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     crowd = unsettled.where(F.col("size") > FEW).select("id").distinct()
     if not crowd.isEmpty():
         long = stored(long_keys(sets, crowd, percent), "long-keys")
-        deep = stored(members_of(long.select(F.explode("keys").alias("key"), "id", "n")), "long-buckets")
+        deep = stored(members_of(long.select(F.explode("keys").alias("key"), "id", "n", "level")), "long-buckets")
 
         def placed(found: DataFrame) -> DataFrame:
-            own = long.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
-            return deep.join(own, "id")
+            own = long.join(found, "id", "left").select("id", "level", F.coalesce("component", "id").alias("component"), *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)])
+            return deep.join(own, ["id", "level"])
 
         again = stored(verified(star(placed(found), percent, True), sets, percent), "links")
         found = joined(found, again)

@@ -100,6 +100,34 @@ def test_near_duplicates_verify_few_pairs_of_a_loose_family(spark, monkeypatch):
         assert sum(seen) < 24 * m  # of m * (m - 1) / 2
 
 
+def test_near_duplicates_verify_few_pairs_just_below_the_threshold(spark, monkeypatch):
+    rng, seen, check = random.Random(5), [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *more: (seen.append(pairs.count()), check(pairs, *more))[1])
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(150):  # most pairs are alike by 0.81 to 0.83
+        copy = list(base)
+        for j in range(7):
+            copy[57 * j + rng.randrange(54)] = f"x{i}y{j}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == groups(rows, 3, 85)
+    assert sum(seen) < 24 * len(rows)  # of 75 for each
+
+
+def test_sketches_of_linked_sets_are_alike(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    for n, percent in ((40, 85), (400, 85), (400, 80), (3000, 85), (neardup.LARGE, 85), (neardup.LARGE + 1, 85), (20_000, 85), (20_000, 99)):
+        more = min(n * 100 // percent, n + n // 20)  # the other set is larger
+        both = -(-percent * (n + more) // (100 + percent))
+        level = neardup.levels(more, percent)[0]
+        assert level in neardup.levels(n, percent)
+        limit = spark.range(1).select(neardup.alike(F.lit(n + more), F.lit(level), percent)).first()[0]
+        for _ in range(20):
+            x = rng.integers(0, 1 << 63, n + more - both, dtype=np.uint64)
+            differ = neardup.sketch(x[:n], level) ^ neardup.sketch(x[n - both :], level)
+            assert np.unpackbits(differ.view(np.uint8)).sum() <= limit
+
+
 def test_bands_miss_few():
     for percent in (50, 80, 85, 95, 100):
         for rows in (neardup.ROWS, neardup.long_rows(percent)):
