@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kit import TokenMemo, blocks, expand, tune
+from .kit import TokenMemo, blocks, expand, tidy, tune
 
 NONE = np.int32(1 << 30)
 LONG = 64  # lengths up to this have a matrix each, longer ones share one by the power of two
@@ -233,6 +233,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_i
     tune(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path or ranks_path())
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import LOWER, Prefix, blocks, expand, mix, numbered, tune, words
+from .kit import LOWER, Prefix, blocks, expand, mix, numbered, tidy, tune, words
 from .shared import release, stored
 
 WINDOW = 12
@@ -179,6 +179,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index, more in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offs in blocks(batch):
@@ -209,6 +210,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, count: str = "n_items", flag: st
     for index, more in indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offs in blocks(batch, text):

@@ -7,7 +7,9 @@ over whole blocks instead of by Python loops over characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import repeat
 
 import numpy as np
@@ -37,6 +39,26 @@ def tune(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def trim() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+    if give:
+        give(0)
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """An Arrow pass that trims its process before and after: Spark keeps the workers of earlier tasks, whose memory counts with that of the next."""
+
+    @wraps(run)
+    def own(batches: Iterator[pa.RecordBatch], *args, **named) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches, *args, **named)
+        trim()
+
+    return own
+
+
 def numbered(docs):
     """The frame with its columns named c0, c1, ...: any names, those with dots too, can go through an Arrow pass."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontaminate import word_hashes
-from .kit import blocks, mix, tune
+from .kit import blocks, mix, tidy, tune
 from .shared import release, stored
 
 #: Minima in a band.
@@ -152,6 +152,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, d1, d2, bands) of every row; n is the set's size."""
     bands = bands_for(ROWS, percent)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in blocks(batch):
@@ -175,6 +176,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def class_sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
     """(id, s): the shingles of the classes ``named`` (id, first, d1, d2), from a row of doc_id ``first`` whose digests are the class's: a doc_id may stand on several rows."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in blocks(batch):
@@ -256,6 +258,7 @@ def long_keys(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     rows = long_rows(percent)
     bands = bands_for(rows, percent)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = np.asarray(batch.column(1).offsets)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kit import blocks, numbered, tune
+from .kit import blocks, numbered, tidy, tune
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns; possessive forms and the look-behind only save time, as no match can begin inside a run of digits
@@ -300,6 +300,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     ids = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy("h", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``sample`` narrow rows
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, out = [], []
@@ -354,6 +355,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
         more = added_spans(text, shared.value, base)
         return [sum(k == i for k, _, _ in base) for i in range(4)], hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in blocks(batch):
@@ -390,6 +392,7 @@ def mask(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             at = b
         return "".join([*out, text[at:]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in blocks(batch, f"c{place}"):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kit import LOWER, Prefix, blocks, mix, numbered, tune
+from .kit import LOWER, Prefix, blocks, mix, numbered, tidy, tune
 
 #: Labelled rows to learn from, at most (those of the smallest hashes of their keys), and how often they are passed over.
 SAMPLE, PASSES = 16_000, 3
@@ -107,6 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(fold), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, labels = [], []
         for batch in batches:
@@ -152,6 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS + 1 entries of 12 bytes
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = log_odds(shared.value)
         for batch in batches:
@@ -179,6 +181,7 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = log_odds(shared.value)
         for batch in batches:
