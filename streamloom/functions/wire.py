@@ -6,6 +6,8 @@ are big-endian. Decoding gives NULL for bytes that the format refuses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,19 @@ LOG_DATA_MAGIC, LOG_EMPTY_MAGIC, LOG_HEADER = 0x87654321, 0x76543210, 24
 MASK = 0x7FFFFFFF
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def digits(c: Column, n: int) -> Column:
+    """A whole number in n bytes, as hex."""
+    return F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(2 * n))
+
+
 def be(c: Column, n: int) -> Column:
     """A whole number in n bytes."""
-    return F.unhex(F.right(F.lpad(F.hex(c.cast("long")), 16, "0"), F.lit(2 * n)))
+    return F.unhex(digits(c, n))
 
 
 def part(data: Column, at: Column, size: Column | int) -> Column:
@@ -31,12 +43,27 @@ def part(data: Column, at: Column, size: Column | int) -> Column:
 
 def number(data: Column) -> Column:
     """The signed number of 8 bytes, or the unsigned one of fewer; NULL of none."""
-    return F.when(F.octet_length(data) > 0, F.conv(F.hex(data), 16, -10).cast("long"))
+    return F.conv(F.hex(data), 16, -10).cast("long")
+
+
+def sized_digits(c: Column) -> Column:
+    """The bytes behind their length, as hex."""
+    return F.concat(digits(F.octet_length(c), 4), F.hex(c.cast("binary")))
 
 
 def sized(c: Column) -> Column:
     """The bytes behind their length."""
-    return F.concat(be(F.octet_length(c), 4), c.cast("binary"))
+    return F.unhex(sized_digits(c))
+
+
+def behind(data: Column, at: Column) -> Column:
+    """Where the bytes end whose length stands at a place; NULL if the data ends before."""
+    return let(at + 4 + number(part(data, at, 4)), lambda end: F.when(end <= F.octet_length(data), end))
+
+
+def loops(data: Column, at: Column, least: int) -> Column:
+    """An element for each of the items whose count stands at a place; NULL for more than the bytes behind it can hold, of ``least`` bytes each."""
+    return let(number(part(data, at, 4)), lambda n: F.when(n * least <= F.octet_length(data) - at - 4, F.array_repeat(F.lit(0), n.cast("int"))))
 
 
 def joined(parts: Column) -> Column:
@@ -57,53 +84,52 @@ def times(n: Column) -> Column:
 
 
 def encode_frames(bodies: Column) -> Column:
-    return F.concat(be(F.lit(FRAMES_VERSION), 1), be(F.size(bodies), 4), joined(F.transform(bodies, sized)))
+    return F.unhex(F.concat(digits(F.lit(FRAMES_VERSION), 1), digits(F.size(bodies), 4), F.array_join(F.transform(bodies, sized_digits), "")))
 
 
 def decode_frames(data: Column) -> Column:
     """The bodies, or NULL: another version, a body cut short, bytes left over."""
-    start = F.struct(F.lit(5).cast("long").alias("at"), F.lit(True).alias("ok"), F.array().cast("array<binary>").alias("out"))
-    total = F.octet_length(data)
 
-    def step(s: Column, _: Column) -> Column:
-        size = F.coalesce(number(part(data, s["at"], 4)), F.lit(0))
-        ok = s["ok"] & (s["at"] + 4 <= total) & (s["at"] + 4 + size <= total)
-        return F.when(ok, F.struct((s["at"] + 4 + size).alias("at"), ok.alias("ok"), F.concat(s["out"], F.array(part(data, s["at"] + 4, size))).alias("out"))).otherwise(F.struct(s["at"].alias("at"), F.lit(False).alias("ok"), s["out"].alias("out")))
+    def decode(data: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            return let(behind(data, s["at"]), lambda end: F.struct(end.alias("at"), F.concat(s["out"], F.array(part(data, s["at"] + 4, end - s["at"] - 4))).alias("out")))
+
+        start = F.struct(F.lit(5).cast("long").alias("at"), F.array().cast("array<binary>").alias("out"))
+        each = F.when(number(part(data, F.lit(0), 1)) == FRAMES_VERSION, loops(data, F.lit(1), 4))
+        return F.aggregate(each, start, step, lambda s: F.when(s["at"] == F.octet_length(data), s["out"]))
 
-    count = F.coalesce(number(part(data, F.lit(1), 4)), F.lit(0))
-    # a count beyond what the bytes can hold is refused before it is looped over
-    sane = (total >= 5) & (number(part(data, F.lit(0), 1)) == FRAMES_VERSION) & (count * 4 <= total)
-    got = F.aggregate(times(F.when(sane, count).otherwise(0)), start, step)
-    return F.when(sane & got["ok"] & (got["at"] == total), got["out"])
+    return let(data, decode)
 
 
 # headers: a count, and length-prefixed names and values in the order of the names
 
 
-def encode_headers(headers: Column) -> Column:
-    pairs = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(sized(e["key"]), sized(e["value"])))
-    return F.concat(be(F.size(headers), 4), joined(pairs))
+def headers_digits(headers: Column) -> Column:
+    pairs = F.transform(F.sort_array(F.map_entries(headers)), lambda e: F.concat(sized_digits(e["key"]), sized_digits(e["value"])))
+    return F.concat(digits(F.size(headers), 4), F.array_join(pairs, ""))
 
 
-HEADERS = "struct<at:bigint,names:array<string>,items:array<string>>"
+def encode_headers(headers: Column) -> Column:
+    return F.unhex(headers_digits(headers))
 
 
 def decode_headers(data: Column, at: Column) -> Column:
-    """(at, names, items) behind the headers that begin at a place."""
-    none = F.array().cast("array<string>")
+    """(at, pairs) behind the headers that begin at a place; NULL where they are cut short."""
 
     def step(s: Column, _: Column) -> Column:
-        name = number(part(data, s["at"], 4))
-        item = number(part(data, s["at"] + 4 + name, 4))
-        return F.struct((s["at"] + 8 + name + item).alias("at"), F.concat(s["names"], F.array(part(data, s["at"] + 4, name).cast("string"))).alias("names"), F.concat(s["items"], F.array(part(data, s["at"] + 8 + name, item).cast("string"))).alias("items"))
+        def pair(name: Column, end: Column) -> Column:
+            one = F.struct(part(data, s["at"] + 4, name - s["at"] - 4).cast("string").alias("name"), part(data, name + 4, end - name - 4).cast("string").alias("value"))
+            return F.struct(end.alias("at"), F.concat(s["pairs"], F.array(one)).alias("pairs"))
 
-    start = F.struct((at + 4).cast("long").alias("at"), none.alias("names"), none.alias("items"))
-    return F.aggregate(times(F.coalesce(number(part(data, at, 4)), F.lit(0))), start, step)
+        return let(behind(data, s["at"]), lambda name: let(behind(data, name), lambda end: pair(name, end)))
+
+    start = F.struct((at + 4).cast("long").alias("at"), F.array().cast("array<struct<name:string,value:string>>").alias("pairs"))
+    return F.aggregate(loops(data, at, 8), start, step, lambda s: F.when(s["at"].isNotNull(), s))
 
 
 def shown(headers: Column) -> Column:
-    """Names and items as text, for reports."""
-    return F.array_join(F.zip_with(headers["names"], headers["items"], lambda k, v: F.concat(k, F.lit("="), v)), "&")
+    """Names and values as text, for reports."""
+    return F.array_join(F.transform(headers["pairs"], lambda e: F.concat(e["name"], F.lit("="), e["value"])), "&")
 
 
 # envelopes: a version byte, the time, headers and the body
@@ -124,27 +150,33 @@ def encode_batch(rows: Column, read: bool) -> Column:
     """``rows``: an array of structs (off, ts_ms, headers, body)."""
 
     def one(r: Column) -> Column:
-        front = [be(r["off"], 8), be(r["ts_ms"], 8)] if read else []
-        return F.concat(*front, encode_headers(r["headers"]), sized(r["body"]))
+        front = [digits(r["off"], 8), digits(r["ts_ms"], 8)] if read else []
+        return F.concat(*front, headers_digits(r["headers"]), sized_digits(r["body"]))
 
-    return F.concat(be(F.lit(BATCH_VERSION), 1), be(F.size(rows), 4), joined(F.transform(rows, one)))
+    return F.unhex(F.concat(digits(F.lit(BATCH_VERSION), 1), digits(F.size(rows), 4), F.array_join(F.transform(rows, one), "")))
 
 
 def decode_batch(data: Column, read: bool) -> Column:
-    """An array of structs (off, ts_ms, headers, body), with no offset and time where a batch is appended; NULL for another version."""
+    """An array of structs (off, ts_ms, headers, body), with no offset and time where a batch is appended; NULL for another version and where a record is cut short."""
     front = 16 if read else 0
     record = "array<struct<off:bigint,ts_ms:bigint,headers:string,body:string>>"
     none = F.lit(None).cast("long")
 
-    def step(s: Column, _: Column) -> Column:
-        h = decode_headers(data, s["at"] + front)
-        size = number(part(data, h["at"], 4))
-        off, ts = (number(part(data, s["at"], 8)), number(part(data, s["at"] + 8, 8))) if read else (none, none)
-        row = F.struct(off.alias("off"), ts.alias("ts_ms"), shown(h).alias("headers"), part(data, h["at"] + 4, size).cast("string").alias("body"))
-        return F.struct((h["at"] + 4 + size).alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    got = F.aggregate(times(F.coalesce(number(part(data, F.lit(1), 4)), F.lit(0))), F.struct(F.lit(5).cast("long").alias("at"), F.array().cast(record).alias("out")), step)
-    return F.when(number(part(data, F.lit(0), 1)) == BATCH_VERSION, got["out"])
+    def decode(data: Column) -> Column:
+        def one(s: Column, h: Column, end: Column) -> Column:
+            off, ts = (number(part(data, s["at"], 8)), number(part(data, s["at"] + 8, 8))) if read else (none, none)
+            body = part(data, h["at"] + 4, end - h["at"] - 4).cast("string")
+            row = F.struct(off.alias("off"), ts.alias("ts_ms"), shown(h).alias("headers"), body.alias("body"))
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(row)).alias("out"))
+
+        def step(s: Column, _: Column) -> Column:
+            return let(decode_headers(data, s["at"] + front), lambda h: let(behind(data, h["at"]), lambda end: one(s, h, end)))
+
+        start = F.struct(F.lit(5).cast("long").alias("at"), F.array().cast(record).alias("out"))
+        each = F.when(number(part(data, F.lit(0), 1)) == BATCH_VERSION, loops(data, F.lit(1), front + 8))
+        return F.aggregate(each, start, step, lambda s: F.when(s["at"].isNotNull(), s["out"]))
+
+    return let(data, decode)
 
 
 # record batches: magic, stream, epoch, base, count (negative for a link), size and payload

@@ -166,6 +166,40 @@ def test_formats_byte_by_byte(spark):
     assert not any(one.select(*[wire.is_log_header(raw(x)).alias(f"x{i}") for i, x in enumerate(flips)], wire.is_log_header(foreign).alias("y")).first())
 
 
+def test_batches_byte_by_byte(spark):
+    from streamloom.functions import wire
+
+    get = lambda c: spark.range(1).select(c.alias("x")).first().x
+    raw = lambda h: F.unhex(F.lit(h))
+    none, two = F.create_map().cast("map<string,string>"), F.create_map(F.lit("k"), F.lit("v"), F.lit("a"), F.lit("é"))
+    row = lambda off, ts, headers, body: F.struct(F.lit(off).alias("off"), F.lit(ts).alias("ts_ms"), headers.alias("headers"), F.lit(body).alias("body"))
+    rows = F.array(row(-1, 1700000000000, two, "hi"), row(8, 5, none, ""))
+    one = "00000002" + "0000000161" + "00000002c3a9" + "000000016b" + "0000000176" + "00000002" + "6869"
+    append = "01" + "00000002" + one + "00000000" + "00000000"
+    read = "01" + "00000002" + "ffffffffffffffff" + "0000018bcfe56800" + one + "0000000000000008" + "0000000000000005" + "00000000" + "00000000"
+    assert get(F.lower(F.hex(wire.encode_batch(rows, False)))) == append
+    assert get(F.lower(F.hex(wire.encode_batch(rows, True)))) == read
+    assert [tuple(r) for r in get(wire.decode_batch(raw(append), False))] == [(None, None, "a=é&k=v", "hi"), (None, None, "", "")]
+    assert [tuple(r) for r in get(wire.decode_batch(raw(read), True))] == [(-1, 1700000000000, "a=é&k=v", "hi"), (8, 5, "", "")]
+    assert get(wire.decode_batch(raw("0100000000"), True)) == []
+    cut = [x[: 2 * i] for x in (append, read) for i in range(len(x) // 2)]
+    other = ["02" + append[2:], "01ffffffff" + append[10:], "0100000001" + "ffffffff" + append[18:], "0100000001" + "00000000" + "ffffffff", "0100000001" + "00000001" + "ffffffff" + append[26:]]
+    seen = spark.createDataFrame([(x,) for x in cut + other], "h string").select(wire.decode_batch(F.unhex("h"), False).alias("a"), wire.decode_batch(F.unhex("h"), True).alias("b")).collect()
+    assert all(r.a is None for r in seen[: len(append) // 2]) and all(r.b is None for r in seen[len(append) // 2 : len(cut)])
+    assert all(r.a is None for r in seen[len(cut) :])
+    headers = wire.decode_headers(raw("00000001" + "0000000161" + "0000000962"), F.lit(0))
+    assert get(wire.shown(headers)) is None
+
+
+def test_decoding_names_each_step_once(spark):
+    """A value that is named in several places is written out in each, and with nested loops the work multiplies."""
+    from streamloom.queries import QUERIES
+
+    for name, most in (("batch_codec", 6), ("frames_decode", 4), ("envelope_codec", 1)):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("aggregate(") <= most, name
+
+
 def test_json_bodies(spark):
     from streamloom.functions.codecs import append_request, json_record, messages
 
